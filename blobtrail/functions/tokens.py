@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -29,6 +29,18 @@ DEFAULT_WINDOW = 4
 # ---------------------------------------------------------------------------
 
 
+def with_array(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Adds column ``name`` = ``expr``, computed once per row.
+
+    Array columns here are read inside lambdas once per position (shingles,
+    n-grams, winnow windows). If Catalyst inlined the producing expression
+    into such a lambda, a whole document would be re-tokenised per position
+    (quadratic). A one-element explode (a Generate node) keeps the value a
+    materialised attribute; it adds no shuffle and no extra rows."""
+    cols = [c for c in df.columns if c != name]
+    return df.select(*cols, F.explode(F.array(expr)).alias(name))
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

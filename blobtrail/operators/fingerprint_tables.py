@@ -31,21 +31,22 @@ def with_fingerprint(
     if mode not in MODES:
         raise ValueError(f"unknown similarity mode {mode!r}; expected one of {MODES}")
     k = max(1, int(k))
-    tmp = spread(df).withColumn("_tok", tk.tokenize(F.col(text_col)))
+    tmp = tk.with_array(spread(df), "_tok", tk.tokenize(F.col(text_col)))
     if mode == "jaccard":
         res = tmp.withColumn(out, F.transform(tk.shingle_set(F.col("_tok"), k), lambda s: F.xxhash64(s)))
         res = res.withColumn(out, F.array_distinct(out))
     elif mode == "charjaccard":
-        tmp = tmp.withColumn("_st", tk.token_stream(F.col("_tok"))).withColumn("_ch", F.split("_st", ""))
+        tmp = tmp.withColumn("_st", tk.token_stream(F.col("_tok")))
+        tmp = tk.with_array(tmp, "_ch", F.split("_st", ""))
         grams = tk.char_ngrams(F.col("_st"), max(1, int(n)), F.col("_ch"))
         res = tmp.withColumn(out, F.array_distinct(F.transform(grams, lambda s: F.xxhash64(s)))).drop("_st", "_ch")
     elif mode == "winnow":
-        res = tmp.withColumn("_hx", fp.shingle_hex(tk.shingles(F.col("_tok"), k)))
+        res = tk.with_array(tmp, "_hx", fp.shingle_hex(tk.shingles(F.col("_tok"), k)))
         res = res.withColumn(out, F.transform(fp.winnow_from_hex("_hx", window), lambda h: tk.hex_to_long(h))).drop("_hx")
     elif mode == "minhash":
         hashes = F.transform(tk.shingle_set(F.col("_tok"), k), lambda s: tk.hash64(s))
         res = tmp.withColumn("_h", hashes).withColumn(out, fp.minhash_signature(F.col("_h"), max(1, int(num_perm)))).drop("_h")
     else:  # simhash
-        res = tmp.withColumn("_h", F.transform(F.col("_tok"), lambda s: tk.hash64(s)))
+        res = tk.with_array(tmp, "_h", F.transform(F.col("_tok"), lambda s: tk.hash64(s)))
         res = res.withColumn(out, fp.simhash64("_h")).drop("_h")
     return persist(res.drop("_tok"))

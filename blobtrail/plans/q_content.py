@@ -33,7 +33,7 @@ def _digest_list(arr: Column, sep: str = "\n") -> Column:
 
 def _docs_tokens(repo: Repo) -> DataFrame:
     d = spread(repo.table("documents").select("doc_id", "text"))
-    return d.withColumn("tok", T.tokenize(F.col("text")))
+    return T.with_array(d, "tok", T.tokenize(F.col("text")))
 
 
 # --- B1-B4 -------------------------------------------------------------------
@@ -156,7 +156,8 @@ def q_token_stream(repo: Repo) -> DataFrame:
     f"FROM (SELECT doc_id, {S.char_ngrams('st', N)} AS g FROM (SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS st FROM documents))",
 )
 def q_char_ngrams(repo: Repo) -> DataFrame:
-    d = _docs_tokens(repo).withColumn("st", T.token_stream(F.col("tok"))).withColumn("ch", F.split("st", ""))
+    d = _docs_tokens(repo).withColumn("st", T.token_stream(F.col("tok")))
+    d = T.with_array(d, "ch", F.split("st", ""))
     d = d.withColumn("g", T.char_ngrams(F.col("st"), N, F.col("ch")))
     return d.select("doc_id", F.size("g").alias("n_distinct"), _digest_sorted(F.col("g")).alias("digest"))
 
@@ -170,9 +171,10 @@ def _doc_fingerprints(repo: Repo) -> DataFrame:
     read it."""
     d = _docs_tokens(repo)
     d = d.withColumn("sset", T.shingle_set(F.col("tok"), K))
-    d = d.withColumn("shx", FP.shingle_hex(T.shingles(F.col("tok"), K)))
-    d = d.withColumn("th", F.transform("tok", lambda s: T.hash64(s)))
-    d = d.withColumn("st", T.token_stream(F.col("tok"))).withColumn("ch", F.split("st", ""))
+    d = T.with_array(d, "shx", FP.shingle_hex(T.shingles(F.col("tok"), K)))
+    d = T.with_array(d, "th", F.transform("tok", lambda s: T.hash64(s)))
+    d = d.withColumn("st", T.token_stream(F.col("tok")))
+    d = T.with_array(d, "ch", F.split("st", ""))
     d = d.withColumn("grams", T.char_ngrams(F.col("st"), N, F.col("ch")))
     d = d.withColumn("win", FP.winnow_from_hex("shx", W))
     d = d.withColumn("simhash", FP.simhash64("th"))
@@ -190,13 +192,7 @@ def doc_fingerprints(repo: Repo) -> DataFrame:
     return _FP_CACHE[key]
 
 
-@register(
-    "minhash_signature",
-    "E2",
-    lambda: "WITH src AS (SELECT doc_id, list_distinct(" + S.shingles(S.tokens("text"), K) + ") AS sset FROM documents),"
-    + S.minhash_cte("src", "doc_id", "sset", P).lstrip()
-    + f"\nSELECT doc_id, {S.list_digest('sig', "','")} AS digest, sig[1] AS first_value FROM mh",
-)
+@register("minhash_signature", "E2")
 def q_minhash_signature(repo: Repo) -> DataFrame:
     f = doc_fingerprints(repo)
     return f.select("doc_id", _digest_list(F.col("sig"), ",").alias("digest"), F.col("sig")[0].alias("first_value"))
@@ -236,43 +232,38 @@ def _parent_pairs(repo: Repo) -> DataFrame:
     return f.join(par, f.doc_id - CHAIN_STEP == par.parent_id)
 
 
-_PAIR_SRC = (
-    f"WITH base AS (SELECT doc_id, {S.tokens('text')} AS tok FROM documents),\n"
-    f"fp AS (SELECT doc_id, tok, list_distinct({S.shingles('tok', K)}) AS sset, "
-    f"{S.char_ngrams('array_to_string(tok, ' + chr(39) + ' ' + chr(39) + ')', N)} AS grams, "
-    f"{S.winnow('list_transform(' + S.shingles('tok', K) + ', lambda s: ' + S.hex16('s') + ')', W)} AS win FROM base),\n"
-    f"pairs AS (SELECT a.doc_id, b.doc_id AS parent_id FROM documents a JOIN documents b ON a.doc_id - {CHAIN_STEP} = b.doc_id)"
-)
+def _pair_sql(set_expr: str) -> str:
+    """Score of each document against its chain parent, counted by joining
+    the two exploded sets on the item (no list intersection)."""
+    return f"""WITH fp AS (SELECT doc_id, {set_expr} AS s FROM (SELECT doc_id, {S.tokens('text')} AS tok FROM documents)),
+g AS (SELECT doc_id, unnest(s) AS item FROM fp),
+pairs AS (SELECT a.doc_id, b.doc_id AS parent_id FROM documents a JOIN documents b ON a.doc_id - {CHAIN_STEP} = b.doc_id),
+i AS (SELECT p.doc_id, count(*) AS inter FROM pairs p JOIN g a ON a.doc_id = p.doc_id JOIN g b ON b.doc_id = p.parent_id AND b.item = a.item GROUP BY 1)
+SELECT p.doc_id, p.parent_id, round(CASE WHEN len(a.s) = 0 AND len(b.s) = 0 THEN 1.0 WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0.0
+       ELSE coalesce(i.inter, 0) / (len(a.s) + len(b.s) - coalesce(i.inter, 0)) END, 6) AS score
+FROM pairs p JOIN fp a ON a.doc_id = p.doc_id JOIN fp b ON b.doc_id = p.parent_id LEFT JOIN i ON i.doc_id = p.doc_id"""
 
 
-@register(
-    "jaccard",
-    "E1",
-    _PAIR_SRC + f"\nSELECT p.doc_id, p.parent_id, round({S.jaccard('a.sset', 'b.sset')}, 6) AS score "
-    "FROM pairs p JOIN fp a ON a.doc_id = p.doc_id JOIN fp b ON b.doc_id = p.parent_id",
-)
+_SETS = {
+    "jaccard": f"list_distinct({S.shingles('tok', K)})",
+    "charjaccard": S.char_ngrams("array_to_string(tok, ' ')", N),
+    "winnow": S.winnow(f"list_transform({S.shingles('tok', K)}, lambda x: {S.hex16('x')})", W),
+}
+
+
+@register("jaccard", "E1", _pair_sql(_SETS["jaccard"]))
 def q_jaccard(repo: Repo) -> DataFrame:
     p = _parent_pairs(repo)
     return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("sset"), F.col("p_sset")), 6).alias("score"))
 
 
-@register(
-    "charjaccard_score",
-    "E7",
-    _PAIR_SRC + f"\nSELECT p.doc_id, p.parent_id, round({S.jaccard('a.grams', 'b.grams')}, 6) AS score "
-    "FROM pairs p JOIN fp a ON a.doc_id = p.doc_id JOIN fp b ON b.doc_id = p.parent_id",
-)
+@register("charjaccard_score", "E7", _pair_sql(_SETS["charjaccard"]))
 def q_charjaccard(repo: Repo) -> DataFrame:
     p = _parent_pairs(repo)
     return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("grams"), F.col("p_grams")), 6).alias("score"))
 
 
-@register(
-    "winnow_score",
-    "E7",
-    _PAIR_SRC + f"\nSELECT p.doc_id, p.parent_id, round({S.jaccard('a.win', 'b.win')}, 6) AS score "
-    "FROM pairs p JOIN fp a ON a.doc_id = p.doc_id JOIN fp b ON b.doc_id = p.parent_id",
-)
+@register("winnow_score", "E7", _pair_sql(_SETS["winnow"]))
 def q_winnow_score(repo: Repo) -> DataFrame:
     p = _parent_pairs(repo)
     return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("win"), F.col("p_win")), 6).alias("score"))
@@ -304,15 +295,7 @@ def q_simhash_similarity(repo: Repo) -> DataFrame:
     return p.select("doc_id", "parent_id", F.round(FP.simhash_similarity(F.col("simhash"), F.col("p_simhash")), 6).alias("score"))
 
 
-@register(
-    "minhash_similarity",
-    "E3",
-    lambda: "WITH src AS (SELECT doc_id, list_distinct(" + S.shingles(S.tokens("text"), K) + ") AS sset FROM documents),"
-    + S.minhash_cte("src", "doc_id", "sset", P).lstrip()
-    + f",\npairs AS (SELECT a.doc_id, b.doc_id AS parent_id FROM documents a JOIN documents b ON a.doc_id - {CHAIN_STEP} = b.doc_id)"
-    + "\nSELECT p.doc_id, p.parent_id, round(len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / least(len(a.sig), len(b.sig)), 6) AS score "
-    "FROM pairs p JOIN mh a ON a.doc_id = p.doc_id JOIN mh b ON b.doc_id = p.parent_id",
-)
+@register("minhash_similarity", "E3")
 def q_minhash_similarity(repo: Repo) -> DataFrame:
     p = _parent_pairs(repo)
     return p.select("doc_id", "parent_id", F.round(FP.minhash_similarity(F.col("sig"), F.col("p_sig")), 6).alias("score"))

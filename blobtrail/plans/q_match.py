@@ -72,16 +72,7 @@ for _mode in ("jaccard", "charjaccard", "winnow"):
     )
 
 
-register(
-    "similarity_join_minhash",
-    "D7",
-    lambda: f"WITH {_CONTENTS_SQL}, src AS (SELECT rep, list_distinct({S.shingles(_TOK, K)}) AS sset FROM c),"
-    + S.minhash_cte("src", "rep", "sset", P).lstrip()
-    + f""",
-pos AS (SELECT rep, unnest(range(1, {P} + 1)) AS i, unnest(sig) AS v FROM mh),
-pr AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS eq FROM pos a JOIN pos b ON a.i = b.i AND a.v = b.v AND a.rep < b.rep GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(eq / {P}, 6) AS score FROM pr WHERE eq / {P} >= {THRESHOLDS['minhash']}""",
-)(lambda repo: _sim_join(repo, "minhash"))
+register("similarity_join_minhash", "D7")(lambda repo: _sim_join(repo, "minhash"))
 
 
 register(

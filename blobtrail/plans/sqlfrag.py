@@ -44,7 +44,8 @@ def char_ngrams(stream: str, n: int) -> str:
         return f"(CASE WHEN length({stream}) = 0 THEN []::VARCHAR[] ELSE list_distinct(string_split({stream}, '')) END)"
     return (
         f"(CASE WHEN length({stream}) = 0 THEN []::VARCHAR[] WHEN length({stream}) < {n} THEN [{stream}] "
-        f"ELSE list_distinct(list_transform(range(1, length({stream}) - {n} + 2), lambda i: substr({stream}, i, {n}))) END)"
+        f"ELSE list_distinct(list_transform(range(1, length({stream}) - {n} + 2), "
+        f"lambda i: array_to_string(string_split({stream}, '')[i:i + {n - 1}], ''))) END)"
     )
 
 
@@ -93,5 +94,5 @@ def simhash_cte(src: str, key: str, tok_col: str, name: str = "sh") -> str:
     return f"""
 {name}_t AS (SELECT {key} AS k, {u64(hex16('t'))} AS u FROM (SELECT {key}, unnest({tok_col}) AS t FROM {src})),
 {name}_b AS (SELECT k, bit, sum(CASE WHEN (u >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS acc FROM {name}_t, range(64) AS r(bit) GROUP BY k, bit),
-{name}_v AS (SELECT k, sum(CASE WHEN acc > 0 THEN (1::UHUGEINT << bit) ELSE 0 END)::UBIGINT AS u FROM {name}_b GROUP BY k),
+{name}_v AS (SELECT k, sum(CASE WHEN acc > 0 THEN CAST(pow(2, bit) AS UHUGEINT) ELSE 0::UHUGEINT END)::UBIGINT AS u FROM {name}_b GROUP BY k),
 {name} AS (SELECT s.{key} AS {key}, coalesce(v.u, 0::UBIGINT) AS u FROM {src} s LEFT JOIN {name}_v v ON v.k = s.{key})"""
