@@ -153,7 +153,7 @@ def q_token_stream(repo: Repo) -> DataFrame:
     "char_ngrams",
     "B11",
     f"SELECT doc_id, len(g) AS n_distinct, {S.set_digest('g')} AS digest "
-    f"FROM (SELECT doc_id, {S.char_ngrams('st', N)} AS g FROM (SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS st FROM documents))",
+    f"FROM (SELECT doc_id, {S.char_ngrams('st', N, 'chars')} AS g FROM {S.features('doc_id', 'text', 'documents', K)})",
 )
 def q_char_ngrams(repo: Repo) -> DataFrame:
     d = _docs_tokens(repo).withColumn("st", T.token_stream(F.col("tok")))
@@ -235,7 +235,7 @@ def _parent_pairs(repo: Repo) -> DataFrame:
 def _pair_sql(set_expr: str) -> str:
     """Score of each document against its chain parent, counted by joining
     the two exploded sets on the item (no list intersection)."""
-    return f"""WITH fp AS (SELECT doc_id, {set_expr} AS s FROM (SELECT doc_id, {S.tokens('text')} AS tok FROM documents)),
+    return f"""WITH fp AS (SELECT doc_id, {set_expr} AS s FROM {S.features('doc_id', 'text', 'documents', K)}),
 g AS (SELECT doc_id, unnest(s) AS item FROM fp),
 pairs AS (SELECT a.doc_id, b.doc_id AS parent_id FROM documents a JOIN documents b ON a.doc_id - {CHAIN_STEP} = b.doc_id),
 i AS (SELECT p.doc_id, count(*) AS inter FROM pairs p JOIN g a ON a.doc_id = p.doc_id JOIN g b ON b.doc_id = p.parent_id AND b.item = a.item GROUP BY 1)
@@ -244,11 +244,7 @@ SELECT p.doc_id, p.parent_id, round(CASE WHEN len(a.s) = 0 AND len(b.s) = 0 THEN
 FROM pairs p JOIN fp a ON a.doc_id = p.doc_id JOIN fp b ON b.doc_id = p.parent_id LEFT JOIN i ON i.doc_id = p.doc_id"""
 
 
-_SETS = {
-    "jaccard": f"list_distinct({S.shingles('tok', K)})",
-    "charjaccard": S.char_ngrams("array_to_string(tok, ' ')", N),
-    "winnow": S.winnow(f"list_transform({S.shingles('tok', K)}, lambda x: {S.hex16('x')})", W),
-}
+_SETS = {m: f(K, N, W) for m, f in S.SET_EXPR.items()}
 
 
 @register("jaccard", "E1", _pair_sql(_SETS["jaccard"]))

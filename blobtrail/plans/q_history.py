@@ -13,8 +13,8 @@ from blobtrail.plans.registry import register
 from blobtrail.session import persist
 from blobtrail.sources.testdata import Repo
 
-PRIO_SQL = H.PRIORITY_BRANCH.replace("\\", "\\\\")
-PR_SQL = H.PR_BRANCH.replace("\\", "\\\\")
+PRIO_SQL = H.PRIORITY_BRANCH
+PR_SQL = H.PR_BRANCH
 
 
 # --- shared Spark pieces --------------------------------------------------------

@@ -51,7 +51,7 @@ _CONTENTS_SQL = "c AS (SELECT min(doc_id) AS rep, text FROM documents GROUP BY t
 
 def _set_join_sql(set_expr: str, t: float) -> str:
     return f"""WITH {_CONTENTS_SQL},
-s AS (SELECT rep, {set_expr} AS s FROM c),
+s AS (SELECT rep, {set_expr} AS s FROM {S.features('rep', 'text', 'c', K)}),
 e AS (SELECT rep, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM s),
 pr AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) AS inter, any_value(a.n) AS na, any_value(b.n) AS nb
        FROM e a JOIN e b ON a.item = b.item AND a.rep < b.rep GROUP BY 1, 2)
@@ -59,11 +59,7 @@ SELECT doc_a, doc_b, round(inter / (na + nb - inter), 6) AS score FROM pr WHERE
 
 
 _TOK = S.tokens("text")
-_SET_EXPR = {
-    "jaccard": f"list_distinct({S.shingles(_TOK, K)})",
-    "charjaccard": S.char_ngrams(f"array_to_string({_TOK}, ' ')", N),
-    "winnow": S.winnow(f"list_transform({S.shingles(_TOK, K)}, lambda x: {S.hex16('x')})", W),
-}
+_SET_EXPR = {m: f(K, N, W) for m, f in S.SET_EXPR.items()}
 
 
 for _mode in ("jaccard", "charjaccard", "winnow"):
@@ -105,13 +101,8 @@ def cascade(repo: Repo, mode: str = "jaccard") -> dict:
 _CASCADES: dict = {}
 
 
-def _fuzzy_items_sql(mode: str, src: str) -> str:
-    tok = S.tokens(src)
-    if mode == "charjaccard":
-        return S.char_ngrams(f"array_to_string({tok}, ' ')", N)
-    if mode == "winnow":
-        return S.winnow(f"list_transform({S.shingles(tok, K)}, lambda x: {S.hex16('x')})", W)
-    return f"list_distinct({S.shingles(tok, K)})"
+def _fuzzy_items_sql(mode: str) -> str:
+    return S.SET_EXPR[mode](K, N, W)
 
 
 def cascade_sql(mode: str = "jaccard") -> str:
@@ -137,9 +128,9 @@ d6q AS (SELECT q.query_id, f.commit_id, f.t_path_ord AS path_ord, f.t_log_ord AS
         FROM q JOIN firsth f ON f.name = q.name AND f.nblob = q.bn WHERE f.commit_id <> q.self_commit),
 hq AS (SELECT DISTINCT * FROM (SELECT * FROM d4q UNION ALL SELECT * FROM d6q)),
 qs AS (SELECT name, bn, any_value(lf) AS lf FROM q GROUP BY 1, 2),
-qset AS (SELECT name, bn, {_fuzzy_items_sql(mode, 'lf')} AS s FROM qs),
+qset AS (SELECT name, bn, {_fuzzy_items_sql(mode)} AS s FROM {S.features('name, bn', 'lf', 'qs', K)}),
 vs AS (SELECT name, nblob, any_value(content_lf) AS content_lf FROM firsth GROUP BY 1, 2),
-vset AS (SELECT name, nblob, {_fuzzy_items_sql(mode, 'content_lf')} AS s FROM vs),
+vset AS (SELECT name, nblob, {_fuzzy_items_sql(mode)} AS s FROM {S.features('name, nblob', 'content_lf', 'vs', K)}),
 qi AS (SELECT name, bn, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM qset),
 vi AS (SELECT name, nblob, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM vset),
 sc AS (SELECT qi.name, qi.bn, vi.nblob, count(*) AS inter, any_value(qi.n) AS nq, any_value(vi.n) AS nv

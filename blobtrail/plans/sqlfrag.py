@@ -39,16 +39,35 @@ def hex_of(u: str) -> str:
     return f"lpad(lower(hex(({u})::UBIGINT)), 16, '0')"
 
 
-def char_ngrams(stream: str, n: int) -> str:
+def char_ngrams(stream: str, n: int, chars: str | None = None) -> str:
+    """Distinct character n-grams of ``stream`` (``chars`` is accepted for
+    list-based variants; substr is the faster form in DuckDB)."""
+    chars = chars or f"string_split({stream}, '')"
     if n <= 1:
-        return f"(CASE WHEN length({stream}) = 0 THEN []::VARCHAR[] ELSE list_distinct(string_split({stream}, '')) END)"
+        return f"(CASE WHEN length({stream}) = 0 THEN []::VARCHAR[] ELSE list_distinct({chars}) END)"
     return (
         f"(CASE WHEN length({stream}) = 0 THEN []::VARCHAR[] WHEN length({stream}) < {n} THEN [{stream}] "
-        f"ELSE list_distinct(list_transform(range(1, length({stream}) - {n} + 2), "
-        f"lambda i: array_to_string(string_split({stream}, '')[i:i + {n - 1}], ''))) END)"
+        f"ELSE list_distinct(list_transform(range(1, length({stream}) - {n} + 2), lambda i: substr({stream}, i, {n}))) END)"
     )
 
 
+def features(keys: str, text: str, src: str, k: int = 5) -> str:
+    """Derived table with ``keys``, tok, st (token stream), chars and hx
+    (ordered shingle hashes), each computed once per row: lambdas below
+    read these columns per position and must not recompute them."""
+    return (
+        f"(SELECT *, list_transform({shingles('tok', k)}, lambda x: {hex16('x')}) AS hx, string_split(st, '') AS chars FROM "
+        f"(SELECT *, array_to_string(tok, ' ') AS st FROM (SELECT {keys}, {tokens(text)} AS tok FROM {src})))"
+    )
+
+
+SET_EXPR = {
+    "jaccard": lambda k, n, w: f"list_distinct({shingles('tok', k)})",
+    "charjaccard": lambda k, n, w: char_ngrams("st", n, "chars"),
+    "winnow": lambda k, n, w: winnow("hx", w),
+}
+
+
 def winnow(hx: str, w: int) -> str:
     return (
         f"(CASE WHEN len({hx}) = 0 THEN []::VARCHAR[] WHEN len({hx}) <= {w} THEN [list_min({hx})] "
@@ -94,5 +113,5 @@ def simhash_cte(src: str, key: str, tok_col: str, name: str = "sh") -> str:
     return f"""
 {name}_t AS (SELECT {key} AS k, {u64(hex16('t'))} AS u FROM (SELECT {key}, unnest({tok_col}) AS t FROM {src})),
 {name}_b AS (SELECT k, bit, sum(CASE WHEN (u >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS acc FROM {name}_t, range(64) AS r(bit) GROUP BY k, bit),
-{name}_v AS (SELECT k, sum(CASE WHEN acc > 0 THEN CAST(pow(2, bit) AS UHUGEINT) ELSE 0::UHUGEINT END)::UBIGINT AS u FROM {name}_b GROUP BY k),
+{name}_v AS (SELECT k, bit_or(CASE WHEN acc > 0 THEN CAST(pow(2, bit) AS UBIGINT) ELSE 0::UBIGINT END) AS u FROM {name}_b GROUP BY k),
 {name} AS (SELECT s.{key} AS {key}, coalesce(v.u, 0::UBIGINT) AS u FROM {src} s LEFT JOIN {name}_v v ON v.k = s.{key})"""

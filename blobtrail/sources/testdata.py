@@ -231,9 +231,10 @@ def step_events(repo: Repo) -> DataFrame:
     value * 1000 scaled by event_id % 200 (so minutes and hours occur)."""
     e = repo.table("events")
     ms = (F.col("value") * 1000).cast("long") * (F.col("event_id") % 200)
+    start = F.col("ts").cast("timestamp")
     return e.select(
         F.col("user_id").alias("run_id"),
         F.col("event_type").alias("step"),
-        F.col("ts").alias("start_ts"),
-        F.timestamp_micros(F.unix_micros("ts") + ms * 1000).alias("end_ts"),
+        start.alias("start_ts"),
+        F.timestamp_micros(F.unix_micros(start) + ms * 1000).alias("end_ts"),
     )
