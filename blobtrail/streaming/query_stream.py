@@ -1,0 +1,35 @@
+"""Query files that keep arriving (e.g. files landed in a folder) matched
+against the version tables with Structured Streaming: each micro-batch of
+new query files runs the same batch cascade (a stream-static join), and the
+per-query summary is appended to a table. The reference has no streaming
+operator; this only feeds the batch operator incrementally, with the
+checkpoint folder giving exactly-once progress across restarts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from blobtrail.operators.cascade import MatchParams, match_cascade
+
+
+def start_query_stream(
+    spark: SparkSession,
+    source_dir: str,
+    schema: str,
+    tables: dict[str, DataFrame],
+    out_path: str,
+    checkpoint: str,
+    params: MatchParams | None = None,
+):
+    """``source_dir`` holds parquet files of (query_id, path, content);
+    ``tables`` gives file_versions, changes, path_objects, commit_attrs.
+    Returns the running StreamingQuery."""
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+
+    def run_batch(batch: DataFrame, epoch_id: int) -> None:
+        res = match_cascade(
+            batch, tables["file_versions"], tables["changes"], tables["path_objects"], tables["commit_attrs"], params
+        )
+        res["summary"].write.mode("append").parquet(out_path)
+
+    return stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint).start()
