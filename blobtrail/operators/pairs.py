@@ -101,13 +101,14 @@ def set_pairs(
 
     lv = L.select(F.col("k").alias("l_key"), "_blk", F.col("items").alias("l_items"), F.col("n").alias("l_n"))
     rv = R.select(F.col("k").alias("r_key"), "_blk", F.col("items").alias("r_items"), F.col("n").alias("r_n"))
+    joined = cand.join(lv, ["l_key", "_blk"]).join(rv, ["r_key", "_blk"])
+    # The intersection is computed once per pair: a one-row explode keeps the
+    # optimizer from copying it into the join condition as well.
+    inter = F.explode(F.array(F.size(F.array_intersect("l_items", "r_items")))).alias("inter")
     scored = (
-        cand.join(lv, ["l_key", "_blk"])
-        .join(rv, ["r_key", "_blk"])
-        .withColumn("inter", F.size(F.array_intersect("l_items", "r_items")))
+        joined.select("l_key", "r_key", "_blk", "l_n", "r_n", inter)
         .withColumn("score", F.col("inter") / (F.col("l_n") + F.col("r_n") - F.col("inter")))
         .where(F.col("score") >= F.lit(t))
-        .drop("l_items", "r_items")
     )
     return _restore_block(scored, block)
 
