@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import chat, mixing, quality, secrets
+from blobtrail.llm import chat, mixing, pieces, quality, secrets
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (chat.query, chat.ORACLE_SQL),
     "op3_mix_sources": (mixing.query, mixing.ORACLE_SQL),
     "op7_quality_rules": (quality.query, None),
     "op9_secret_scan": (secrets.query, None),
+    "op10_sentencepiece": (pieces.query, None),
 }

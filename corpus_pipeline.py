@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import mixing, quality, secrets
+from blobtrail.llm import mixing, pieces, quality, secrets
 from blobtrail.llm.common import shared_dir
 
 STAGES = [
     ("quality rules", quality.stage),
     ("secret scans", secrets.stage),
     ("mixing sources to target weights", mixing.stage),
+    ("SentencePiece encoding and decoding", pieces.stage),
 ]
 
 # Keyed sampling, trained models and seeded segmentation are not SQL; tests
