@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import chat, mixing, pieces, quality, secrets
+from blobtrail.llm import chat, mixing, neighbours, pieces, quality, secrets, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (chat.query, chat.ORACLE_SQL),
     "op3_mix_sources": (mixing.query, mixing.ORACLE_SQL),
+    "op4_nearest_neighbours": (neighbours.query, neighbours.ORACLE_SQL),
+    "op6_token_counts": (token_counts.query, None),
     "op7_quality_rules": (quality.query, None),
     "op9_secret_scan": (secrets.query, None),
     "op10_sentencepiece": (pieces.query, None),
