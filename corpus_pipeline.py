@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import mixing, pieces, quality, secrets
+from blobtrail.llm import mixing, near_dup, pieces, quality, secrets
 from blobtrail.llm.common import shared_dir
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("MinHash near-dedup", near_dup.stage),
     ("secret scans", secrets.stage),
     ("mixing sources to target weights", mixing.stage),
     ("SentencePiece encoding and decoding", pieces.stage),
