@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import chat, mixing, near_dup, neighbours, pieces, quality, secrets, token_counts
+from blobtrail.llm import chat, mixing, near_dup, neighbours, pieces, quality, secrets, substrings, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (chat.query, chat.ORACLE_SQL),
     "op2_near_duplicates": (near_dup.query, near_dup.ORACLE_SQL),
     "op3_mix_sources": (mixing.query, mixing.ORACLE_SQL),
     "op4_nearest_neighbours": (neighbours.query, neighbours.ORACLE_SQL),
+    "op5_substring_dedup": (substrings.query, substrings.ORACLE_SQL),
     "op6_token_counts": (token_counts.query, None),
     "op7_quality_rules": (quality.query, None),
     "op9_secret_scan": (secrets.query, None),
