@@ -1,0 +1,55 @@
+import re
+
+import pytest
+
+from blobtrail.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    """The fixed patterns as stated, failing matches dropped."""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", "password=abcdefghijkl", "secret = token: abcdefghijklmnop", "API_KEY: 'AKIAABCDEFGHIJKLMN'", "AKIAAKIAABCDEFGHIJ0 deadbeefdeadbeef0 x",
+        'Token"="0123456789abcdef', "pſecret=aaaaaaaaaaaaaaaaaaaa", "\U0001f600 passwd:  abcdefabcdef1234", "0123456789abcde g 0123456789abcdef",
+    ],
+)
+def test_base_spans(text):
+    assert secrets.base_spans(text) == base(text)
+
+
+@pytest.fixture(scope="module")
+def model(sample):
+    return secrets.train(sample)
+
+
+def test_model_parts_random_from_ordinary(sample, model):
+    fresh = secrets.random.Random(99)
+    drawn = ["".join(fresh.choices(fresh.choice(secrets.RANDOM_ALPHABETS), k=32)) for _ in range(400)]
+    hit = sum(len(secrets.all_spans(f"see {s} there", model)) > 0 for s in drawn)
+    assert hit >= 0.95 * len(drawn)
+    runs = {m[0] for r in sample.collect() for m in secrets.RUN.finditer(r["text"] or "") if not base(m[0])}
+    plain = [r for r in runs if r.isalpha() and (r.islower() or r.istitle())]
+    assert sum(secrets.ratio(model, r) >= secrets.MIN_RATIO for r in plain) <= 0.02 * len(plain)
+
+
+def test_scan_and_redact(docs, no_docs, model):
+    for r in secrets.scan(docs, model).collect():
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        kinds = [x[0] for x in spans]
+        assert (kinds.count("assign"), kinds.count("access"), kinds.count("hex")) == (r["n_assign"], r["n_access"], r["n_hex"])
+    clean = secrets.redact(docs, model)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    for r in clean.collect():
+        assert base(r["text"] or "") == []
+        assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+    assert secrets.scan(no_docs, model).count() == 0 and secrets.redact(no_docs, model).count() == 0
+    assert secrets.train(no_docs).shape == (secrets.SIZE, secrets.SIZE)
