@@ -48,7 +48,7 @@ SHINGLE = 4
 PERCENT = 80  # links: 100 * intersection >= PERCENT * union
 PLACES_BITS, COORDS, BANDS, ROWS = 20, 512, 32, 5
 MIN_ESTIMATE = 0.72
-BLOCK = 2048
+BLOCK = 1024
 SEED = 2
 # ---------------------------------------------------------------------------
 # Of 4-bit coordinates one in 16 agrees by chance.
@@ -146,6 +146,11 @@ def sized(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return arrow_map(j.where(near).select("a", "b", "sig_a", "sig_b"), over, "a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links by their full shingle sets."""
 
@@ -164,22 +169,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for a, b, pa_, pb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b")), strict=True):
                 x, y = full(a, pa_), full(b, pb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(linked(x, y))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"packed_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(stream, "a long, b long")
 
 
-def _cross_pairs(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components inside one block of a bucket that share
-    no earlier band and may be links."""
+def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components inside one cell of a bucket: pairs
+    that share no earlier band and may be links are confirmed on their full
+    sets right here, so only links leave the task."""
     sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(len(cell), -1)
     bands, node, comp = np.stack(cell["bands"].to_numpy()), cell["node"].to_numpy(), cell["comp"].to_numpy()
-    n, part, key = cell["n_shingles"].to_numpy(), cell["part"].to_numpy(), cell["key"].iloc[0]
+    n, part, key, packed = cell["n_shingles"].to_numpy(), cell["part"].to_numpy(), cell["key"].iloc[0], cell["packed"].to_numpy()
     two_sided = cell["x"].iloc[0] != cell["y"].iloc[0]
-    a, b = [], []
+    unpack, sets, a, b = zstandard.ZstdDecompressor(), {}, [], []
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(unpack.decompress(packed[i]).split())
+        return sets[i]
+
     for i in range(len(cell)):
         others = np.arange(i + 1, len(cell))
         ok = comp[others] != comp[i]
@@ -191,13 +202,16 @@ def _cross_pairs(cell: pd.DataFrame) -> pd.DataFrame:
         if len(others):
             shared = bands[others] == bands[i]
             others = others[bands[i][shared.argmax(axis=1)] == key]
-            a += [node[i]] * len(others)
-            b += list(node[others])
-    return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+        for o in others:
+            if linked(full(i), full(o)):
+                a.append(min(node[i], node[o]))
+                b.append(max(node[i], node[o]))
+        sets.pop(i, None)
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def cross_pairs(members: DataFrame, sigs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs between components that meet in a bucket. A large bucket is dealt
+def cross_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between components that meet in a bucket. A large bucket is dealt
     into blocks: those of its most frequent component and those of the rest;
     cells join two blocks, never two of the frequent component."""
     rows = members.join(labels, members["node"] == labels["v"], "left").select("key", "node", F.coalesce("m", "node").alias("comp"))
@@ -216,8 +230,8 @@ def cross_pairs(members: DataFrame, sigs: DataFrame, labels: DataFrame) -> DataF
     cell = lambda i: F.struct(F.least(F.col("part"), i).alias("x"), F.greatest(F.col("part"), i).alias("y"))
     cells = F.when(whole, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).when(F.col("is_main"), F.transform(rest_ids, cell)).otherwise(F.transform(every, cell))
     d = d.select("key", "node", "comp", "part", F.explode(cells).alias("c")).select("key", "node", "comp", "part", "c.x", "c.y")
-    d = d.join(sigs.select("node", "n_shingles", "bands", "sig"), "node")
-    return d.groupBy("key", "x", "y").applyInPandas(_cross_pairs, "a long, b long")
+    d = d.join(sigs.select("node", "n_shingles", "bands", "sig"), "node").join(texts, "node")
+    return d.groupBy("key", "x", "y").applyInPandas(_cell_links, "a long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +253,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = members.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = written(confirmed(sized(star, sigs), texts))
     labels = components(links)
-    more = written(confirmed(cross_pairs(members, sigs, labels), texts))
+    more = written(cross_links(members, sigs, texts, labels))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return rows.join(reps.select("digest", "node"), "digest", "left").select("doc_id", "digest", "n_shingles", "node"), labels
