@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from blobtrail.functions.content import blob_ids_lf_crlf, decode_ignore, normalize_lf
 from blobtrail.functions.tokens import DEFAULT_K, DEFAULT_N, DEFAULT_WINDOW
@@ -23,6 +24,7 @@ from blobtrail.functions.fingerprints import DEFAULT_PERM
 from blobtrail.operators import history as H
 from blobtrail.operators.fingerprint_tables import with_fingerprint
 from blobtrail.operators.pairs import minhash_pairs, set_pairs, simhash_pairs
+from blobtrail.session import written
 
 EXACT, HASH, FUZZY = 1, 2, 3
 MODE_NAME = {EXACT: "exact_blob", HASH: "normalized_path", FUZZY: "normalized_path"}
@@ -92,18 +94,19 @@ def fallback_parts(
     """D2-D6 per content group (name, blob_norm, blob_raw).
 
     Returns the intermediate tables: ``paths`` (C1/C2 per name), ``touched``
-    (D2/D3), ``d4`` (blob-id hits), ``first`` (D5 with LF-normalised
-    content and its id ``nblob``), ``d6`` (content-hash hits) and ``hash``
-    (D4 or D6 per group, with the order key ``o``)."""
+    (D2/D3), ``d4`` (blob-id hits), ``first`` (D5 with the id ``nblob`` of
+    its LF-normalised content), ``d6`` (content-hash hits) and ``hash`` (D4
+    or D6 per group, with the order key ``o``)."""
     names = groups.select("name").distinct()
     # Candidate paths per name; D2/D3: touched commits per name.
     paths = H.discover_paths(names, path_objects.select("path", "ord"), "name").select(
         "name", "path", F.struct(F.lit(1).alias("tier"), F.col("path_ord").alias("ord")).alias("path_rank")
     )
-    touched = H.commits_touching(paths, changes, key="name")
-    # Versions of candidate paths at touched commits.
+    touched = written(H.commits_touching(paths, changes, key="name"))
+    # Versions of candidate paths (a path has one base name, so one row per
+    # version), kept at touched commits. Both D4 and D5 read this table.
     fv = file_versions.select("commit_id", "path", "blob_id")
-    at = touched.join(paths, "name").join(fv, ["commit_id", "path"])
+    at = written(fv.join(paths, "path").join(touched, ["name", "commit_id"]))
 
     ids = groups.select("name", "blob_norm", F.col("blob_norm").alias("id")).unionByName(
         groups.select("name", "blob_norm", F.col("blob_raw").alias("id"))
@@ -112,13 +115,12 @@ def fallback_parts(
     # Any candidate path at the commit already has one of the ids.
     d4 = at.select("name", "commit_id", F.col("blob_id").alias("id"), "touch_ord").join(ids, ["name", "id"])
     # First existing candidate path per (name, commit); D6: its content,
-    # LF-normalised, hashed.
-    first = H.first_existing_version(touched, paths, file_versions, key="name")
+    # LF-normalised, hashed. Contents aren't carried further.
+    first = H.first_versions_at(at)
     content = file_versions.select("commit_id", "path", "content")
     cdtype = file_versions.schema["content"].dataType
-    first = first.join(content, ["commit_id", "path"])
-    first = first.withColumn("content_lf", normalize_lf(F.col("content"), cdtype)).drop("content")
-    first = first.withColumn("nblob", blob_ids_lf_crlf(F.col("content_lf"), cdtype, crlf=False)[0])
+    nblob = blob_ids_lf_crlf(normalize_lf(F.col("content"), cdtype), cdtype, crlf=False)[0]
+    first = written(first.join(content, ["commit_id", "path"]).withColumn("nblob", nblob).drop("content"))
     d6 = first.select("name", "commit_id", F.col("nblob").alias("id"), "touch_ord").join(ids, ["name", "id"])
 
     hash_hits = (
@@ -126,42 +128,50 @@ def fallback_parts(
         .groupBy("name", "blob_norm", "commit_id")
         .agg(F.min(_touch_order(F.col("touch_ord"))).alias("o"))
     )
-    return {"paths": paths, "touched": touched, "ids": ids, "d4": d4, "first": first, "d6": d6, "hash": hash_hits,
-            "cdtype": cdtype}
+    return {"paths": paths, "touched": touched, "ids": ids, "d4": d4, "first": first, "d6": d6, "hash": hash_hits}
 
 
-def fuzzy_tier(groups: DataFrame, parts: dict, p: MatchParams) -> DataFrame:
+def fuzzy_tier(groups: DataFrame, parts: dict, file_versions: DataFrame, p: MatchParams) -> DataFrame:
     """D7 + C4 per content group on distinct contents. Version contents are
     keyed by (name, nblob); a version whose normalised id equals a query id
     is a hash hit, never a fuzzy one. Output: (name, blob_norm, commit_id,
     score, o)."""
-    first, ids, cdtype = parts["first"], parts["ids"], parts["cdtype"]
-    vtext = (
-        first.select("name", "nblob", decode_ignore(F.col("content_lf"), cdtype).alias("text"))
-        .dropDuplicates(["name", "nblob"])
-    )
-    qtext = groups.select("name", "blob_norm", "text").dropDuplicates(["name", "blob_norm"])
-    scored = similarity_pairs_by_content(qtext, vtext, p)
-    scored = scored.join(ids.withColumnRenamed("id", "nblob"), ["name", "blob_norm", "nblob"], "left_anti")
+    scored = fuzzy_scores(groups, parts, file_versions, p)
     return (
-        scored.join(first.select("name", "nblob", "commit_id", "touch_ord"), ["name", "nblob"])
+        scored.join(parts["first"].select("name", "nblob", "commit_id", "touch_ord"), ["name", "nblob"])
         .select("name", "blob_norm", "commit_id", "score", _touch_order(F.col("touch_ord"), -F.col("score")).alias("o"))
     )
 
 
+def fuzzy_scores(groups: DataFrame, parts: dict, file_versions: DataFrame, p: MatchParams) -> DataFrame:
+    """(name, blob_norm, nblob, score) at or above the threshold."""
+    first, ids = parts["first"], parts["ids"]
+    cdtype = file_versions.schema["content"].dataType
+    # One version stands for each distinct content of a name.
+    rep = first.groupBy("name", "nblob").agg(F.min(F.struct("commit_id", "path")).alias("v")).select("name", "nblob", "v.*")
+    content = file_versions.select("commit_id", "path", "content")
+    vtext = rep.join(content, ["commit_id", "path"]).select(
+        "name", "nblob", decode_ignore(normalize_lf(F.col("content"), cdtype), cdtype).alias("text")
+    )
+    qtext = groups.select("name", "blob_norm", "text").dropDuplicates(["name", "blob_norm"])
+    scored = similarity_pairs_by_content(qtext, vtext, p)
+    return scored.join(ids.withColumnRenamed("id", "nblob"), ["name", "blob_norm", "nblob"], "left_anti")
+
+
 def similarity_pairs_by_content(qtext: DataFrame, vtext: DataFrame, p: MatchParams) -> DataFrame:
     """Scores of (query content, version content) pairs of the same name with
-    score >= threshold, in the chosen mode. Output: (name, blob_norm, nblob, score)."""
+    score >= threshold, in the chosen mode; a content isn't compared to itself
+    (that is a hash hit). Output: (name, blob_norm, nblob, score)."""
     mode = p.similarity_mode
     kw = dict(k=p.shingle_size, n=p.char_ngram_size, window=p.winnow_window, num_perm=p.minhash_perm)
     ql = with_fingerprint(qtext.withColumn("key", F.col("blob_norm")), "text", mode, **kw).select("key", "name", "fp")
     vr = with_fingerprint(vtext.withColumn("key", F.col("nblob")), "text", mode, **kw).select("key", "name", "fp")
     if mode == "minhash":
-        pairs = minhash_pairs(ql, vr, p.threshold, p.minhash_perm, sig="fp", block="name")
+        pairs = minhash_pairs(ql, vr, p.threshold, p.minhash_perm, sig="fp", block="name", skip_equal_keys=True)
     elif mode == "simhash":
-        pairs = simhash_pairs(ql, vr, p.threshold, fp="fp", block="name")
+        pairs = simhash_pairs(ql, vr, p.threshold, fp="fp", block="name", skip_equal_keys=True)
     else:
-        pairs = set_pairs(ql, vr, p.threshold, items="fp", block="name")
+        pairs = set_pairs(ql, vr, p.threshold, items="fp", block="name", skip_equal_keys=True)
     return pairs.select("name", F.col("l_key").alias("blob_norm"), F.col("r_key").alias("nblob"), "score")
 
 
@@ -183,21 +193,32 @@ def choose_preferred(hits: DataFrame, gkeys: list[str], attrs: DataFrame) -> Dat
 
 
 def _top2(hits: DataFrame, gkeys: list[str], attrs: DataFrame) -> DataFrame:
-    """Per group: count, best and second-best candidate under F3. Both are
-    partial aggregations (map-side combine), so a hot group never lands whole
-    in one task."""
-    ranked = hits.join(attrs, "commit_id", "left").withColumn(
-        "pk", F.struct(preference_key(F.col("o"), F.col("is_priority"), F.coalesce(F.col("ts"), F.lit(0))).alias("k"), "commit_id")
+    """Per group: count, best and second-best candidate under F3. The row
+    limit of the window runs before its shuffle too, and the count is a
+    partial aggregation, so a hot group never lands whole in one task."""
+    pk = F.struct(preference_key(F.col("o"), F.col("is_priority"), F.coalesce(F.col("ts"), F.lit(0))).alias("k"), "commit_id")
+    ranked = hits.join(attrs, "commit_id", "left").select(*gkeys, "commit_id", pk.alias("pk"))
+    two = ranked.withColumn("_rn", F.row_number().over(Window.partitionBy(*gkeys).orderBy("pk"))).where("_rn <= 2")
+    best = two.groupBy(*gkeys).agg(
+        F.max(F.when(F.col("_rn") == 1, F.col("commit_id"))).alias("c1"), F.max(F.when(F.col("_rn") == 2, F.col("commit_id"))).alias("c2")
     )
-    top1 = ranked.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"), F.min("pk").alias("t1"))
-    second = (
-        ranked.join(top1.select(*gkeys, F.col("t1.commit_id").alias("c1")), gkeys)
-        .where(F.col("commit_id") != F.col("c1"))
-        .groupBy(*gkeys)
-        .agg(F.min("pk").alias("t2"))
-    )
-    return top1.join(second, gkeys, "left").select(
-        *gkeys, "n", F.col("t1.commit_id").alias("c1"), F.col("t2.commit_id").alias("c2")
+    return hits.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n")).join(best, gkeys)
+
+
+def _settle(queries: DataFrame, hits: DataFrame, gkeys: list[str], attrs: DataFrame, tier: int) -> DataFrame:
+    """``queries`` with this tier's outcome: candidates_count without the
+    query's own commit, preferred, and ``tier`` where any candidate is left.
+    Written, so the next tier starts from it."""
+    top = _top2(hits, gkeys, attrs)
+    own = hits.select(*gkeys, F.col("commit_id").alias("self_commit"), F.lit(1).alias("_own"))
+    s = queries.join(top, gkeys, "left").join(own, [*gkeys, "self_commit"], "left")
+    count = F.coalesce("n", F.lit(0)) - F.coalesce("_own", F.lit(0))
+    preferred = F.when(F.col("c1") == F.col("self_commit"), F.col("c2")).otherwise(F.col("c1"))
+    return written(
+        s.select(
+            "query_id", "name", "blob_norm", "blob_raw", "self_commit",
+            F.when(count > 0, tier).alias("tier"), F.when(count > 0, preferred).alias("preferred"), count.cast("long").alias("candidates_count"),
+        )
     )
 
 
@@ -213,67 +234,54 @@ def match_cascade(
 
     ``query_files``: (query_id, path, content[, self_commit]).
     ``commit_attrs``: (commit_id, ts long, is_priority boolean).
-    Returns ``summary`` (one row per query) and ``candidates`` (one row per
-    (group, commit) of the tier each group needs), plus the tier tables."""
+
+    Each tier is computed once, written, and only for the groups that some
+    query left open: a query is open while it has no hit but its own commit.
+    Returns ``summary`` (one row per query; ``reason`` tells the two kinds of
+    no match apart) and ``candidates`` (one row per (group, commit) of the
+    tier that settled some query of it), plus the tier tables."""
     p = params or MatchParams()
     q = prepare_queries(query_files, p.crlf_variant)
     if "self_commit" not in q.columns:
         q = q.withColumn("self_commit", F.lit(None).cast(file_versions.schema["commit_id"].dataType))
-    groups = q.select("name", "blob_norm", "blob_raw", "text").dropDuplicates(["name", "blob_norm"])
-
-    ex = exact_hits(groups, changes, p.contains_only)
-    parts = fallback_parts(groups, file_versions, changes, path_objects)
-    hh = parts["hash"]
-    fz = fuzzy_tier(groups, parts, p)
-
-    ex_top = _top2(ex, ["blob_norm"], commit_attrs)
-    hh_top = _top2(hh, ["name", "blob_norm"], commit_attrs)
-    fz_top = _top2(fz.drop("score"), ["name", "blob_norm"], commit_attrs)
-
-    def self_flag(hits: DataFrame, keys: list[str], alias: str) -> DataFrame:
-        return hits.select(*keys, F.col("commit_id").alias("self_commit"), F.lit(True).alias(alias))
-
-    base = q.select("query_id", "name", "blob_norm", "blob_raw", "self_commit")
-    s = base
-    for tier, top, hits, keys in (
-        ("e", ex_top, ex, ["blob_norm"]),
-        ("h", hh_top, hh, ["name", "blob_norm"]),
-        ("f", fz_top, fz, ["name", "blob_norm"]),
-    ):
-        s = s.join(top.select(*keys, F.col("n").alias(f"{tier}_n"), F.col("c1").alias(f"{tier}_c1"), F.col("c2").alias(f"{tier}_c2")), keys, "left")
-        s = s.join(self_flag(hits, keys, f"{tier}_self"), keys + ["self_commit"], "left")
-
-    def eff(t: str) -> Column:
-        return F.coalesce(F.col(f"{t}_n"), F.lit(0)) - F.when(F.col(f"{t}_self"), 1).otherwise(0)
-
-    def pref(t: str) -> Column:
-        return F.when(F.col(f"{t}_c1") == F.col("self_commit"), F.col(f"{t}_c2")).otherwise(F.col(f"{t}_c1"))
-
-    tier = F.when(eff("e") > 0, EXACT).when(eff("h") > 0, HASH).when(eff("f") > 0, FUZZY)
-    s = s.withColumn("tier", tier)
-    summary = s.select(
+    base = written(q.select("query_id", "name", "blob_norm", "blob_raw", "self_commit"))
+    gkeys = ["name", "blob_norm"]
+
+    exact = written(exact_hits(base, changes, p.contains_only))
+    by_exact = _settle(base, exact, ["blob_norm"], commit_attrs, EXACT)
+    left = by_exact.where("tier IS NULL")
+    parts = fallback_parts(left.select(*gkeys, "blob_raw").distinct(), file_versions, changes, path_objects)
+    hashed = written(parts["hash"])
+    by_hash = _settle(left, hashed, gkeys, commit_attrs, HASH)
+    left = by_hash.where("tier IS NULL")
+    still = left.select(*gkeys).distinct()
+    groups = q.select(*gkeys, "text").join(still, gkeys, "left_semi").dropDuplicates(gkeys)
+    fuzzy = written(fuzzy_tier(groups, parts, file_versions, p))
+    by_fuzzy = _settle(left, fuzzy.drop("score"), gkeys, commit_attrs, FUZZY)
+
+    settled = by_exact.where("tier IS NOT NULL").unionByName(by_hash.where("tier IS NOT NULL")).unionByName(by_fuzzy)
+    with_paths = parts["paths"].select("name").distinct().withColumn("_paths", F.lit(True))
+    summary = settled.join(with_paths, "name", "left").select(
         "query_id",
-        F.when(F.col("tier") == EXACT, "exact_blob").when(F.col("tier").isNotNull(), "normalized_path").otherwise("no_match").alias("mode"),
+        F.when(F.col("tier") == EXACT, MODE_NAME[EXACT]).when(F.col("tier").isNotNull(), MODE_NAME[HASH]).otherwise("no_match").alias("mode"),
         "tier",
         F.lit(p.similarity_mode).alias("similarity_mode"),
         F.col("blob_norm").alias("local_blob_norm"),
         F.col("blob_raw").alias("local_blob_raw"),
-        F.when(F.col("tier") == EXACT, pref("e")).when(F.col("tier") == HASH, pref("h")).when(F.col("tier") == FUZZY, pref("f")).alias("preferred"),
-        F.when(F.col("tier") == EXACT, eff("e")).when(F.col("tier") == HASH, eff("h")).when(F.col("tier") == FUZZY, eff("f")).otherwise(0).alias("candidates_count"),
+        "preferred",
+        F.when(F.col("tier").isNotNull(), F.col("candidates_count")).otherwise(0).alias("candidates_count"),
+        F.when(F.col("tier").isNull(), F.when(F.col("_paths"), "no candidates").otherwise("no candidate paths")).alias("reason"),
         "name",
         "self_commit",
     )
-    # Candidate lists per group, only for the tier some query of it uses.
-    need = summary.select("name", F.col("local_blob_norm").alias("blob_norm"), "tier").distinct()
-    cand_e = ex.join(need.where(F.col("tier") == EXACT).select("blob_norm").distinct(), "blob_norm").select(
-        F.lit(None).cast("string").alias("name"), "blob_norm", F.lit(EXACT).alias("tier"), "commit_id", "o", F.lit(None).cast("double").alias("score")
-    )
-    cand_h = hh.join(need.where(F.col("tier") == HASH).select("name", "blob_norm"), ["name", "blob_norm"]).select(
-        "name", "blob_norm", F.lit(HASH).alias("tier"), "commit_id", "o", F.lit(None).cast("double").alias("score")
-    )
-    cand_f = fz.join(need.where(F.col("tier") == FUZZY).select("name", "blob_norm"), ["name", "blob_norm"]).select(
-        "name", "blob_norm", F.lit(FUZZY).alias("tier"), "commit_id", "o", "score"
+    # Candidate lists per group, only for the tier that settled some query.
+    no_name, no_score = F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("score")
+    need_exact = by_exact.where("tier IS NOT NULL").select("blob_norm").distinct()
+    need_hash = by_hash.where("tier IS NOT NULL").select(*gkeys).distinct()
+    need_fuzzy = by_fuzzy.where("tier IS NOT NULL").select(*gkeys).distinct()
+    candidates = (
+        exact.join(need_exact, "blob_norm").select(no_name, "blob_norm", F.lit(EXACT).alias("tier"), "commit_id", "o", no_score)
+        .unionByName(hashed.join(need_hash, gkeys).select(*gkeys, F.lit(HASH).alias("tier"), "commit_id", "o", no_score))
+        .unionByName(fuzzy.join(need_fuzzy, gkeys).select(*gkeys, F.lit(FUZZY).alias("tier"), "commit_id", "o", "score"))
     )
-    candidates = cand_e.unionByName(cand_h).unionByName(cand_f)
-    return {"summary": summary, "candidates": candidates, "exact": ex, "hash": hh, "fuzzy": fz, "queries": q,
-            "groups": groups, "parts": parts}
+    return {"summary": summary, "candidates": candidates, "exact": exact, "hash": hashed, "fuzzy": fuzzy, "queries": q, "parts": parts}

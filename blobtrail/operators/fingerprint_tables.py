@@ -1,6 +1,7 @@
 """Per-row fingerprints of a text column for each similarity mode, as the
 inputs of the pair joins: item sets (array<long>), MinHash signatures or
-SimHash values. Row-local; no shuffle."""
+SimHash values. Row-local; no shuffle. The joins read them several times, so
+they are written once."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blobtrail.functions import fingerprints as fp
 from blobtrail.functions import tokens as tk
-from blobtrail.session import persist, spread
+from blobtrail.session import written
 
 MODES = ("jaccard", "charjaccard", "minhash", "simhash", "winnow")
 
@@ -31,7 +32,7 @@ def with_fingerprint(
     if mode not in MODES:
         raise ValueError(f"unknown similarity mode {mode!r}; expected one of {MODES}")
     k = max(1, int(k))
-    tmp = tk.with_array(spread(df), "_tok", tk.tokenize(F.col(text_col)))
+    tmp = tk.with_array(df, "_tok", tk.tokenize(F.col(text_col)))
     if mode == "jaccard":
         res = tmp.withColumn(out, F.transform(tk.shingle_set(F.col("_tok"), k), lambda s: F.xxhash64(s)))
         res = res.withColumn(out, F.array_distinct(out))
@@ -49,4 +50,4 @@ def with_fingerprint(
     else:  # simhash
         res = tk.with_array(tmp, "_h", F.transform(F.col("_tok"), lambda s: tk.hash64(s)))
         res = res.withColumn(out, fp.simhash64("_h")).drop("_h")
-    return persist(res.drop("_tok"))
+    return written(res.drop("_tok", text_col))

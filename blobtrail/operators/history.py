@@ -82,17 +82,12 @@ def commits_touching(paths: DataFrame, changes: DataFrame, key: str = "query_id"
     return touched.groupBy(key, "commit_id").agg(F.min("touch_ord").alias("touch_ord"))
 
 
-def first_existing_version(
-    touched: DataFrame, paths: DataFrame, file_versions: DataFrame, key: str = "query_id"
-) -> DataFrame:
-    """D5 (+A2): per (key, touched commit), the version of the first candidate
-    path (by path_rank) that exists at that commit. Commits where no candidate
-    path exists drop out (the left side of A2's null)."""
-    fv = file_versions.select("commit_id", "path", "blob_id")
-    at = touched.select(key, "commit_id", "touch_ord").join(paths, key).join(fv, ["commit_id", "path"])
-    best = at.groupBy(key, "commit_id").agg(
-        F.min(F.struct("path_rank", "path", "blob_id", "touch_ord")).alias("v")
-    )
+def first_versions_at(at: DataFrame, key: str = "name") -> DataFrame:
+    """Of the versions of candidate paths at touched commits, the one of
+    the first path (by path_rank) per (key, commit). Commits where no candidate
+    path exists have no row in ``at`` and drop out (the left side of A2's
+    null). ``at``: (key, commit_id, path, blob_id, path_rank, touch_ord)."""
+    best = at.groupBy(key, "commit_id").agg(F.min(F.struct("path_rank", "path", "blob_id", "touch_ord")).alias("v"))
     return best.select(key, "commit_id", "v.path", "v.blob_id", "v.touch_ord")
 
 
@@ -139,11 +134,17 @@ def branch_class(branch: Column) -> Column:
 
 
 def commit_branch_info(reach: DataFrame) -> DataFrame:
-    """Per commit: is_priority (on any priority branch), the F4 representative
-    branch, and all its branches sorted (bounded by the number of refs)."""
+    """Per commit: is_priority (on any priority branch) and the F4
+    representative branch. Both are partial aggregations; no branch list."""
     r = reach.withColumn("cls", branch_class(F.col("branch")))
     return r.groupBy("commit_id").agg(
         F.max(F.col("cls") == 0).alias("is_priority"),
         F.min(F.struct("cls", "branch")).getField("branch").alias("branch"),
-        F.array_sort(F.collect_list("branch")).alias("branches"),
     )
+
+
+def branch_lists(reach: DataFrame, commits: DataFrame) -> DataFrame:
+    """(commit_id, branches) sorted, for the commits asked for only (at most
+    one entry per ref)."""
+    wanted = commits.select("commit_id").distinct()
+    return reach.join(wanted, "commit_id").groupBy("commit_id").agg(F.array_sort(F.collect_list("branch")).alias("branches"))

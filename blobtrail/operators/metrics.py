@@ -22,8 +22,9 @@ def step_metrics(events: DataFrame) -> DataFrame:
             F.max("end_ts").alias("end_ts"),
             F.sum("ms").alias("ms"),
             F.grouping("step").alias("is_total"),
+            F.grouping("run_id").alias("_all_runs"),
         )
-        .where(F.col("run_id").isNotNull())
+        .where("_all_runs = 0")  # a null run_id is a run of its own
     )
     return agg.select(
         "run_id",

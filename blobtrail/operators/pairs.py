@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blobtrail.functions.fingerprints import jaccard, minhash_similarity, simhash_similarity
+from blobtrail.functions.fingerprints import minhash_similarity, simhash_similarity
 
 EPS = 1e-9
 # An empty set is replaced by this single item: J({s},{s}) = 1 and
@@ -33,6 +33,15 @@ EPS = 1e-9
 EMPTY_ITEM = -0x6A09E667F3BCC909
 
 
+def checked_threshold(threshold: float) -> float:
+    """Every pair scores 0 or more, so a threshold of 0 asks for all pairs:
+    refused, like one that nothing reaches."""
+    t = float(threshold)
+    if not 0 < t <= 1:
+        raise ValueError(f"similarity threshold must be above 0 and at most 1, not {threshold!r}")
+    return t
+
+
 def prefix_len(n: Column, t: float) -> Column:
     return n - F.ceil(n * F.lit(t) - F.lit(EPS)) + 1
 
@@ -50,6 +59,7 @@ def set_pairs(
     key: str = "key",
     items: str = "items",
     block: str | None = None,
+    skip_equal_keys: bool = False,
 ) -> DataFrame:
     """Exact set-similarity join.
 
@@ -57,7 +67,7 @@ def set_pairs(
     ``right=None`` is a self-join returning each unordered pair once
     (l_key < r_key). Returns (l_key, r_key, [block], inter, l_n, r_n, score)
     for every pair with Jaccard >= threshold."""
-    t = float(threshold)
+    t = checked_threshold(threshold)
     self_join = right is None
 
     def prep(df: DataFrame) -> DataFrame:
@@ -95,6 +105,8 @@ def set_pairs(
     cond = cond & (F.col("b.n") >= F.ceil(F.col("a.n") * t - EPS)) & (F.col("b.n") * t <= F.col("a.n") + EPS)
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
+    elif skip_equal_keys:
+        cond = cond & (F.col("a.k") != F.col("b.k"))
     cand = a.join(b, cond).select(
         F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk")
     ).distinct()
@@ -139,10 +151,11 @@ def minhash_pairs(
     key: str = "key",
     sig: str = "sig",
     block: str | None = None,
+    skip_equal_keys: bool = False,
 ) -> DataFrame:
     """Exact MinHash-estimate join: (l_key, r_key, [block], score) with
     score >= threshold, via lossless banding."""
-    t = float(threshold)
+    t = checked_threshold(threshold)
     self_join = right is None
     max_diff = num_perm - math.ceil(t * num_perm - EPS)
     bands = _bands(num_perm, max_diff + 1)
@@ -167,6 +180,8 @@ def minhash_pairs(
     cond = (F.col("a._blk") == F.col("b._blk")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bh") == F.col("b.bh"))
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
+    elif skip_equal_keys:
+        cond = cond & (F.col("a.k") != F.col("b.k"))
     cand = a.join(b, cond).select(F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk")).distinct()
     lv = L.select(F.col("k").alias("l_key"), "_blk", F.col("sig").alias("l_sig"))
     rv = R.select(F.col("k").alias("r_key"), "_blk", F.col("sig").alias("r_sig"))
@@ -186,10 +201,11 @@ def simhash_pairs(
     key: str = "key",
     fp: str = "fp",
     block: str | None = None,
+    skip_equal_keys: bool = False,
 ) -> DataFrame:
     """Exact SimHash join: (l_key, r_key, [block], score) with
     1 - hamming/64 >= threshold, via lossless bit blocks."""
-    t = float(threshold)
+    t = checked_threshold(threshold)
     self_join = right is None
     max_dist = max(0, math.floor(64 * (1 - t) + EPS))
     blocks = _bands(64, max_dist + 1)
@@ -217,6 +233,8 @@ def simhash_pairs(
     cond = (F.col("a._blk") == F.col("b._blk")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bh") == F.col("b.bh"))
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
+    elif skip_equal_keys:
+        cond = cond & (F.col("a.k") != F.col("b.k"))
     cand = a.join(b, cond).select(F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk")).distinct()
     lv = L.select(F.col("k").alias("l_key"), "_blk", F.col("fp").alias("l_fp"))
     rv = R.select(F.col("k").alias("r_key"), "_blk", F.col("fp").alias("r_fp"))
@@ -228,6 +246,3 @@ def simhash_pairs(
     )
     return _restore_block(scored, block)
 
-
-def pair_score_exact(a: Column, b: Column) -> Column:
-    return jaccard(a, b)

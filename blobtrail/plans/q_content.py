@@ -13,7 +13,7 @@ from blobtrail.functions import tokens as T
 from blobtrail.plans import sqlfrag as S
 from blobtrail.plans.oracle_views import blob_sql, with_views
 from blobtrail.plans.registry import register
-from blobtrail.session import persist, spread
+from blobtrail.session import written
 from blobtrail.sources.testdata import CHAIN_STEP, Repo
 
 K = T.DEFAULT_K
@@ -32,7 +32,7 @@ def _digest_list(arr: Column, sep: str = "\n") -> Column:
 
 
 def _docs_tokens(repo: Repo) -> DataFrame:
-    d = spread(repo.table("documents").select("doc_id", "text"))
+    d = repo.table("documents").select("doc_id", "text")
     return T.with_array(d, "tok", T.tokenize(F.col("text")))
 
 
@@ -165,37 +165,36 @@ def q_char_ngrams(repo: Repo) -> DataFrame:
 # --- fingerprints per document (E2, E4, E6) ------------------------------------
 
 
-def _doc_fingerprints(repo: Repo) -> DataFrame:
-    """One row per document with every fingerprint the queries below use;
-    persisted because several queries and both sides of the parent pairs
-    read it."""
+def doc_fingerprint(repo: Repo, kind: str) -> DataFrame:
+    """(doc_id, fp) of every document: ``sset`` distinct shingles, ``grams``
+    distinct character n-grams, ``win`` winnowing values, ``simhash`` or
+    ``sig`` (MinHash). Only the one asked for is computed."""
     d = _docs_tokens(repo)
-    d = d.withColumn("sset", T.shingle_set(F.col("tok"), K))
-    d = T.with_array(d, "shx", FP.shingle_hex(T.shingles(F.col("tok"), K)))
-    d = T.with_array(d, "th", F.transform("tok", lambda s: T.hash64(s)))
-    d = d.withColumn("st", T.token_stream(F.col("tok")))
-    d = T.with_array(d, "ch", F.split("st", ""))
-    d = d.withColumn("grams", T.char_ngrams(F.col("st"), N, F.col("ch")))
-    d = d.withColumn("win", FP.winnow_from_hex("shx", W))
-    d = d.withColumn("simhash", FP.simhash64("th"))
-    d = d.withColumn("sig", FP.minhash_signature(F.transform("sset", lambda s: T.hash64(s)), P))
-    return persist(d.select("doc_id", "sset", "grams", "win", "simhash", "sig"))
-
-
-_FP_CACHE: dict[int, DataFrame] = {}
-
-
-def doc_fingerprints(repo: Repo) -> DataFrame:
-    key = id(repo)
-    if key not in _FP_CACHE:
-        _FP_CACHE[key] = _doc_fingerprints(repo)
-    return _FP_CACHE[key]
-
-
-@register("minhash_signature", "E2")
+    if kind == "sset":
+        d = d.withColumn("fp", T.shingle_set(F.col("tok"), K))
+    elif kind == "grams":
+        d = d.withColumn("st", T.token_stream(F.col("tok")))
+        d = T.with_array(d, "ch", F.split("st", ""))
+        d = d.withColumn("fp", T.char_ngrams(F.col("st"), N, F.col("ch")))
+    elif kind == "win":
+        d = T.with_array(d, "shx", FP.shingle_hex(T.shingles(F.col("tok"), K)))
+        d = d.withColumn("fp", FP.winnow_from_hex("shx", W))
+    elif kind == "simhash":
+        d = T.with_array(d, "th", F.transform("tok", lambda s: T.hash64(s)))
+        d = d.withColumn("fp", FP.simhash64("th"))
+    else:
+        d = d.withColumn("fp", FP.minhash_signature(F.transform(T.shingle_set(F.col("tok"), K), lambda s: T.hash64(s)), P))
+    return d.select("doc_id", "fp")
+
+
+_SSET_SQL = f"src AS (SELECT doc_id, list_distinct({S.shingles('t', K)}) AS s FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents))"
+_SIGS_SQL = f"WITH {_SSET_SQL}," + S.minhash_cte("src", "doc_id", "s", P).lstrip()
+
+
+@register("minhash_signature", "E2", _SIGS_SQL + f"\nSELECT doc_id, {S.list_digest('sig', "','")} AS digest, sig[1] AS first_value FROM mh")
 def q_minhash_signature(repo: Repo) -> DataFrame:
-    f = doc_fingerprints(repo)
-    return f.select("doc_id", _digest_list(F.col("sig"), ",").alias("digest"), F.col("sig")[0].alias("first_value"))
+    f = T.with_array(doc_fingerprint(repo, "sig"), "fp", F.col("fp"))
+    return f.select("doc_id", _digest_list(F.col("fp"), ",").alias("digest"), F.col("fp")[0].alias("first_value"))
 
 
 @register(
@@ -205,8 +204,8 @@ def q_minhash_signature(repo: Repo) -> DataFrame:
     + f"\nSELECT doc_id, {S.hex_of('u')} AS simhash_hex FROM sh",
 )
 def q_simhash64(repo: Repo) -> DataFrame:
-    f = doc_fingerprints(repo)
-    return f.select("doc_id", T.long_to_hex(F.col("simhash")).alias("simhash_hex"))
+    f = doc_fingerprint(repo, "simhash")
+    return f.select("doc_id", T.long_to_hex(F.col("fp")).alias("simhash_hex"))
 
 
 @register(
@@ -218,17 +217,17 @@ def q_simhash64(repo: Repo) -> DataFrame:
     f"SELECT doc_id, {S.tokens('text')} AS t FROM documents)))",
 )
 def q_winnow(repo: Repo) -> DataFrame:
-    f = doc_fingerprints(repo)
-    return f.select("doc_id", F.size("win").alias("n_values"), _digest_sorted(F.col("win")).alias("digest"))
+    f = T.with_array(doc_fingerprint(repo, "win"), "fp", F.col("fp"))
+    return f.select("doc_id", F.size("fp").alias("n_values"), _digest_sorted(F.col("fp")).alias("digest"))
 
 
 # --- pair scores: each document against its chain parent (doc_id - 20) --------
 
 
-def _parent_pairs(repo: Repo) -> DataFrame:
-    f = doc_fingerprints(repo)
-    cols = ["sset", "grams", "win", "simhash", "sig"]
-    par = f.select(F.col("doc_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in cols])
+def _parent_pairs(repo: Repo, kind: str) -> DataFrame:
+    """(doc_id, parent_id, fp, p_fp); both sides read one written table."""
+    f = written(doc_fingerprint(repo, kind))
+    par = f.select(F.col("doc_id").alias("parent_id"), F.col("fp").alias("p_fp"))
     return f.join(par, f.doc_id - CHAIN_STEP == par.parent_id)
 
 
@@ -249,20 +248,20 @@ _SETS = {m: f(K, N, W) for m, f in S.SET_EXPR.items()}
 
 @register("jaccard", "E1", _pair_sql(_SETS["jaccard"]))
 def q_jaccard(repo: Repo) -> DataFrame:
-    p = _parent_pairs(repo)
-    return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("sset"), F.col("p_sset")), 6).alias("score"))
+    p = _parent_pairs(repo, "sset")
+    return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("fp"), F.col("p_fp")), 6).alias("score"))
 
 
 @register("charjaccard_score", "E7", _pair_sql(_SETS["charjaccard"]))
 def q_charjaccard(repo: Repo) -> DataFrame:
-    p = _parent_pairs(repo)
-    return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("grams"), F.col("p_grams")), 6).alias("score"))
+    p = _parent_pairs(repo, "grams")
+    return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("fp"), F.col("p_fp")), 6).alias("score"))
 
 
 @register("winnow_score", "E7", _pair_sql(_SETS["winnow"]))
 def q_winnow_score(repo: Repo) -> DataFrame:
-    p = _parent_pairs(repo)
-    return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("win"), F.col("p_win")), 6).alias("score"))
+    p = _parent_pairs(repo, "win")
+    return p.select("doc_id", "parent_id", F.round(FP.jaccard(F.col("fp"), F.col("p_fp")), 6).alias("score"))
 
 
 _SIM_SRC = (
@@ -277,8 +276,8 @@ _SIM_SRC = (
     _SIM_SRC + "\nSELECT p.doc_id, p.parent_id, bit_count(xor(a.u, b.u)) AS hamming FROM pairs p JOIN sh a ON a.doc_id = p.doc_id JOIN sh b ON b.doc_id = p.parent_id",
 )
 def q_hamming(repo: Repo) -> DataFrame:
-    p = _parent_pairs(repo)
-    return p.select("doc_id", "parent_id", T.hamming64(F.col("simhash"), F.col("p_simhash")).alias("hamming"))
+    p = _parent_pairs(repo, "simhash")
+    return p.select("doc_id", "parent_id", T.hamming64(F.col("fp"), F.col("p_fp")).alias("hamming"))
 
 
 @register(
@@ -287,11 +286,19 @@ def q_hamming(repo: Repo) -> DataFrame:
     _SIM_SRC + "\nSELECT p.doc_id, p.parent_id, round(1 - bit_count(xor(a.u, b.u)) / 64.0, 6) AS score FROM pairs p JOIN sh a ON a.doc_id = p.doc_id JOIN sh b ON b.doc_id = p.parent_id",
 )
 def q_simhash_similarity(repo: Repo) -> DataFrame:
-    p = _parent_pairs(repo)
-    return p.select("doc_id", "parent_id", F.round(FP.simhash_similarity(F.col("simhash"), F.col("p_simhash")), 6).alias("score"))
+    p = _parent_pairs(repo, "simhash")
+    return p.select("doc_id", "parent_id", F.round(FP.simhash_similarity(F.col("fp"), F.col("p_fp")), 6).alias("score"))
 
 
-@register("minhash_similarity", "E3")
+@register(
+    "minhash_similarity",
+    "E3",
+    _SIGS_SQL
+    + f""",
+e AS (SELECT doc_id, unnest(sig) AS v, unnest(range({P})) AS i FROM mh)
+SELECT a.doc_id, b.doc_id AS parent_id, round(count(*) FILTER (WHERE a.v = b.v) / {P}.0, 6) AS score
+FROM e a JOIN e b ON a.doc_id - {CHAIN_STEP} = b.doc_id AND a.i = b.i GROUP BY 1, 2""",
+)
 def q_minhash_similarity(repo: Repo) -> DataFrame:
-    p = _parent_pairs(repo)
-    return p.select("doc_id", "parent_id", F.round(FP.minhash_similarity(F.col("sig"), F.col("p_sig")), 6).alias("score"))
+    p = _parent_pairs(repo, "sig")
+    return p.select("doc_id", "parent_id", F.round(FP.minhash_similarity(F.col("fp"), F.col("p_fp")), 6).alias("score"))

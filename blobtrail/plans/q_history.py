@@ -10,7 +10,7 @@ from blobtrail.operators import cascade as CS
 from blobtrail.operators import history as H
 from blobtrail.plans.oracle_views import blob_sql, with_views
 from blobtrail.plans.registry import register
-from blobtrail.session import persist
+from blobtrail.session import written
 from blobtrail.sources.testdata import Repo
 
 PRIO_SQL = H.PRIORITY_BRANCH
@@ -19,31 +19,18 @@ PR_SQL = H.PR_BRANCH
 
 # --- shared Spark pieces --------------------------------------------------------
 
-_CACHE: dict[tuple[int, str], DataFrame] = {}
-
-
-def _cached(repo: Repo, name: str, build) -> DataFrame:
-    key = (id(repo), name)
-    if key not in _CACHE:
-        _CACHE[key] = build()
-    return _CACHE[key]
-
 
 def reach(repo: Repo) -> DataFrame:
-    return _cached(repo, "reach", lambda: H.branches_containing(repo.refs(), repo.commit_parents()))
+    return repo.memo("reach", lambda: H.branches_containing(repo.refs(), repo.commit_parents()))
 
 
 def branch_info(repo: Repo) -> DataFrame:
-    return _cached(repo, "branch_info", lambda: persist(H.commit_branch_info(reach(repo))))
+    return repo.memo("branch_info", lambda: written(H.commit_branch_info(reach(repo))))
 
 
 def commit_attrs(repo: Repo) -> DataFrame:
-    """(commit_id, ts, is_priority, branch, branches) for every commit."""
-    def build() -> DataFrame:
-        ts = H.commit_timestamp(repo.commits())
-        return persist(ts.join(branch_info(repo), "commit_id", "left"))
-
-    return _cached(repo, "attrs", build)
+    """(commit_id, ts, is_priority, branch) for every commit."""
+    return repo.memo("attrs", lambda: written(H.commit_timestamp(repo.commits()).join(branch_info(repo), "commit_id", "left")))
 
 
 def groups(repo: Repo, crlf: bool = False) -> DataFrame:
@@ -52,13 +39,7 @@ def groups(repo: Repo, crlf: bool = False) -> DataFrame:
 
 
 def parts(repo: Repo) -> dict:
-    def build():
-        return CS.fallback_parts(groups(repo), repo.file_versions(), repo.changes(), repo.path_objects())
-
-    key = (id(repo), "parts")
-    if key not in _CACHE:
-        _CACHE[key] = build()
-    return _CACHE[key]
+    return repo.memo("parts", lambda: CS.fallback_parts(groups(repo).drop("text"), repo.file_versions(), repo.changes(), repo.path_objects()))
 
 
 # --- shared oracle pieces -------------------------------------------------------

@@ -11,13 +11,16 @@ from blobtrail.operators import cascade as CS
 from blobtrail.operators.fingerprint_tables import with_fingerprint
 from blobtrail.operators.pairs import minhash_pairs, set_pairs, simhash_pairs
 from blobtrail.operators.ranking import ordered_rank
+from blobtrail.operators import forks as FK
+from blobtrail.operators import history as H
+from blobtrail.operators.metrics import fork_counters
+from blobtrail.plans import q_catalog
 from blobtrail.plans import report as R
 from blobtrail.plans import sqlfrag as S
 from blobtrail.plans.oracle_views import blob_sql, with_views
-from blobtrail.plans.q_history import PATHS_SQL, attrs_sql, commit_attrs
+from blobtrail.plans.q_history import PATHS_SQL, PR_SQL, PRIO_SQL, attrs_sql, branch_info, commit_attrs, groups, parts, reach
 from blobtrail.plans.registry import register
-from blobtrail.session import persist
-from blobtrail.sources.testdata import Repo
+from blobtrail.sources.testdata import FORK_TARGETS, Repo, fork_pages
 
 K, N, W, P = 5, 5, 4, 128
 THRESHOLDS = {"jaccard": 0.8, "charjaccard": 0.8, "winnow": 0.8, "minhash": 0.8, "simhash": 0.9}
@@ -68,7 +71,21 @@ for _mode in ("jaccard", "charjaccard", "winnow"):
     )
 
 
-register("similarity_join_minhash", "D7")(lambda repo: _sim_join(repo, "minhash"))
+def _sig_items(key: str, sigs: str) -> str:
+    """Positions of signatures as rows (key, i, v)."""
+    return f"(SELECT {key}, unnest(sig) AS v, unnest(range({P})) AS i FROM {sigs})"
+
+
+register(
+    "similarity_join_minhash",
+    "D7",
+    f"WITH {_CONTENTS_SQL}, src AS (SELECT rep, list_distinct({S.shingles('t', K)}) AS s FROM (SELECT rep, {_TOK} AS t FROM c)),"
+    + S.minhash_cte("src", "rep", "s", P).lstrip()
+    + f""",
+e AS {_sig_items('rep', 'mh')}
+SELECT a.rep AS doc_a, b.rep AS doc_b, round(count(*) / {P}.0, 6) AS score FROM e a JOIN e b ON a.i = b.i AND a.v = b.v AND a.rep < b.rep
+GROUP BY 1, 2 HAVING count(*) / {P}.0 >= {THRESHOLDS['minhash']}""",
+)(lambda repo: _sim_join(repo, "minhash"))
 
 
 register(
@@ -85,30 +102,64 @@ FROM sh a JOIN sh b ON a.rep < b.rep WHERE 1 - bit_count(xor(a.u, b.u)) / 64.0 >
 # --- D8 cascade -----------------------------------------------------------------
 
 
-def cascade(repo: Repo, mode: str = "jaccard") -> dict:
-    key = (id(repo), mode)
-    if key not in _CASCADES:
-        res = CS.match_cascade(
+def cascade(repo: Repo, mode: str = "jaccard", contains_only: bool = True) -> dict:
+    def build() -> dict:
+        return CS.match_cascade(
             repo.query_files(), repo.file_versions(), repo.changes(), repo.path_objects(),
             commit_attrs(repo).select("commit_id", "ts", "is_priority"),
-            CS.MatchParams(similarity_mode=mode, threshold=CASCADE_T, contains_only=True),
+            CS.MatchParams(similarity_mode=mode, threshold=CASCADE_T, contains_only=contains_only),
         )
-        res["summary"] = persist(res["summary"])
-        _CASCADES[key] = res
-    return _CASCADES[key]
+
+    return repo.memo(f"cascade {mode} {contains_only}", build)
+
+
+def _all_groups(repo: Repo) -> tuple[DataFrame, dict]:
+    """Content groups of all queries and their fallback tables."""
+    return groups(repo), parts(repo)
+
+
+def _set_scores_sql(mode: str) -> str:
+    expr = S.SET_EXPR[mode](K, N, W)
+    return f"""
+qset AS (SELECT name, bn, {expr} AS s FROM {S.features('name, bn', 'lf', 'qs', K)}),
+vset AS (SELECT name, nblob, {expr} AS s FROM {S.features('name, nblob', 'content_lf', 'vs', K)}),
+qi AS (SELECT name, bn, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM qset),
+vi AS (SELECT name, nblob, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM vset),
+sx AS (SELECT qi.name, qi.bn, vi.nblob, count(*) AS inter, any_value(qi.n) AS nq, any_value(vi.n) AS nv
+       FROM qi JOIN vi ON vi.name = qi.name AND vi.item = qi.item GROUP BY 1, 2, 3),
+sc AS (SELECT name, bn, nblob, inter / (nq + nv - inter) AS score FROM sx)"""
 
 
-_CASCADES: dict = {}
+def _minhash_scores_sql() -> str:
+    sets = lambda src, key, text: f"(SELECT name, {key}, name || '/' || {key} AS k, list_distinct({S.shingles('t', K)}) AS s FROM (SELECT name, {key}, {S.tokens(text)} AS t FROM {src}))"
+    return f"""
+qk AS {sets('qs', 'bn', 'lf')}, vk AS {sets('vs', 'nblob', 'content_lf')},
+{S.minhash_cte('qk', 'k', 's', P, 'mq').lstrip()},
+{S.minhash_cte('vk', 'k', 's', P, 'mv').lstrip()},
+qe AS (SELECT q.name, q.bn, e.v, e.i FROM qk q JOIN {_sig_items('k', 'mq')} e ON e.k = q.k),
+ve AS (SELECT q.name, q.nblob, e.v, e.i FROM vk q JOIN {_sig_items('k', 'mv')} e ON e.k = q.k),
+sc AS (SELECT qe.name, qe.bn, ve.nblob, count(*) / {P}.0 AS score FROM qe JOIN ve ON ve.name = qe.name AND ve.i = qe.i AND ve.v = qe.v GROUP BY 1, 2, 3)"""
 
 
-def _fuzzy_items_sql(mode: str) -> str:
-    return S.SET_EXPR[mode](K, N, W)
+def _simhash_scores_sql() -> str:
+    toks = lambda src, key, text: f"(SELECT name, {key}, name || '/' || {key} AS k, {S.tokens(text)} AS tok FROM {src})"
+    return f"""
+qk AS {toks('qs', 'bn', 'lf')}, vk AS {toks('vs', 'nblob', 'content_lf')},
+{S.simhash_cte('qk', 'k', 'tok', 'sq').lstrip()},
+{S.simhash_cte('vk', 'k', 'tok', 'sv').lstrip()},
+sc AS (SELECT a.name, a.bn, b.nblob, 1 - bit_count(xor(x.u, y.u)) / 64.0 AS score
+       FROM qk a JOIN vk b ON b.name = a.name JOIN sq x ON x.k = a.k JOIN sv y ON y.k = b.k)"""
 
 
-def cascade_sql(mode: str = "jaccard") -> str:
+def _scores_sql(mode: str) -> str:
+    return {"minhash": _minhash_scores_sql, "simhash": _simhash_scores_sql}.get(mode, lambda: _set_scores_sql(mode))()
+
+
+def cascade_sql(mode: str = "jaccard", contains_only: bool = True) -> str:
     """The whole cascade per query in DuckDB: exact tier, hash tiers, fuzzy
     tier, own commit excluded, preferred commit by the selection rules."""
     t = CASCADE_T
+    kinds = "('add')" if contains_only else "('add', 'remove')"
     return (
         attrs_sql()
         + ","
@@ -119,7 +170,7 @@ def cascade_sql(mode: str = "jaccard") -> str:
 q AS (SELECT query_id, self_commit, regexp_extract(path, '[^/]*$') AS name, lf, {blob_sql('lf')} AS bn
       FROM (SELECT query_id, self_commit, path, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS lf FROM query_files)),
 ex AS (SELECT q.query_id, c.commit_id, min(c.log_ord) AS o FROM q JOIN changes c ON c.blob_id = q.bn
-       WHERE c.kind = 'add' AND c.commit_id <> q.self_commit GROUP BY 1, 2),
+       WHERE c.kind IN {kinds} AND c.commit_id <> q.self_commit GROUP BY 1, 2),
 firsth AS (SELECT name, commit_id, content_lf, t_path_ord, t_log_ord, {blob_sql('content_lf')} AS nblob FROM first),
 d4q AS (SELECT q.query_id, t.commit_id, t.path_ord, t.log_ord FROM q JOIN paths p ON p.name = q.name
         JOIN file_versions fv ON fv.path = p.path AND fv.blob_id = q.bn
@@ -128,14 +179,9 @@ d6q AS (SELECT q.query_id, f.commit_id, f.t_path_ord AS path_ord, f.t_log_ord AS
         FROM q JOIN firsth f ON f.name = q.name AND f.nblob = q.bn WHERE f.commit_id <> q.self_commit),
 hq AS (SELECT DISTINCT * FROM (SELECT * FROM d4q UNION ALL SELECT * FROM d6q)),
 qs AS (SELECT name, bn, any_value(lf) AS lf FROM q GROUP BY 1, 2),
-qset AS (SELECT name, bn, {_fuzzy_items_sql(mode)} AS s FROM {S.features('name, bn', 'lf', 'qs', K)}),
 vs AS (SELECT name, nblob, any_value(content_lf) AS content_lf FROM firsth GROUP BY 1, 2),
-vset AS (SELECT name, nblob, {_fuzzy_items_sql(mode)} AS s FROM {S.features('name, nblob', 'content_lf', 'vs', K)}),
-qi AS (SELECT name, bn, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM qset),
-vi AS (SELECT name, nblob, greatest(len(s), 1) AS n, unnest(CASE WHEN len(s) = 0 THEN ['<empty>'] ELSE s END) AS item FROM vset),
-sc AS (SELECT qi.name, qi.bn, vi.nblob, count(*) AS inter, any_value(qi.n) AS nq, any_value(vi.n) AS nv
-       FROM qi JOIN vi ON vi.name = qi.name AND vi.item = qi.item GROUP BY 1, 2, 3),
-fz AS (SELECT name, bn, nblob, inter / (nq + nv - inter) AS score FROM sc WHERE inter / (nq + nv - inter) >= {t} AND nblob <> bn),
+{_scores_sql(mode).lstrip()},
+fz AS (SELECT name, bn, nblob, score FROM sc WHERE score >= {t} AND nblob <> bn),
 fq AS (SELECT q.query_id, f.commit_id, fz.score, f.t_path_ord AS path_ord, f.t_log_ord AS log_ord
        FROM q JOIN fz ON fz.name = q.name AND fz.bn = q.bn JOIN firsth f ON f.name = fz.name AND f.nblob = fz.nblob
        WHERE f.commit_id <> q.self_commit),
@@ -146,8 +192,8 @@ tier AS (SELECT q.query_id, q.bn, q.name,
                 CASE WHEN coalesce(ne.n, 0) > 0 THEN 1 WHEN coalesce(nh.n, 0) > 0 THEN 2 WHEN coalesce(nf.n, 0) > 0 THEN 3 END AS tier,
                 CASE WHEN coalesce(ne.n, 0) > 0 THEN ne.n WHEN coalesce(nh.n, 0) > 0 THEN nh.n ELSE coalesce(nf.n, 0) END AS cnt
          FROM q LEFT JOIN ne ON ne.query_id = q.query_id LEFT JOIN nh ON nh.query_id = q.query_id LEFT JOIN nf ON nf.query_id = q.query_id),
-cands AS (SELECT query_id, commit_id, 1 AS tier, 0.0 AS ns, 0 AS r1, o AS r2, 0 AS r3 FROM ex
-          UNION ALL SELECT query_id, commit_id, 2, 0.0, 1, path_ord, log_ord FROM hq
+cands AS (SELECT query_id, commit_id, 1 AS tier, 0.0::DOUBLE AS ns, 0 AS r1, o AS r2, 0 AS r3 FROM ex
+          UNION ALL SELECT query_id, commit_id, 2, 0.0::DOUBLE, 1, path_ord, log_ord FROM hq
           UNION ALL SELECT query_id, commit_id, 3, -score, 1, path_ord, log_ord FROM fq),
 pick AS (SELECT c.query_id, c.commit_id, c.ns, row_number() OVER (PARTITION BY c.query_id ORDER BY
            CASE WHEN a.prio THEN 0 ELSE 1 END, CASE WHEN a.prio THEN c.ns END, CASE WHEN a.prio THEN c.r1 END,
@@ -159,7 +205,7 @@ summary AS (SELECT t.query_id, CASE WHEN t.tier = 1 THEN 'exact_blob' WHEN t.tie
     )
 
 
-for _mode in ("jaccard", "charjaccard", "winnow"):
+for _mode in ("jaccard", "charjaccard", "winnow", "minhash", "simhash"):
     register(
         f"match_cascade_{_mode}",
         "D8",
@@ -167,12 +213,15 @@ for _mode in ("jaccard", "charjaccard", "winnow"):
     )((lambda m: lambda repo: cascade(repo, m)["summary"].select("query_id", "mode", "preferred", "candidates_count"))(_mode))
 
 
-register("match_cascade_minhash", "D8")(
-    lambda repo: cascade(repo, "minhash")["summary"].select("query_id", "mode", "preferred", "candidates_count")
-)
-register("match_cascade_simhash", "D8")(
-    lambda repo: cascade(repo, "simhash")["summary"].select("query_id", "mode", "preferred", "candidates_count")
+@register(
+    "match_cascade_all_changes",
+    "D8",
+    lambda: cascade_sql("jaccard", contains_only=False) + "\nSELECT query_id, mode, preferred, candidates_count FROM summary",
 )
+def q_cascade_all_changes(repo: Repo) -> DataFrame:
+    """The cascade with its default: commits that remove a blob are exact
+    hits too."""
+    return cascade(repo, contains_only=False)["summary"].select("query_id", "mode", "preferred", "candidates_count")
 
 
 @register(
@@ -183,13 +232,8 @@ register("match_cascade_simhash", "D8")(
 def q_threshold(repo: Repo) -> DataFrame:
     """Fuzzy scores of the cascade kept at score >= threshold (inclusive),
     per (name, query content, version content)."""
-    res = cascade(repo, "jaccard")
-    g = res["groups"].select("name", "blob_norm", "text").dropDuplicates(["name", "blob_norm"])
-    parts = res["parts"]
-    first, ids, cdtype = parts["first"], parts["ids"], parts["cdtype"]
-    vtext = first.select("name", "nblob", C.decode_ignore(F.col("content_lf"), cdtype).alias("text")).dropDuplicates(["name", "nblob"])
-    sc = CS.similarity_pairs_by_content(g, vtext, CS.MatchParams(similarity_mode="jaccard", threshold=CASCADE_T))
-    sc = sc.join(ids.withColumnRenamed("id", "nblob"), ["name", "blob_norm", "nblob"], "left_anti")
+    g, p = _all_groups(repo)
+    sc = CS.fuzzy_scores(g, p, repo.file_versions(), CS.MatchParams(similarity_mode="jaccard", threshold=CASCADE_T))
     return sc.select("name", "blob_norm", "nblob", F.round("score", 6).alias("score"))
 
 
@@ -207,7 +251,8 @@ def q_rank(repo: Repo) -> DataFrame:
     """Fuzzy candidates of every content group ranked by score (descending),
     ties in touched order; the rank is computed without gathering a group
     into one task."""
-    fz = cascade(repo, "jaccard")["fuzzy"]
+    g, p = _all_groups(repo)
+    fz = CS.fuzzy_tier(g, p, repo.file_versions(), CS.MatchParams(similarity_mode="jaccard", threshold=CASCADE_T))
     ranked = ordered_rank(fz, ["name", "blob_norm"], [F.col("o"), F.col("commit_id")])
     return ranked.select("name", "blob_norm", "commit_id", F.round("score", 6).alias("score"), "rank")
 
@@ -252,63 +297,141 @@ def q_read_versions(repo: Repo) -> DataFrame:
 # --- A4, A5, A6, E8 -------------------------------------------------------------
 
 
+def query_forks(repo: Repo) -> DataFrame:
+    """Fork counters per query: query q looked at the forks of target number
+    q mod FORK_TARGETS; all that were selected were fetched."""
+    combined = FK.union_forks(FK.read_fork_pages(fork_pages(repo), q_catalog.MAX_FORKS))
+    counts = fork_counters(combined, FK.fork_window(combined, q_catalog.OFFSET, q_catalog.LIMIT))
+    q = repo.table("documents").select(
+        F.col("doc_id").alias("query_id"), F.concat(F.lit("org"), (F.col("doc_id") % FORK_TARGETS).cast("string"), F.lit("/proj")).alias("target")
+    )
+    return q.join(counts, "target").select("query_id", F.col("forks_selected").alias("forks_fetched"), "forks_discovered", "forks_selected")
+
+
+def _report_sql(select: str) -> str:
+    """``select`` over the summary joined to the fork counters (s)."""
+    forks = q_catalog.FORKS_SQL.strip()[len("WITH "):]
+    return (
+        cascade_sql("jaccard")
+        + ","
+        + forks
+        + f""",
+fc AS (SELECT c.target, count(*) AS forks_discovered, count(*) FILTER (WHERE cpos > {q_catalog.OFFSET} AND cpos <= {q_catalog.OFFSET + q_catalog.LIMIT}) AS forks_selected
+       FROM combined c GROUP BY 1),
+brs AS (SELECT commit_id, string_agg(branch, chr(9) || chr(10) ORDER BY branch) AS branches FROM reach GROUP BY 1),
+cls AS (SELECT commit_id, branch, row_number() OVER (PARTITION BY commit_id ORDER BY
+          CASE WHEN regexp_matches(branch, '{PRIO_SQL}') THEN 0 WHEN regexp_matches(branch, '{PR_SQL}') THEN 1 ELSE 2 END, branch) AS rn FROM reach),
+s AS (SELECT s.*, c.branch, b.branches, coalesce(fc.forks_selected, 0) AS forks_fetched, coalesce(fc.forks_discovered, 0) AS forks_discovered,
+             coalesce(fc.forks_selected, 0) AS forks_selected
+      FROM summary s LEFT JOIN cls c ON c.commit_id = s.preferred AND c.rn = 1 LEFT JOIN brs b ON b.commit_id = s.preferred
+      LEFT JOIN fc ON fc.target = 'org' || (s.query_id % {FORK_TARGETS}) || '/proj')
+"""
+        + select
+    )
+
+
 @register(
     "match_report",
     "A4",
-    lambda: cascade_sql("jaccard")
-    + """
-SELECT query_id, mode, preferred, local_blob_norm, CAST(NULL AS VARCHAR) AS local_blob_raw,
-       0 AS forks_fetched, 0 AS forks_discovered, 0 AS forks_selected, candidates_count,
+    lambda: _report_sql(
+        """SELECT query_id, mode, preferred, local_blob_norm, CAST(NULL AS VARCHAR) AS local_blob_raw,
+       forks_fetched, forks_discovered, forks_selected, candidates_count,
        'mode=' || mode || chr(10) || 'preferred=' || coalesce(CAST(preferred AS VARCHAR), '') || chr(10) ||
-       'local_blob_norm=' || local_blob_norm || chr(10) || 'forks_fetched=0' || chr(10) || 'forks_discovered=0' || chr(10) ||
-       'forks_selected=0' || chr(10) || 'candidates_count=' || candidates_count || chr(10) || 'candidates:' AS report_head
-FROM summary""",
+       'local_blob_norm=' || local_blob_norm || chr(10) || 'forks_fetched=' || forks_fetched || chr(10) || 'forks_discovered=' || forks_discovered || chr(10) ||
+       'forks_selected=' || forks_selected || chr(10) || 'candidates_count=' || candidates_count || chr(10) || 'candidates:' AS report_head
+FROM s"""
+    ),
 )
 def q_report(repo: Repo) -> DataFrame:
-    return R.match_report(cascade(repo, "jaccard")["summary"])
+    return R.match_report(cascade(repo)["summary"], query_forks(repo))
+
+
+_GROUP_CANDIDATES_SQL = """,
+gx AS (SELECT CAST(NULL AS VARCHAR) AS name, n.bn, 1 AS tier, c.commit_id, 0.0::DOUBLE AS ns, 0 AS r1, min(c.log_ord) AS r2, 0 AS r3
+       FROM (SELECT DISTINCT bn FROM tier WHERE tier = 1) n JOIN changes c ON c.blob_id = n.bn WHERE c.kind = 'add' GROUP BY n.bn, c.commit_id),
+gh AS (SELECT DISTINCT n.name, n.bn, 2 AS tier, t.commit_id, 0.0::DOUBLE AS ns, 1 AS r1, t.path_ord AS r2, t.log_ord AS r3
+       FROM (SELECT DISTINCT name, bn FROM tier WHERE tier = 2) n JOIN touched t ON t.name = n.name
+       LEFT JOIN firsth f ON f.name = n.name AND f.commit_id = t.commit_id AND f.nblob = n.bn
+       LEFT JOIN (SELECT p.name, fv.commit_id, fv.blob_id FROM paths p JOIN file_versions fv ON fv.path = p.path) v
+         ON v.name = n.name AND v.commit_id = t.commit_id AND v.blob_id = n.bn
+       WHERE f.commit_id IS NOT NULL OR v.commit_id IS NOT NULL),
+gf AS (SELECT n.name, n.bn, 3 AS tier, f.commit_id, -fz.score AS ns, 1 AS r1, f.t_path_ord AS r2, f.t_log_ord AS r3
+       FROM (SELECT DISTINCT name, bn FROM tier WHERE tier = 3) n JOIN fz ON fz.name = n.name AND fz.bn = n.bn
+       JOIN firsth f ON f.name = fz.name AND f.nblob = fz.nblob),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name, bn, tier ORDER BY ns, r1, r2, r3, commit_id) AS rank
+           FROM (SELECT * FROM gx UNION ALL SELECT * FROM gh UNION ALL SELECT * FROM gf)),
+brs AS (SELECT commit_id, string_agg(branch, chr(9) || chr(10) ORDER BY branch) AS branches FROM reach GROUP BY 1)
+"""
 
 
 @register(
-    "match_env",
-    "A5",
+    "match_candidates",
+    "A4",
     lambda: cascade_sql("jaccard")
-    + """,
-brs AS (SELECT commit_id, string_agg(branch, chr(9) || chr(10) ORDER BY branch) AS branches FROM reach GROUP BY 1),
-cls AS (SELECT commit_id, branch, row_number() OVER (PARTITION BY commit_id ORDER BY
-          CASE WHEN regexp_matches(branch, '%(prio)s') THEN 0 WHEN regexp_matches(branch, '%(pr)s') THEN 1 ELSE 2 END, branch) AS rn FROM reach),
-s AS (SELECT s.*, c.branch, b.branches FROM summary s LEFT JOIN cls c ON c.commit_id = s.preferred AND c.rn = 1
-      LEFT JOIN brs b ON b.commit_id = s.preferred)
-SELECT query_id, 'PREFERRED_COMMIT' AS key, coalesce(CAST(preferred AS VARCHAR), '') AS value FROM s
-UNION ALL SELECT query_id, 'MATCH_MODE', mode FROM s
-UNION ALL SELECT query_id, 'CANDIDATES_COUNT', CAST(candidates_count AS VARCHAR) FROM s
-UNION ALL SELECT query_id, 'FORKS_FETCHED', '0' FROM s
-UNION ALL SELECT query_id, 'FORKS_DISCOVERED', '0' FROM s
-UNION ALL SELECT query_id, 'FORKS_SELECTED', '0' FROM s
-UNION ALL SELECT query_id, 'PREFERRED_BRANCH', branch FROM s WHERE branch IS NOT NULL AND branch <> ''
-UNION ALL SELECT query_id, 'PREFERRED_BRANCHES', branches FROM s WHERE branch IS NOT NULL AND branch <> ''"""
-    % {"prio": _prio(), "pr": _pr()},
+    + _GROUP_CANDIDATES_SQL
+    + """SELECT name, bn AS blob_norm, tier, rank, r.commit_id,
+  '  - commit=' || r.commit_id || ' ts=' || coalesce(a.ts, 0) || ' branches=' || coalesce(b.branches, '') AS line
+FROM ranked r LEFT JOIN attrs a ON a.commit_id = r.commit_id LEFT JOIN brs b ON b.commit_id = r.commit_id""",
 )
-def q_env(repo: Repo) -> DataFrame:
-    from blobtrail.plans.q_history import branch_info
+def q_candidates(repo: Repo) -> DataFrame:
+    """Candidate lines of the report, per content group and rank."""
+    c = cascade(repo)["candidates"]
+    return R.candidate_lines(c, commit_attrs(repo).select("commit_id", "ts"), H.branch_lists(reach(repo), c))
 
-    return R.match_env(cascade(repo, "jaccard")["summary"], branch_info(repo))
 
+@register(
+    "match_candidates_fast",
+    "A5",
+    lambda: cascade_sql("jaccard")
+    + _GROUP_CANDIDATES_SQL
+    + "SELECT name, bn AS blob_norm, tier, rank, commit_id, '  - commit=' || commit_id AS line FROM ranked",
+)
+def q_candidates_fast(repo: Repo) -> DataFrame:
+    """The fast shape: the ranked commits (CANDIDATE_COMMITS) alone, without
+    looking up times and branches."""
+    return R.candidate_lines(cascade(repo)["candidates"], None, None)
 
-def _prio() -> str:
-    from blobtrail.plans.q_history import PRIO_SQL
-
-    return PRIO_SQL
 
+@register(
+    "match_env",
+    "A5",
+    lambda: _report_sql(
+        """SELECT query_id, 'PREFERRED_COMMIT' AS key, coalesce(CAST(preferred AS VARCHAR), '') AS value FROM s
+UNION ALL SELECT query_id, 'MATCH_MODE', mode FROM s
+UNION ALL SELECT query_id, 'FORKS_FETCHED', CAST(forks_fetched AS VARCHAR) FROM s
+UNION ALL SELECT query_id, 'FORKS_DISCOVERED', CAST(forks_discovered AS VARCHAR) FROM s
+UNION ALL SELECT query_id, 'FORKS_SELECTED', CAST(forks_selected AS VARCHAR) FROM s
+UNION ALL SELECT query_id, 'PREFERRED_BRANCH', branch FROM s WHERE branch IS NOT NULL AND branch <> ''
+UNION ALL SELECT query_id, 'PREFERRED_BRANCHES', '"' || branches || '"' FROM s WHERE branch IS NOT NULL AND branch <> ''"""
+    ),
+)
+def q_env(repo: Repo) -> DataFrame:
+    summary = cascade(repo)["summary"]
+    preferred = summary.select(F.col("preferred").alias("commit_id"))
+    return R.match_env(summary, branch_info(repo), H.branch_lists(reach(repo), preferred), query_forks(repo))
 
-def _pr() -> str:
-    from blobtrail.plans.q_history import PR_SQL
 
-    return PR_SQL
+@register(
+    "match_summary",
+    "A6",
+    lambda: cascade_sql("jaccard")
+    + "\nSELECT query_id, preferred, candidates_count, 'Recommended commit: ' || coalesce(CAST(preferred AS VARCHAR), '') AS line FROM summary",
+)
+def q_summary(repo: Repo) -> DataFrame:
+    return R.match_summary(cascade(repo)["summary"])
 
 
-@register("match_summary", "A6", lambda: cascade_sql("jaccard") + "\nSELECT query_id, preferred, candidates_count FROM summary")
-def q_summary(repo: Repo) -> DataFrame:
-    return R.match_summary(cascade(repo, "jaccard")["summary"])
+@register(
+    "match_no_match",
+    "D8",
+    lambda: cascade_sql("jaccard")
+    + """
+SELECT query_id, CASE WHEN EXISTS (SELECT 1 FROM paths p WHERE p.name = summary.name) THEN 'no candidates' ELSE 'no candidate paths' END AS reason
+FROM summary WHERE mode = 'no_match'""",
+)
+def q_no_match(repo: Repo) -> DataFrame:
+    """Queries that no tier settles, by reason."""
+    return cascade(repo)["summary"].where("mode = 'no_match'").select("query_id", "reason")
 
 
 @register(

@@ -21,7 +21,8 @@ class Entry:
 
 
 REGISTRY: dict[str, Entry] = {}
-_REPOS: dict[tuple[int, str], Repo] = {}
+# Tables by (application, folder); those of ended applications are dropped.
+_REPOS: dict[tuple[str, str], Repo] = {}
 
 
 def register(name: str, op_id: str, sql: str | Callable[[], str] | None = None):
@@ -33,12 +34,20 @@ def register(name: str, op_id: str, sql: str | Callable[[], str] | None = None):
 
 
 def repo_for(spark: SparkSession, sf_dir: str) -> Repo:
-    key = (id(spark), sf_dir.rstrip("/"))
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir.rstrip("/"))
+    for old in [k for k in _REPOS if k[0] != app]:
+        del _REPOS[old]
     if key not in _REPOS:
         _REPOS[key] = Repo(spark, sf_dir.rstrip("/"))
     return _REPOS[key]
 
 
+def forget() -> None:
+    """Drops all derived tables, so that the next query builds its own."""
+    _REPOS.clear()
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return REGISTRY[name].fn(repo_for(spark, sf_dir))
 

@@ -84,26 +84,26 @@ def list_digest(arr: str, sep: str = "chr(10)") -> str:
     return f"sha1(array_to_string(list_transform({arr}, lambda x: CAST(x AS VARCHAR)), {sep}))"
 
 
-def jaccard(a: str, b: str) -> str:
-    return (
-        f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 "
-        f"ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END)"
-    )
-
-
-def minhash_values(num_perm: int) -> str:
-    a, b = minhash_params(num_perm)
-    rows = ",".join(f"({i}, {ai}::UHUGEINT, {bi}::UHUGEINT)" for i, (ai, bi) in enumerate(zip(a, b)))
-    return f"(VALUES {rows}) AS mp(i, a, b)"
+def minhash_value(a: int, b: int) -> str:
+    """(a * x + b) mod 2^64 for x = xh * 2^32 + xl, in unsigned 64-bit steps
+    that never overflow."""
+    m = "4294967295::UBIGINT"
+    (ah, al), (bh, bl) = divmod(a, 1 << 32), divmod(b, 1 << 32)
+    lo = f"({al}::UBIGINT * xl + {bl}::UBIGINT)"
+    hi = f"((({lo} >> 32) + (({al}::UBIGINT * xh) & {m}) + (({ah}::UBIGINT * xl) & {m}) + {bh}::UBIGINT) & {m})"
+    return f"{hi} * 4294967296::UBIGINT + ({lo} & {m})"
 
 
 def minhash_cte(src: str, key: str, set_col: str, num_perm: int, name: str = "mh") -> str:
-    """CTE ``name``(key, sig VARCHAR[] of signed values) from ``src`` rows
+    """CTE ``name``(key, sig BIGINT[] of signed values) from ``src`` rows
     holding a distinct shingle list ``set_col``; empty sets give zeros."""
+    mins = ", ".join(f"min({minhash_value(a, b)}) AS v{i}" for i, (a, b) in enumerate(zip(*minhash_params(num_perm), strict=True)))
+    sig = ", ".join(signed(f"v{i}") for i in range(num_perm))
     return f"""
-{name}_x AS (SELECT {key} AS k, ({u64(hex16('s'))})::UHUGEINT AS x FROM (SELECT {key}, unnest({set_col}) AS s FROM {src})),
-{name}_v AS (SELECT k, i, min((a * x + b) % 18446744073709551616) AS v FROM {name}_x, {minhash_values(num_perm)} GROUP BY k, i),
-{name}_s AS (SELECT k, list({signed('v')} ORDER BY i) AS sig FROM {name}_v GROUP BY k),
+{name}_x AS (SELECT k, ('0x' || substr(h, 1, 8))::UBIGINT AS xh, ('0x' || substr(h, 9, 8))::UBIGINT AS xl
+             FROM (SELECT {key} AS k, sha1(s) AS h FROM (SELECT {key}, unnest({set_col}) AS s FROM {src}))),
+{name}_v AS (SELECT k, {mins} FROM {name}_x GROUP BY k),
+{name}_s AS (SELECT k, [{sig}] AS sig FROM {name}_v),
 {name} AS (SELECT s.{key} AS {key}, coalesce(m.sig, list_transform(range({num_perm}), lambda i: 0::BIGINT)) AS sig
            FROM {src} s LEFT JOIN {name}_s m ON m.k = s.{key})"""
 

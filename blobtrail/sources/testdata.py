@@ -20,7 +20,9 @@ Derivation (each document is one commit of a synthetic repository):
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +61,18 @@ class Repo:
     _cache: dict = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
+        return self.memo(f"table {name}", lambda: self._read(name))
+
+    def _read(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # The driver's documents are one row group, which one task would
+        # read; dealing them out by id is a matter of this source alone.
+        return df.repartition("doc_id") if name == "documents" else df
+
+    def memo(self, name: str, build: Callable[[], Any]) -> Any:
+        """Derived tables that several queries share."""
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._cache[name] = build()
         return self._cache[name]
 
     # -- repository views -------------------------------------------------
