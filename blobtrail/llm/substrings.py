@@ -3,7 +3,8 @@
 A word goes when a run of ``WINDOW`` words around it also starts in a document
 with a smaller id. Which texts can share such a run is found first: equal runs
 have the same smallest 4-word hash (their minimiser), so only minimisers that
-occur in two documents matter. Texts are cut into segments, the maximal runs of
+occur in two different texts matter; of equal texts only the smallest id's is
+looked at, the others lose every window. Texts are cut into segments, the maximal runs of
 consecutive windows with one minimiser; a minimiser's segments form a shard.
 
 In its shard every document, in id order, is streamed through a suffix
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,25 +125,44 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(g, WINDOW - KEY_WORDS + 1).min(axis=1)
 
 
+def version_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def keys_of(docs: DataFrame) -> DataFrame:
-    """doc_id and the distinct minimisers of its text."""
+    """doc_id, version (digest of the words) and the distinct minimisers of
+    each text."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = []
+        keys, versions = [], []
         for text in text_bytes(batch):
             words = text.split()
+            versions.append(version_of(words))
             keys.append(np.unique(minimisers(hashes(words))).view(np.int64) if len(words) >= WINDOW else [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+        cols = [pa.array(versions, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "version", "keys"])
+
+    return arrow_map(docs.select("doc_id", "text"), over, "doc_id long, version binary, keys array<long>")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, version and the words, compressed for the shuffle."""
 
-    return arrow_map(docs.select("doc_id", "text"), over, "doc_id long, keys array<long>")
+    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        words = [text.split() for text in text_bytes(batch)]
+        cols = [pa.array([version_of(w) for w in words], pa.binary()), pa.array([pack.compress(b" ".join(w)) for w in words], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "version", "packed"])
+
+    return arrow_map(docs.select("doc_id", "text"), over, "doc_id long, version binary, packed binary")
 
 
-SEGMENT = "route long, salt int, kind int, doc_id long, version long, start int, words binary, salts int"
+SEGMENT = "route long, salt int, kind int, doc_id long, version binary, start int, words binary, salts int"
 REFERENCE, BOTH, STREAMED = 0, 1, 2
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """Segments of texts (doc_id, text, version) with the minimisers that other
+    """Segments of texts (doc_id, version, packed) with the minimisers that other
     documents hold too: ``cold`` ones, and ``hot`` ones with their numbers of
     sub-shards ``salts``."""
 
@@ -149,15 +170,16 @@ def segments(docs: DataFrame) -> DataFrame:
         cols = [[] for _ in range(8)]
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
             for c in cols:
                 c.clear()
             return out
 
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "cold", "hot", "salts")), strict=True)
-        for text, (doc, version, cold, hot, salts) in zip(text_bytes(batch), rows, strict=True):
-            words = text.split()
+        unpack = zstandard.ZstdDecompressor()
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "cold", "hot", "salts")), strict=True)
+        for doc, version, packed, cold, hot, salts in rows:
+            words = unpack.decompress(packed).split()
             if len(words) < WINDOW:
                 continue
             h = hashes(words)
@@ -183,7 +205,7 @@ def segments(docs: DataFrame) -> DataFrame:
         if cols[0]:
             yield flush()
 
-    return arrow_map(docs.select("doc_id", "text", "version", "cold", "hot", "salts"), over, SEGMENT)
+    return arrow_map(docs.select("doc_id", "version", "packed", "cold", "hot", "salts"), over, SEGMENT)
 
 
 class Shard:
@@ -247,10 +269,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                     for c, v in zip(out, (doc, version, start + a, n), strict=True):
                         c.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "version", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "version", "start", "windows"])
 
     ordered = rows.repartition("route", "salt").sortWithinPartitions("route", "salt", "kind", "doc_id")
-    return ordered.mapInArrow(stream, "doc_id long, version long, start int, windows int")
+    return ordered.mapInArrow(stream, "doc_id long, version binary, start int, windows int")
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -258,32 +280,40 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     also the kept words as ``kept_text``."""
     ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = written(keys_of(ids.where(F.col("doc_id").isNotNull())))
-    pairs = held.select("doc_id", F.explode("keys").alias("key"))
-    shared = pairs.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("key", "n")
+    # ``own``: the versions of a document that no smaller one has.
+    firsts = held.groupBy("version").agg(F.min("doc_id").alias("_first"))
+    own = written(
+        held.select("doc_id", "version").join(firsts, "version").where("doc_id = _first").groupBy("doc_id").agg(F.collect_set("version").alias("own"))
+    )
+    pairs = held.select("doc_id", F.conv(F.hex(F.substring("version", 1, 7)), 16, 10).cast("long").alias("of"), F.explode("keys").alias("key"))
+    shared = pairs.groupBy("key").agg(F.min("of").alias("_a"), F.max("of").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("key", "n")
     n_salts = F.ceil(F.col("n") / SHARD_DOCS).cast("int")
     is_hot = F.col("n") > SHARD_DOCS
     per_doc = written(
-        pairs.join(shared, "key").groupBy("doc_id").agg(
+        pairs.select("doc_id", "key").join(shared, "key").groupBy("doc_id").agg(
             F.collect_list(F.when(~is_hot, F.col("key"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("key"))).alias("hot"), F.collect_list(F.when(is_hot, n_salts)).alias("salts")
-        )
+        ).join(own, "doc_id")
     )
-    # One exchange of the texts serves all readers below.
-    texts = ids.repartition("doc_id")
-    row = texts.withColumn("version", F.xxhash64("text")).join(per_doc, "doc_id").dropDuplicates(["doc_id", "version"])
+    texts = packed_texts(ids)  # one exchange of these by doc_id serves all readers below
+    row = texts.join(per_doc, "doc_id").where(F.array_contains("own", F.col("version")))
     streamed = segments(row)
     hot = segments(row.where(F.size("hot") > 0).withColumn("cold", F.array().cast("array<long>")))
     copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     refs = hot.groupBy("route", "words", "salts").agg(F.min("doc_id").alias("doc_id")).select(
-        "route", copies, F.lit(REFERENCE).alias("kind"), "doc_id", F.lit(0).cast("long").alias("version"), F.lit(0).alias("start"), "words"
+        "route", copies, F.lit(REFERENCE).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("version"), F.lit(0).alias("start"), "words"
     )
     spans = repeated_spans(streamed.select(*refs.columns).unionByName(refs))
-    per_row = spans.groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "windows")).alias("spans"))
+    per_row = spans.groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "windows")).alias("spans")).join(own, "doc_id", "right")
 
     def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         n_words, n_removed, digest, kept_text = [], [], [], []
-        for text, version, spans_ in zip(text_bytes(batch), batch.column("version").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            words = text.split()
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "spans", "own")), strict=True)
+        for doc, version, packed, spans_, own_ in rows:
+            words = unpack.decompress(packed).split()
             keep = np.ones(len(words), bool)
+            if doc is not None and version not in (own_ or []) and len(words) >= WINDOW:
+                keep[:] = False  # a smaller document has the same words
             for s in spans_ or []:
                 if s["version"] == version:
                     keep[s["start"] : s["start"] + s["windows"] + WINDOW - 1] = False
@@ -296,7 +326,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         cols = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = texts.withColumn("version", F.xxhash64("text")).join(per_row, "doc_id", "left").select("doc_id", "text", "version", "spans")
+    joined = texts.join(per_row, "doc_id", "left").select("doc_id", "version", "packed", "spans", "own")
     out = arrow_map(joined, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
 
