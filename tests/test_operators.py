@@ -100,3 +100,30 @@ def test_cascade_tiers(spark):
     assert got[10] == ("exact_blob", 2, 1)
     assert got[11] == ("normalized_path", 3, 1)
     assert got[12] == ("no_match", None, 0)
+    # Two kinds of no match: no path of that name, or none similar enough.
+    reasons = {r.query_id: r.reason for r in res["summary"].collect()}
+    assert reasons == {10: None, 11: None, 12: "no candidates"}
+    plan = res["summary"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") < 25
+
+
+def test_cascade_scores_order_and_modes(spark):
+    """Fuzzy candidates come best first in every mode; a query of unknown
+    name has no candidate paths."""
+    from blobtrail.functions.content import blob_id
+
+    words = [f"word{i}" for i in range(40)]
+    near, far = words[:38] + ["other"] * 2, words[:34] + ["more"] * 6
+    fv = spark.createDataFrame([(1, "d/x.txt", " ".join(far)), (2, "d/x.txt", " ".join(near)), (3, "d/x.txt", "nothing alike at all")], "commit_id long, path string, content string")
+    fv = fv.withColumn("blob_id", blob_id(F.col("content"))).withColumn("log_ord", -F.col("commit_id"))
+    changes = fv.select("commit_id", "path", F.lit(None).cast("string").alias("old_path"), "blob_id", F.lit("add").alias("kind"), "log_ord")
+    po = fv.select("blob_id", "path", F.col("log_ord").alias("ord"))
+    q = spark.createDataFrame([(10, "x.txt", " ".join(words)), (11, "unknown.txt", " ".join(words))], "query_id long, path string, content string")
+    attrs = spark.createDataFrame([(c, 100 - c, False) for c in range(1, 4)], "commit_id long, ts long, is_priority boolean")
+    for mode in ("jaccard", "charjaccard", "winnow", "minhash", "simhash"):
+        res = match_cascade(q, fv, changes, po, attrs, MatchParams(similarity_mode=mode, threshold=0.3, shingle_size=2))
+        got = {r.query_id: (r.mode, r.candidates_count, r.reason) for r in res["summary"].collect()}
+        assert got[10][0] == "normalized_path" and got[10][1] >= 2, mode
+        assert got[11] == ("no_match", 0, "no candidate paths")
+        order = [r.commit_id for r in res["candidates"].orderBy("o").collect()]
+        assert order[:2] == [2, 1], mode
