@@ -101,7 +101,16 @@ class Vocabulary:
         ends = counts.where("word IS NULL").first()
         self.ends = ends["n"] if ends else 0
         words = counts.where("word IS NOT NULL")
-        known = words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows at most
+        # The most frequent words, by a cut between bins of like frequency:
+        # no more than KNOWN rows come to the driver, whatever the input.
+        bin_of = F.floor(F.log2("n") * 64)
+        left, cut = KNOWN, None
+        for r in sorted(words.groupBy(bin_of.alias("b")).agg(F.count("*").alias("v")).collect(), reverse=True):
+            if r["v"] > left:
+                break
+            left, cut = left - r["v"], r["b"]
+        frequent = words.where(bin_of >= cut).collect() if cut is not None else []
+        known = sorted(frequent, key=lambda r: (-r["n"], r["word"]))
         self.known = {}
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in words.groupBy(_class_column("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
