@@ -2,22 +2,23 @@
 A3 read fork pages, G2 union of repo and parent forks, C5 usable forks,
 F5 offset/limit window, F6 unique remote names, G3 upstream of a fork.
 
-Every per-target list is bounded: pages stop at ``max_forks`` = offset +
-limit, and the limit is at most 99, so the per-target windows and the
-bounded ``collect_list`` in F6 never hold more than a few hundred rows."""
+Lists are read whole unless ``max_forks`` is given (a run that will select
+``limit`` forks from ``offset`` on needs no more than offset + limit; the
+limit is at most 99). Positions are numbered without gathering a target's list
+in one task. F6 folds the selected forks of a target in order; its list is
+bounded by the limit."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from blobtrail.functions.text_format import sanitize_remote_name
+from blobtrail.operators.ranking import ordered_rank
 
 # --- fixed values (the hosting API's paging and the reference's limits) -----
 PER_PAGE = 100
 MAX_LIMIT = 99
-DEFAULT_LIMIT = 20
 # ----------------------------------------------------------------------------
 
 FORK_SCHEMA = (
@@ -30,18 +31,11 @@ REPO_SCHEMA = (
 )
 
 
-def check_limit(limit: int) -> int:
-    """Reference rule: a limit above 99 is an error; otherwise at least 1."""
-    if limit is not None and int(limit) > MAX_LIMIT:
-        raise ValueError(f"forks limit cannot be greater than {MAX_LIMIT}")
-    return max(1, int(limit or DEFAULT_LIMIT))
-
-
-def read_fork_pages(pages: DataFrame, max_forks: int, per_page: int = PER_PAGE) -> DataFrame:
+def read_fork_pages(pages: DataFrame, max_forks: int | None = None, per_page: int = PER_PAGE) -> DataFrame:
     """A3. ``pages``: (target, src, page, body[, status]). Per (target, src)
     list, pages are read from 1 upwards; reading stops before a missing,
     failed, malformed, non-list or empty page, and after a short page; the
-    list is cut at ``max_forks``. Output: (target, src, ordinal, fork)."""
+    list is cut at ``max_forks``, if given. Output: (target, src, ordinal, fork)."""
     p = pages
     if "status" not in p.columns:
         p = p.withColumn("status", F.lit(200))
@@ -63,21 +57,20 @@ def read_fork_pages(pages: DataFrame, max_forks: int, per_page: int = PER_PAGE)
         .groupBy(*keys)
         .agg(F.min("bad_page").alias("bad_page"), F.min("short_page").alias("short_page"))
     )
-    last = F.least(F.coalesce(F.col("bad_page") - 1, F.lit(1 << 30)), F.coalesce(F.col("short_page"), F.lit(1 << 30)))
+    # A list has a page that stops it: at the latest the one after its last.
+    last = F.least(F.col("bad_page") - 1, F.col("short_page"))
     ok = parsed.join(stops.withColumn("last_page", last), keys).where(F.col("page") <= F.col("last_page"))
     forks = ok.select(*keys, "page", F.posexplode("arr").alias("pos", "fork"))
     # Pages before the last are full, so the ordinal needs no window.
     forks = forks.withColumn("ordinal", (F.col("page") - 1) * per_page + F.col("pos") + 1)
-    return forks.where(F.col("ordinal") <= max_forks).select(*keys, "ordinal", "fork")
-
-
-SRC_RANK = {"repo": 0, "parent": 1}
+    if max_forks is not None:
+        forks = forks.where(F.col("ordinal") <= max_forks)
+    return forks.select(*keys, "ordinal", "fork")
 
 
 def union_forks(forks: DataFrame) -> DataFrame:
     """G2 + F2: the repo's forks first, then the parent's, first occurrence of
-    each non-empty full_name kept. Output: (target, pos, fork), pos 1-based
-    (lists are bounded by 2 x max_forks per target)."""
+    each non-empty full_name kept. Output: (target, pos, fork), pos 1-based."""
     rank = F.when(F.col("src") == "repo", 0).otherwise(1)
     fn = F.col("fork.full_name")
     firsts = (
@@ -86,13 +79,15 @@ def union_forks(forks: DataFrame) -> DataFrame:
         .groupBy("target", "full_name")
         .agg(F.min(F.struct(rank.alias("r"), F.col("ordinal").alias("o"), F.col("fork").alias("fork"))).alias("m"))
     )
-    w = Window.partitionBy("target").orderBy("m.r", "m.o")
-    return firsts.select("target", F.row_number().over(w).alias("pos"), F.col("m.fork").alias("fork"))
+    ranked = ordered_rank(firsts.select("target", "m.*"), ["target"], [F.col("r"), F.col("o")], "pos")
+    return ranked.select("target", "pos", "fork")
 
 
 def fork_window(combined: DataFrame, offset: int, limit: int) -> DataFrame:
     """positions offset+1 .. offset+limit of the combined list (negative
-    offsets clamp to 0)."""
+    offsets clamp to 0; a limit above 99 is refused)."""
+    if int(limit) > MAX_LIMIT:
+        raise ValueError(f"forks limit cannot be greater than {MAX_LIMIT}")
     start = max(0, int(offset or 0))
     return combined.where((F.col("pos") > start) & (F.col("pos") <= start + max(0, int(limit))))
 
@@ -142,7 +137,7 @@ def unique_remote_names(usable: DataFrame, existing: DataFrame) -> DataFrame:
             F.concat(acc["out"], F.array(F.struct(it["pos"].alias("pos"), name.alias("remote")))).alias("out"),
         )
 
-    zero = F.struct(F.col("used0").alias("used"), F.array().cast("array<struct<pos:int,remote:string>>").alias("out"))
+    zero = F.struct(F.col("used0").alias("used"), F.array().cast("array<struct<pos:bigint,remote:string>>").alias("out"))
     folded = j.select("target", F.aggregate("its", zero, step)["out"].alias("out"))
     names = folded.select("target", F.explode("out").alias("o")).select("target", "o.pos", "o.remote")
     return usable.join(names, ["target", "pos"])

@@ -14,17 +14,16 @@ from blobtrail.sources import testdata as TD
 from blobtrail.sources.testdata import Repo
 
 OFFSET, LIMIT = 10, 20
-MAX_FORKS = OFFSET + LIMIT
 EXISTING_FIRST = 3  # forks at positions 1..3 were fetched by an earlier run
 
 # --- shared Spark pieces -----------------------------------------------------------
 
 
 def _forks(repo: Repo) -> DataFrame:
-    return FK.read_fork_pages(TD.fork_pages(repo), MAX_FORKS)
+    return FK.read_fork_pages(TD.fork_pages(repo))
 
 
-def _combined(repo: Repo) -> DataFrame:
+def combined_forks(repo: Repo) -> DataFrame:
     return FK.union_forks(_forks(repo))
 
 
@@ -41,8 +40,8 @@ def _usable(repo: Repo, combined: DataFrame) -> DataFrame:
 _HOST = "regexp_extract(url, '^[a-z]+://([^./:]+)', 1)"
 FORKS_SQL = f"""
 WITH f AS (
-  SELECT 'org' || (page_id % 3) || '/proj' AS target, CASE WHEN (page_id // 3) % 2 = 0 THEN 'repo' ELSE 'parent' END AS src,
-         CAST(page_id // 6 AS INTEGER) AS ord0, {_HOST} AS host, page_id FROM pages),
+  SELECT 'org' || (page_id // 240) || '/proj' AS target, CASE WHEN page_id % 240 < 120 THEN 'repo' ELSE 'parent' END AS src,
+         CAST(page_id % 120 AS INTEGER) AS ord0, {_HOST} AS host, page_id FROM pages),
 r AS (SELECT target, src, ord0 // 100 + 1 AS page, ord0 % 100 AS pos,
         CASE WHEN page_id % 17 = 0 THEN '' ELSE host || '/r' || (page_id % 40) END AS full_name,
         CASE WHEN page_id % 13 = 0 THEN NULL ELSE 'r' || (page_id % 40) END AS name,
@@ -52,14 +51,14 @@ r AS (SELECT target, src, ord0 // 100 + 1 AS page, ord0 % 100 AS pos,
         CASE WHEN page_id % 15 = 0 THEN NULL ELSE 'git://github.com/' || host || '/r' || (page_id % 40) || '.git' END AS git_url
       FROM f),
 pg AS (SELECT target, src, page, count(*) AS n,
-         ((CAST(substr(target, 4, 1) AS INTEGER) + page) % 4 = 2)
-         OR ((CAST(substr(target, 4, 1) AS INTEGER) + CASE WHEN src = 'repo' THEN 0 ELSE 1 END + page) % 5 = 4) AS bad
+         ((CAST(regexp_extract(target, '^org([0-9]+)', 1) AS INTEGER) + page) % 4 = 2)
+         OR ((CAST(regexp_extract(target, '^org([0-9]+)', 1) AS INTEGER) + CASE WHEN src = 'repo' THEN 0 ELSE 1 END + page) % 5 = 4) AS bad
        FROM r GROUP BY 1, 2, 3),
 stop AS (SELECT target, src, least(coalesce(min(page) FILTER (WHERE bad) - 1, 1 << 30),
                                    coalesce(min(page) FILTER (WHERE NOT bad AND n < 100), 1 << 30)) AS last_page
          FROM pg GROUP BY 1, 2),
 forks AS (SELECT r.*, (r.page - 1) * 100 + r.pos + 1 AS ordinal FROM r JOIN stop s ON s.target = r.target AND s.src = r.src
-          WHERE r.page <= s.last_page AND (r.page - 1) * 100 + r.pos + 1 <= {MAX_FORKS}),
+          WHERE r.page <= s.last_page),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY target, full_name ORDER BY CASE WHEN src = 'repo' THEN 0 ELSE 1 END, ordinal) AS rk
            FROM forks WHERE full_name IS NOT NULL AND full_name <> ''),
 combined AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN src = 'repo' THEN 0 ELSE 1 END, ordinal) AS cpos
@@ -85,18 +84,18 @@ def q_read_fork_pages(repo: Repo) -> DataFrame:
 
 @register("union_forks", "G2", FORKS_SQL + "\nSELECT target, cpos AS pos, full_name FROM combined")
 def q_union_forks(repo: Repo) -> DataFrame:
-    return _combined(repo).select("target", "pos", F.col("fork.full_name").alias("full_name"))
+    return combined_forks(repo).select("target", "pos", F.col("fork.full_name").alias("full_name"))
 
 
 @register("fork_window", "F5", FORKS_SQL + "\nSELECT target, cpos AS pos, full_name FROM sel")
 def q_fork_window(repo: Repo) -> DataFrame:
-    sel = FK.fork_window(_combined(repo), OFFSET, LIMIT)
+    sel = FK.fork_window(combined_forks(repo), OFFSET, LIMIT)
     return sel.select("target", "pos", F.col("fork.full_name").alias("full_name"))
 
 
 @register("usable_forks", "C5", FORKS_SQL + "\nSELECT target, pos, owner_login, repo_name, clone_url FROM usable")
 def q_usable(repo: Repo) -> DataFrame:
-    sel = FK.fork_window(_combined(repo), OFFSET, LIMIT)
+    sel = FK.fork_window(combined_forks(repo), OFFSET, LIMIT)
     return _usable(repo, sel).select("target", "pos", "owner_login", "repo_name", "clone_url")
 
 
@@ -123,7 +122,7 @@ SELECT u.target, u.pos, u.owner_login, u.repo_name, fo.remote FROM usable u JOIN
 
 @register("unique_remote_names", "F6", _F6_SQL)
 def q_remote_names(repo: Repo) -> DataFrame:
-    comb = _combined(repo)
+    comb = combined_forks(repo)
     sel = FK.fork_window(comb, OFFSET, LIMIT)
     usable = _usable(repo, sel)
     prev = _usable(repo, comb.where(F.col("pos") <= EXISTING_FIRST))

@@ -152,12 +152,14 @@ def branch_name(source: Column) -> Column:
 
 
 # --- fork catalog and run metrics views ------------------------------------
-# Each `pages` row stands for one fork of target "org<page_id % 3>/proj",
-# listed by the repo itself (src "repo") or by its parent ("parent"); the
-# ordinal inside its (target, src) list is page_id div 6, so pages of 100
-# forks need no window. Some records lack fields, some pages are malformed
-# or not a list, by fixed rules.
-FORK_TARGETS = 3
+# Each `pages` row stands for one fork. Blocks of FORK_BLOCK pages list the
+# forks of one target "org<block>/proj" (so targets grow with the data), the
+# first half as the repo's own forks (src "repo"), the second as its
+# parent's; the place in the block is the ordinal, so pages of 100 forks need
+# no window. Some records lack fields, some pages are malformed or not a list,
+# by fixed rules.
+FORK_BLOCK = 240  # consecutive pages that list the forks of one target
+QUERY_TARGETS = 3  # targets that the query files look at
 FORK_PER_PAGE = 100
 MALFORMED_BODY = '[{"full_name": "broken'
 NOT_LIST_BODY = '{"message": "Not Found"}'
@@ -173,9 +175,9 @@ def _fork_fields(d: DataFrame) -> DataFrame:
     host = host_label(F.col("url"))
     full = F.concat(host, F.lit("/r"), (pid % 40).cast("string"))
     return d.select(
-        F.concat(F.lit("org"), (pid % FORK_TARGETS).cast("string"), F.lit("/proj")).alias("target"),
-        F.when(F.floor(pid / FORK_TARGETS) % 2 == 0, F.lit("repo")).otherwise(F.lit("parent")).alias("src"),
-        F.floor(pid / (2 * FORK_TARGETS)).cast("int").alias("ord0"),
+        F.concat(F.lit("org"), F.floor(pid / FORK_BLOCK).cast("string"), F.lit("/proj")).alias("target"),
+        F.when(pid % FORK_BLOCK < FORK_BLOCK // 2, F.lit("repo")).otherwise(F.lit("parent")).alias("src"),
+        (pid % (FORK_BLOCK // 2)).cast("int").alias("ord0"),
         F.struct(
             F.when(pid % 17 == 0, F.lit("")).otherwise(full).alias("full_name"),
             F.when(pid % 13 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("r"), (pid % 40).cast("string"))).alias("name"),
@@ -193,7 +195,7 @@ def fork_pages(repo: Repo) -> DataFrame:
         "pos", F.col("ord0") % FORK_PER_PAGE
     )
     pages = f.groupBy("target", "src", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "rec"))).alias("items"))
-    t = F.substring(F.col("target"), 4, 1).cast("int")
+    t = F.regexp_extract("target", "^org([0-9]+)", 1).cast("int")
     s = F.when(F.col("src") == "repo", 0).otherwise(1)
     body = (
         F.when((t + F.col("page")) % 4 == 2, F.lit(MALFORMED_BODY))
