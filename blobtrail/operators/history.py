@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blobtrail.session import cut_lineage
+from blobtrail.session import cut_lineage, written
 
 
 def basename(path: Column) -> Column:
@@ -63,20 +63,40 @@ def candidate_paths(
     return hint.unionByName(disc).groupBy("query_id", "path").agg(F.min("path_rank").alias("path_rank"))
 
 
-def commits_touching(paths: DataFrame, changes: DataFrame, key: str = "query_id", follow_renames: bool = True) -> DataFrame:
-    """D2+D3: commits that changed any of a key's candidate paths (and, when
-    following renames, the path a change was renamed from), first occurrence
-    kept in (path_rank, log_ord) order.
+def follow_renames(paths: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The candidate paths and, transitively, the paths they were renamed
+    from: (key, path, path_rank, from_ord). An earlier path counts only for
+    commits older than its rename (``log_ord`` above ``from_ord``; the log is
+    newest first). One round per rename in a chain, each written."""
+    renames = written(
+        changes.where(F.col("old_path").isNotNull() & (F.col("old_path") != F.col("path"))).select("path", "old_path", F.col("log_ord").alias("at"))
+    )
+    cols = [key, "path", "path_rank"]
+    known = written(paths.select(*cols, F.lit(-(1 << 62)).cast("long").alias("from_ord")))
+    fresh = known
+    while True:
+        step = (
+            fresh.join(renames, "path").where("at > from_ord")
+            .groupBy(key, F.col("old_path").alias("path"), "path_rank").agg(F.min("at").cast("long").alias("from_ord"))
+        )
+        seen = known.select(*cols, F.col("from_ord").alias("_seen"))
+        fresh = written(step.join(seen, cols, "left").where("_seen IS NULL OR _seen > from_ord").drop("_seen"))
+        if fresh.isEmpty():
+            return known
+        known = written(known.unionByName(fresh).groupBy(*cols).agg(F.min("from_ord").alias("from_ord")))
+
+
+def commits_touching(paths: DataFrame, changes: DataFrame, key: str = "query_id", renames: bool = True) -> DataFrame:
+    """D2+D3: commits that changed any of a key's candidate paths (or renamed
+    it away) and, following renames, its earlier paths before their rename;
+    first occurrence kept in (path_rank, log_ord) order.
 
     ``paths``: (key, path, path_rank). Output: (key, commit_id, touch_ord)."""
-    ch = changes.select("commit_id", "path", "old_path", "log_ord")
-    by_path = ch.select("commit_id", "path", "log_ord")
-    if follow_renames:
-        renamed = ch.where(F.col("old_path").isNotNull()).select(
-            "commit_id", F.col("old_path").alias("path"), "log_ord"
-        )
-        by_path = by_path.unionByName(renamed)
-    touched = paths.join(by_path, "path").select(
+    walk = follow_renames(paths, changes, key) if renames else paths.withColumn("from_ord", F.lit(-(1 << 62)).cast("long"))
+    by_path = changes.select("commit_id", "path", "log_ord").unionByName(
+        changes.where(F.col("old_path").isNotNull()).select("commit_id", F.col("old_path").alias("path"), "log_ord")
+    )
+    touched = walk.join(by_path, "path").where("log_ord > from_ord").select(
         key, "commit_id", F.struct("path_rank", "log_ord").alias("touch_ord")
     )
     return touched.groupBy(key, "commit_id").agg(F.min("touch_ord").alias("touch_ord"))

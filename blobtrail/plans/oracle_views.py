@@ -12,6 +12,8 @@ from blobtrail.sources.testdata import (
     CRLF_REM,
     FEATURE_PREFIX,
     MERGE_EVERY,
+    RENAME_MOD,
+    RENAME_REM,
     TS_BASE,
     TS_MOD,
     TS_STEP,
@@ -53,7 +55,9 @@ commit_parents AS (
   SELECT doc_id, doc_id - 1 FROM documents WHERE doc_id > 0 AND doc_id % {MERGE_EVERY} = 0)""",
     "changes": f"""
 changes AS (
-  SELECT commit_id, path, CAST(NULL AS VARCHAR) AS old_path, blob_id, 'add' AS kind, log_ord FROM file_versions
+  SELECT c.commit_id, c.path, CASE WHEN c.commit_id % {RENAME_MOD} = {RENAME_REM} AND p.path <> c.path THEN p.path END AS old_path,
+         c.blob_id, 'add' AS kind, c.log_ord
+  FROM file_versions c LEFT JOIN file_versions p ON c.commit_id - {CHAIN_STEP} = p.commit_id
   UNION ALL
   SELECT c.commit_id, p.path, CAST(NULL AS VARCHAR), p.blob_id, 'remove', c.log_ord
   FROM file_versions c JOIN file_versions p ON c.commit_id - {CHAIN_STEP} = p.commit_id

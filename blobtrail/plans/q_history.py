@@ -58,10 +58,16 @@ reach(branch, commit_id) AS (
 PATHS_SQL = """
 paths AS (SELECT path, min(ord) AS path_ord, regexp_extract(path, '[^/]*$') AS name FROM path_objects GROUP BY path),
 names AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM query_files),
+ren AS (SELECT path, old_path, log_ord FROM changes WHERE old_path IS NOT NULL AND old_path <> path),
+walk(root, path, from_ord) AS (
+  SELECT path, path, -4611686018427387904 FROM paths
+  UNION
+  SELECT w.root, r.old_path, r.log_ord FROM walk w JOIN ren r ON r.path = w.path AND r.log_ord > w.from_ord),
+tch AS (SELECT path, commit_id, log_ord FROM changes UNION ALL SELECT old_path, commit_id, log_ord FROM changes WHERE old_path IS NOT NULL),
 touch_all AS (
   SELECT p.name, c.commit_id, p.path_ord, c.log_ord,
          row_number() OVER (PARTITION BY p.name, c.commit_id ORDER BY p.path_ord, c.log_ord) AS rn
-  FROM names n JOIN paths p ON p.name = n.name JOIN changes c ON c.path = p.path),
+  FROM names n JOIN paths p ON p.name = n.name JOIN walk w ON w.root = p.path JOIN tch c ON c.path = w.path AND c.log_ord > w.from_ord),
 touched AS (SELECT name, commit_id, path_ord, log_ord FROM touch_all WHERE rn = 1),
 first_all AS (
   SELECT t.name, t.commit_id, fv.path, fv.blob_id, fv.content, t.path_ord AS t_path_ord, t.log_ord AS t_log_ord,
@@ -76,7 +82,8 @@ qg AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name, {blob_sql("regexp
 
 
 def repo_sql(*extra_views: str) -> str:
-    return with_views("file_versions", "changes", "path_objects", "query_files", *extra_views) + "," + PATHS_SQL
+    views = with_views("file_versions", "changes", "path_objects", "query_files", *extra_views)
+    return views.replace("WITH ", "WITH RECURSIVE ", 1) + "," + PATHS_SQL
 
 
 # --- C1, C2, C3 -----------------------------------------------------------------
@@ -167,11 +174,9 @@ def q_union_norm_raw(repo: Repo) -> DataFrame:
 @register(
     "commits_touching_path",
     "D2",
-    with_views("changes")
+    repo_sql()
     + """
-SELECT path, commit_id, min(log_ord) AS log_ord FROM (
-  SELECT path, commit_id, log_ord FROM changes
-  UNION ALL SELECT old_path, commit_id, log_ord FROM changes WHERE old_path IS NOT NULL) GROUP BY 1, 2""",
+SELECT w.root AS path, c.commit_id, min(c.log_ord) AS log_ord FROM walk w JOIN tch c ON c.path = w.path AND c.log_ord > w.from_ord GROUP BY 1, 2""",
 )
 def q_touching(repo: Repo) -> DataFrame:
     paths = repo.path_objects().select("path").distinct().withColumn("path_rank", F.lit(0)).withColumn("k", F.col("path"))

@@ -13,8 +13,9 @@ Derivation (each document is one commit of a synthetic repository):
   text "notint" (parsed as 0) when doc_id % 97 = 5.
 * ``commit_parents``: one chain per source (doc_id -> doc_id - 20) plus
   merges doc_id -> doc_id - 1 when doc_id % 100 = 0.
-* ``changes``: an add row per version; a remove row of the chain parent's
-  blob when it differs.
+* ``changes``: an add row per version, as a rename of the chain parent's path
+  when doc_id % 97 = 4 and the paths differ; a remove row of the chain
+  parent's blob when it differs.
 * ``refs``: tip = newest commit per source; branch name by source.
 """
 
@@ -35,6 +36,7 @@ TS_STEP = 7919
 TS_MOD = 100000
 CHAIN_STEP = 20
 MERGE_EVERY = 100
+RENAME_MOD, RENAME_REM = 97, 4
 CRLF_MOD, CRLF_REM = 7, 3
 BAD_TS_MOD, BAD_TS_REM = 97, 5
 BRANCH_BY_SOURCE = {
@@ -115,8 +117,10 @@ class Repo:
 
     def changes(self) -> DataFrame:
         fv = self.file_versions().select("commit_id", "path", "blob_id", "log_ord")
-        adds = fv.select(
-            "commit_id", "path", F.lit(None).cast("string").alias("old_path"), "blob_id",
+        before = fv.select((F.col("commit_id") + CHAIN_STEP).alias("commit_id"), F.col("path").alias("p_path"))
+        renamed = (F.col("commit_id") % RENAME_MOD == RENAME_REM) & (F.col("p_path") != F.col("path"))
+        adds = fv.join(before, "commit_id", "left").select(
+            "commit_id", "path", F.when(renamed, F.col("p_path")).alias("old_path"), "blob_id",
             F.lit("add").alias("kind"), "log_ord",
         )
         parent = fv.select(

@@ -127,3 +127,19 @@ def test_cascade_scores_order_and_modes(spark):
         assert got[11] == ("no_match", 0, "no candidate paths")
         order = [r.commit_id for r in res["candidates"].orderBy("o").collect()]
         assert order[:2] == [2, 1], mode
+
+
+def test_touching_follows_renames(spark):
+    """c1 creates old.txt, c2 renames it to new.txt, c3 edits, c4 renames it
+    away; c0 is an older, unrelated life of new.txt's later name."""
+    rows = [("c0", "moved.txt", None, 5), ("c1", "old.txt", None, 4), ("c2", "new.txt", "old.txt", 3), ("c3", "new.txt", None, 2), ("c4", "moved.txt", "new.txt", 1),
+            ("c5", "old.txt", None, 0)]
+    changes = spark.createDataFrame(rows, "commit_id string, path string, old_path string, log_ord long")
+
+    def touching(path):
+        paths = spark.createDataFrame([("k", path, 0)], "k string, path string, path_rank int")
+        return sorted(r.commit_id for r in H.commits_touching(paths, changes, key="k").collect())
+
+    assert touching("new.txt") == ["c1", "c2", "c3", "c4"]
+    assert touching("moved.txt") == ["c0", "c1", "c2", "c3", "c4"]
+    assert touching("old.txt") == ["c1", "c2", "c5"]
