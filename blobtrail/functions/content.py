@@ -1,6 +1,7 @@
 """Content column expressions: line-end normalisation, lenient decoding and
 git blob ids (B1-B4). All are built-in JVM expressions; string and binary
-content columns are both accepted."""
+content columns are both accepted. Bytes are rewritten by way of ISO-8859-1,
+which maps each byte to one character and back."""
 
 from __future__ import annotations
 
@@ -8,11 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType
 
-# Regexes over the hex form of a binary column. `\G` keeps every match on a
-# byte (two hex digit) boundary, so "30D0A1" is never read as a CR LF.
-_HEX_CR_LF_OR_CR = r"\G((?:[0-9A-F]{2})*?)0D(?:0A)?"
-_HEX_LF = r"\G((?:[0-9A-F]{2})*?)0A"
-
 
 def _is_binary(dtype: DataType | None) -> bool:
     return isinstance(dtype, BinaryType)
@@ -21,14 +17,14 @@ def _is_binary(dtype: DataType | None) -> bool:
 def normalize_lf(c: Column, dtype: DataType | None = None) -> Column:
     """B1: CRLF and lone CR become LF."""
     if _is_binary(dtype):
-        return F.unhex(F.regexp_replace(F.hex(c), _HEX_CR_LF_OR_CR, "$10A"))
+        return F.encode(F.regexp_replace(F.decode(c, "ISO-8859-1"), "\r\n?", "\n"), "ISO-8859-1")
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
 def crlf_variant(c: Column, dtype: DataType | None = None) -> Column:
     """Every LF becomes CRLF (the content a CRLF checkout would store)."""
     if _is_binary(dtype):
-        return F.unhex(F.regexp_replace(F.hex(c), _HEX_LF, "$10D0A"))
+        return F.encode(F.replace(F.decode(c, "ISO-8859-1"), F.lit("\n"), F.lit("\r\n")), "ISO-8859-1")
     return F.replace(c, F.lit("\n"), F.lit("\r\n"))
 
 

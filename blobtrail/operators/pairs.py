@@ -1,8 +1,8 @@
 """Similarity joins without comparing all pairs, and without losing any
 pair at or above the threshold.
 
-* set modes (jaccard, charjaccard, winnow): prefix filter plus length filter
-  (Chaudhuri et al. 2006; Xiao et al. 2008), distributed as in Vernica et
+* set modes (jaccard, charjaccard, winnow): prefix, length and positional
+  filters (Chaudhuri et al. 2006; Xiao et al. 2008), distributed as in Vernica et
   al. 2010: items are ordered by their global frequency, each set keeps its
   ``n - ceil(t*n) + 1`` rarest items, and only sets sharing a prefix item
   become candidates; candidates are verified exactly.
@@ -94,7 +94,7 @@ def set_pairs(
             ex.join(freq, ["_blk", "item"])
             .withColumn("rn", F.row_number().over(w))
             .where(F.col("rn") <= prefix_len(F.col("n"), t))
-            .select("k", "_blk", "n", "item")
+            .select("k", "_blk", "n", "item", "rn")
         )
 
     lp = prefixes(le)
@@ -103,6 +103,11 @@ def set_pairs(
     cond = (F.col("a._blk") == F.col("b._blk")) & (F.col("a.item") == F.col("b.item"))
     # length filter: t*nA <= nB <= nA/t
     cond = cond & (F.col("b.n") >= F.ceil(F.col("a.n") * t - EPS)) & (F.col("b.n") * t <= F.col("a.n") + EPS)
+    # positional filter: at its first shared item (in the global order) a pair
+    # can share that one and what either set has left, which must reach the
+    # overlap that the threshold asks for.
+    still = 1 + F.least(F.col("a.n") - F.col("a.rn"), F.col("b.n") - F.col("b.rn"))
+    cond = cond & (still >= F.ceil((F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - EPS))
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
     elif skip_equal_keys:
