@@ -156,7 +156,7 @@ def verdict(feats: DataFrame, refs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = written(features(table(spark, sf_dir, "documents")))
     return verdict(feats, written(references(feats))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -165,3 +165,49 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (references, then verdicts) and never shuffled."""
     refs = written(references(features(docs)))
     return verdict(features(docs, whole_rows=True), refs).where("kept").select("row.*")
+
+
+def _oracle() -> str:
+    """The whole query in DuckDB SQL, from the same fixed values."""
+    chars = ", ".join(f"length(regexp_replace(text, '[^{cls}]', '', 'g'))" for cls in CHAR_CLASSES.values())
+    words = ", ".join(f"len(list_filter(w, lambda x: x = '{v}'))" for v in COMMON_WORDS)
+    sums = lambda col, n: "[" + ", ".join(f"sum({col}[{i + 1}])" for i in range(n + 1)) + "]"
+    space, symbol = (list(CHAR_CLASSES).index(k) + 1 for k in ("space", "symbol"))
+
+    def distance(a: str, b: str) -> str:
+        p, q = f"({a}[i] / list_sum({a})::DOUBLE)", f"({b}[i] / list_sum({b})::DOUBLE)"
+        part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+        total = f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: (({part(p, q)}) + ({part(q, p)})) / 2))"
+        return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, {total})) ELSE 0 END"
+
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), c AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM x) WHERE k > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), h AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(text) AS n_chars, [{chars}] AS ch, [{words}] AS wh FROM d
+), f AS (
+  SELECT h.doc_id, lang, n_words, n_chars - ch[{space}] AS word_chars, ch[{symbol}] AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+    list_append(ch, n_chars - list_sum(ch)) AS ch, list_append(wh, n_words - list_sum(wh)) AS wh,
+    n_words < 50 OR 100 * coalesce(c.n, 0) > 50 * n_words AS base_failed
+  FROM h LEFT JOIN l ON l.doc_id = h.doc_id LEFT JOIN c ON c.doc_id = h.doc_id
+), r AS (
+  SELECT lang, sum(n_words) AS ref_words, {sums("ch", len(CHAR_CLASSES))} AS rc, {sums("wh", len(COMMON_WORDS))} AS rw FROM f WHERE NOT base_failed GROUP BY lang
+), j AS (
+  SELECT f.*, coalesce(r.ref_words, 0) AS ref_words, {distance("ch", "rc")} AS cd, {distance("wh", "rw")} AS wd FROM f LEFT JOIN r ON r.lang = f.lang
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE_WORDS} AND (cd > {MAX_CHAR_DISTANCE} OR wd > {MAX_WORD_DISTANCE})) AS kept
+FROM j
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -15,7 +15,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_nearest_neighbours": (neighbours.query, neighbours.ORACLE_SQL),
     "op5_substring_dedup": (substrings.query, substrings.ORACLE_SQL),
     "op6_token_counts": (token_counts.query, None),
-    "op7_quality_rules": (quality.query, None),
+    "op7_quality_rules": (quality.query, quality.ORACLE_SQL),
     "op8_lm_score": (hmm.query, None),
     "op9_secret_scan": (secrets.query, None),
     "op10_sentencepiece": (pieces.query, None),
