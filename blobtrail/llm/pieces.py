@@ -40,7 +40,7 @@ SPACE = "▁"
 RATE = 0.1
 SEED = 10
 VARIANTS = 2
-CACHE_UNITS = 400_000
+CACHE_UNITS = 120_000
 # ---------------------------------------------------------------------------
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MODELS: dict = {}

@@ -38,7 +38,7 @@ from blobtrail.llm.common import arrow_map, table
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 64
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 # The edits of the registered query: masked mail addresses and long numbers,
 # and one inserted note per document.
 MAIL = re.compile(r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")
