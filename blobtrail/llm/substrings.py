@@ -299,7 +299,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     streamed = segments(row)
     hot = segments(row.where(F.size("hot") > 0).withColumn("cold", F.array().cast("array<long>")))
     copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    refs = hot.groupBy("route", "words", "salts").agg(F.min("doc_id").alias("doc_id")).select(
+    # A window of one document alone is no reference; its copies would only
+    # multiply with the sub-shards.
+    held_twice = hot.groupBy("route", "words", "salts").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last")).where("doc_id < _last")
+    refs = held_twice.select(
         "route", copies, F.lit(REFERENCE).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("version"), F.lit(0).alias("start"), "words"
     )
     spans = repeated_spans(streamed.select(*refs.columns).unionByName(refs))
