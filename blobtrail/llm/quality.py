@@ -9,6 +9,13 @@ with the corpus; only one row per language is kept of them. Documents below
 ``min_reference_words`` reference words judge nobody (the minimum-length
 guards). Everything is built-in DataFrame expressions.
 
+The registered query takes one word limit for all, as its SQL states. The
+pipeline's stage limits the word distance by length and language: a document
+of n words drawn from its language's reference lies at an expected distance,
+with a spread, that the reference's shares give; what lies ``SPREADS`` spreads
+beyond goes, so documents without common words or in another language go from
+about 100 words on, and shorter ones, which chance could make so, stay.
+
 Cases: null text counts as empty (0 words, base_failed). A null language is a
 language of its own. Repeated rows each come back. Null ids come back null.
 An empty table gives an empty result. Other columns are ignored, whatever
@@ -17,6 +24,8 @@ their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +48,11 @@ MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
 MIN_WORDS = 50
 MIN_REFERENCE_WORDS = 2000
+# The stage's word limit: spreads beyond the distance expected of n words (a
+# chance of about 1e-4 for a clean document), and the least limit, which
+# leaves room for style in long documents.
+SPREADS = 7
+LEAST_WORD_DISTANCE = 0.12
 # References are broadcast up to so many languages (about 250 bytes each).
 MAX_BROADCAST_LANGS = 10_000
 # ---------------------------------------------------------------------------
@@ -143,13 +157,27 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when(ok, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda s, x: s + x))))
 
 
-def verdict(feats: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds both distances and ``kept`` to feature rows."""
+def word_limit(ref: Column, n_words: Column) -> Column:
+    """Largest word distance of a document of n words from its language's
+    histogram ``ref``. Sampling gives a class of share q an expected part
+    (1 - q) / (8 n ln 2) of the divergence, q at most (a class that is not
+    drawn), as a scaled chi-square of one degree."""
+    total = _array_sum(ref).cast("double")
+    parts = F.transform(ref, lambda x: F.least((1 - x / total) / (n_words * (8 * math.log(2))), x / total))
+    squares = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x * x)
+    limit = F.sqrt(_array_sum(parts, "double") + SPREADS * F.sqrt(2 * squares))
+    return F.least(F.lit(MAX_WORD_DISTANCE), F.greatest(F.lit(LEAST_WORD_DISTANCE), limit))
+
+
+def verdict(feats: DataFrame, refs: DataFrame, by_length: bool = False) -> DataFrame:
+    """Adds both distances and ``kept`` to feature rows; ``by_length`` takes
+    the word limit of each row's length and language."""
     j = feats.join(small(refs, MAX_BROADCAST_LANGS), feats["lang"] == refs["ref_lang"], "left")
     j = j.withColumn("char_distance", js_distance(F.col("char_hist"), F.col("ref_char")))
     j = j.withColumn("word_distance", js_distance(F.col("word_hist"), F.col("ref_word")))
     judged = (F.col("n_words") >= MIN_WORDS) & (F.coalesce(F.col("ref_words"), F.lit(0)) >= MIN_REFERENCE_WORDS)
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE)
+    most = F.when(judged, word_limit(F.col("ref_word"), F.col("n_words"))) if by_length else F.lit(MAX_WORD_DISTANCE)
+    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > F.coalesce(most, F.lit(MAX_WORD_DISTANCE)))
     return j.withColumn("kept", ~F.col("base_failed") & ~(judged & far))
 
 
@@ -164,7 +192,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that the rules reject go. Texts are read twice
     (references, then verdicts) and never shuffled."""
     refs = written(references(features(docs)))
-    return verdict(features(docs, whole_rows=True), refs).where("kept").select("row.*")
+    return verdict(features(docs, whole_rows=True), refs, by_length=True).where("kept").select("row.*")
 
 
 def _oracle() -> str:

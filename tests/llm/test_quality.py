@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -93,3 +94,19 @@ def test_distance_is_a_metric_on_shares(spark):
     df = spark.range(1).selectExpr("array(1L, 0L) AS a", "array(0L, 5L) AS b", "array(2L, 0L) AS c")
     r = df.select(quality.js_distance(df.a, df.b), quality.js_distance(df.a, df.c)).first()
     assert r[0] == pytest.approx(1.0) and r[1] == pytest.approx(0.0)
+
+
+def prose(rng, lang, n):
+    """n words, about one in nine of them common ones of the language."""
+    common = {"en": ["the", "of", "and", "to"], "de": ["der", "die", "und", "zu"], "es": ["de", "la", "el", "en", "que"], "salad": []}[lang]
+    return " ".join(rng.choice(common) if common and rng.random() < 0.12 else "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(3, 8))) for _ in range(n))
+
+
+def test_stage_rejects_word_salad_and_other_languages(spark):
+    rng = random.Random(9)
+    clean = [(lang, prose(rng, lang, n)) for lang in ("en", "de", "es") for n in [50, 60, 80] * 40 + [150, 400] * 40 + [3000] * 30]
+    salad = [(lang, prose(rng, "salad", n)) for lang in ("en", "de", "es") for n in (130, 300, 1000)]
+    other = [(lang, prose(rng, spoken, n)) for lang, spoken in (("en", "de"), ("de", "es"), ("es", "en")) for n in (130, 300, 1000)]
+    rows = [(i, *r) for i, r in enumerate(clean + salad + other)]
+    left = {r["doc_id"] for r in quality.stage(spark, spark.createDataFrame(rows, "doc_id long, lang string, text string"), "").collect()}
+    assert left == set(range(len(clean)))
