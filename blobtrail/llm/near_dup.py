@@ -19,6 +19,9 @@ full sets too. Within a component nothing more needs comparing, so a group of
 a third of all rows costs a linear number of comparisons; no partner is ever
 dropped.
 
+The shingle length is a parameter: four words in the registered query, five
+in the pipeline's stage (the general rule for stages on word shingles).
+
 Cases: null or wordless texts have empty sets and are linked with nothing.
 Repeated rows are copies of each other. Rows of one doc_id with different
 texts are judged one by one, their links name the id. A null doc_id takes no
@@ -44,7 +47,8 @@ from blobtrail.llm.graph import components
 from blobtrail.llm.words import ODD, grams, hashes, mixed
 
 # --- fixed values ----------------------------------------------------------
-SHINGLE = 4
+SHINGLE = 4  # words, in the registered query
+STAGE_SHINGLE = 5  # words, in the pipeline
 PERCENT = 80  # links: 100 * intersection >= PERCENT * union
 PLACES_BITS, COORDS, BANDS, ROWS = 20, 512, 32, 5
 MIN_ESTIMATE = 0.72
@@ -66,13 +70,13 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     return _PERMUTATIONS[0], _PERMUTATIONS[1]
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Distinct shingles, as sorted 64-bit hashes."""
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return mixed(hashes([b" ".join(words)]))
-    return np.unique(grams(hashes(words), SHINGLE))
+    return np.unique(grams(hashes(words), shingle))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -103,12 +107,12 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((x & 15) == 0).sum(axis=-1) + ((x & 240) == 0).sum(axis=-1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         digest, n, bands, sigs = [], [], [], []
         for text in text_bytes(batch):
             words = text.lower().split()
-            shingles = shingle_set(words)
+            shingles = shingle_set(words, shingle)
             digest.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
             n.append(len(shingles))
             sig = signature(shingles) if len(shingles) else None
@@ -151,7 +155,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) that are links by their full shingle sets."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         def full(node: int, packed: bytes) -> np.ndarray:
             key = (node, len(packed), packed[-8:])
             if key not in seen:
-                seen[key] = shingle_set(unpack.decompress(packed).split())
+                seen[key] = shingle_set(unpack.decompress(packed).split(), shingle)
                 if len(seen) > 256:
                     seen.popitem(last=False)
             return seen[key]
@@ -176,7 +180,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(stream, "a long, b long")
 
 
-def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
+def _cell_links(cell: pd.DataFrame, shingle: int) -> pd.DataFrame:
     """Links between different components inside one cell of a bucket: pairs
     that share no earlier band and may be links are confirmed on their full
     sets right here, so only links leave the task."""
@@ -188,7 +192,7 @@ def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
 
     def full(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = shingle_set(unpack.decompress(packed[i]).split())
+            sets[i] = shingle_set(unpack.decompress(packed[i]).split(), shingle)
         return sets[i]
 
     for i in range(len(cell)):
@@ -210,7 +214,7 @@ def _cell_links(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def cross_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
     """Links between components that meet in a bucket. A large bucket is dealt
     into blocks: those of its most frequent component and those of the rest;
     cells join two blocks, never two of the frequent component."""
@@ -231,14 +235,14 @@ def cross_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, labels: D
     cells = F.when(whole, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).when(F.col("is_main"), F.transform(rest_ids, cell)).otherwise(F.transform(every, cell))
     d = d.select("key", "node", "comp", "part", F.explode(cells).alias("c")).select("key", "node", "comp", "part", "c.x", "c.y")
     d = d.join(sigs.select("node", "n_shingles", "bands", "sig"), "node").join(texts, "node")
-    return d.groupBy("key", "x", "y").applyInPandas(_cell_links, "a long, b long")
+    return d.groupBy("key", "x", "y").applyInPandas(lambda cell: _cell_links(cell, shingle), "a long, b long")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, digest, n_shingles, node; labels: v, m). node is the
     smallest doc_id of the word sequence, labels lead from a node to the
     smallest of its component."""
-    rows = written(signatures(docs))
+    rows = written(signatures(docs, shingle))
     named = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = written(
         named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -251,17 +255,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(packed_words(docs.where(F.col("doc_id").isNotNull())).join(met, "node").dropDuplicates(["node", "packed"]))
     centre = members.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("centre"))
     star = members.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = written(confirmed(sized(star, sigs), texts))
+    links = written(confirmed(sized(star, sigs), texts, shingle))
     labels = components(links)
-    more = written(cross_links(members, sigs, texts, labels))
+    more = written(cross_links(members, sigs, texts, labels, shingle))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return rows.join(reps.select("digest", "node"), "digest", "left").select("doc_id", "digest", "n_shingles", "node"), labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, labels = classes(docs)
+    rows, labels = classes(docs, shingle)
     j = rows.join(labels, rows["node"] == labels["v"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("m", "node", "doc_id"))
     return j.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -273,7 +277,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays; rows without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, STAGE_SHINGLE).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
     left = row.join(gone, row["_id"] == gone["_gone"], "left_anti")
     named = left.where("_id IS NOT NULL").dropDuplicates(["_id", "_text"])

@@ -72,3 +72,20 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (100, 100)]
     got = {r["v"]: r["m"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_stage_takes_five_words(spark):
+    rng = random.Random(8)
+    rows = []
+    for edits in (2, 6, 9, 10, 11, 14):  # one-word changes apart; 9 to 11 lie between the rules of four and five words
+        base = [f"u{edits}x{i}" for i in range(400)]
+        copy = list(base)
+        for i in range(edits):
+            copy[20 + 25 * i] = f"c{rng.randrange(10**6)}"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    want = [d for d, _ in rows if not any(100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]) for e in range(d))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_dup.stage(spark, df, "").collect()) == want
+    four = sum(r["kept"] for r in near_dup.near_duplicates(df).collect())
+    assert four < len(want)
