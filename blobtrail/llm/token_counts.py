@@ -4,7 +4,9 @@ Per document a segment tree of its pre-tokens is kept: leaves are runs of up
 to ``LEAF`` pre-tokens with their length in characters and their token count,
 inner nodes are sums. An edit re-encodes only the leaves that it touches plus
 the boundary context: scanning starts at the leaf that holds the character
-before the edit (a pre-token ends by what follows it) and goes on until the
+before the edit (a pre-token ends by what follows it), or the first character
+of the whole white-space run that ends there (it is split by what follows it),
+or an apostrophe one character further back, and goes on until the
 new boundaries fall on an old leaf start behind the edit, from where on the
 pre-tokens are the old ones. The touched leaves get their new sums and the
 sums on their paths to the root are updated; no other pre-token is counted
@@ -112,6 +114,15 @@ def _put(nodes: np.ndarray, leaf: int, value) -> None:
         at //= 2
 
 
+def context(text: str, a: int) -> int:
+    """First character whose pre-token an edit at ``a`` can change; -1 before
+    the text. White space by ``isspace``, which holds all of the pattern's."""
+    at = a - 1
+    while at > 0 and text[at].isspace() and text[at - 1].isspace():
+        at -= 1
+    return at - 1 if at == a - 1 and at > 0 and text[at - 1] == "'" else at
+
+
 def edited(text: str, nodes: np.ndarray, edits: list[tuple[int, int, str]], count: Counter) -> tuple[str, np.ndarray, int]:
     """New text, updated tree and the number of pre-tokens encoded again.
     ``edits``: (start, end, replacement) in characters of ``text``."""
@@ -124,16 +135,17 @@ def edited(text: str, nodes: np.ndarray, edits: list[tuple[int, int, str]], coun
     nodes, width = nodes.copy(), len(nodes) // 2
     starts = np.concatenate([[0], np.cumsum(nodes[width:, 0])])  # old leaf starts, then the end
     where = {int(p): i for i, p in reversed(list(enumerate(starts[:-1])))}
+    reach = [context(text, a) for a, _, _ in edits]
     recoded, k, shift = 0, 0, 0
     while k < len(edits):
         # Empty leaves share a start; the last of them holds what follows.
-        first = max(0, int(np.searchsorted(starts, max(0, edits[k][0] - 1), side="right")) - 1)
+        first = max(0, int(np.searchsorted(starts, max(0, reach[k]), side="right")) - 1)
         first = min(first, width - 1)
         pos = int(starts[first]) + shift
         sums, last, done, begun = np.zeros(3, np.int64), width, 0, k
         while True:
             # Take in every edit whose context reaches what has been scanned.
-            while k < len(edits) and edits[k][0] - 1 < pos - shift:
+            while k < len(edits) and reach[k] < pos - shift:
                 shift += len(edits[k][2]) - (edits[k][1] - edits[k][0])
                 k += 1
                 done = edits[k - 1][1]
@@ -141,12 +153,12 @@ def edited(text: str, nodes: np.ndarray, edits: list[tuple[int, int, str]], coun
                 last = width
                 break
             old = pos - shift
-            if k > begun and old >= done and where.get(old, 0) > first and (k == len(edits) or edits[k][0] - 1 >= old):
+            if k > begun and old >= done and where.get(old, 0) > first and (k == len(edits) or reach[k] >= old):
                 last = where[old]
                 break
             m = count.pattern.match(new, pos)
             # An edit that starts inside this pre-token belongs to it.
-            while k < len(edits) and edits[k][0] - 1 < m.end() - shift:
+            while k < len(edits) and reach[k] < m.end() - shift:
                 shift += len(edits[k][2]) - (edits[k][1] - edits[k][0])
                 done = edits[k][1]
                 k += 1

@@ -35,6 +35,28 @@ def test_edits_equal_a_full_encoding(count):
             check(nodes, text, count)
 
 
+def test_leaf_borders_inside_runs(count):
+    for n in (62, 63, 64, 65):  # pre-tokens before the run
+        for run, put in (("\n\n", tc.NOTE), ("  ", tc.NOTE), (" \n\t \n", "x"), ("'", "re"), ("'r", "e"), ("'l", "l"), ("'", "s")):
+            for tail in ("b", "b" + " c" * 100, ""):
+                text = "w" + " w" * (n - 1) + run + tail
+                at = n * 2 - 1 + len(run)
+                for edit in ((at, at, put), (at, len(text), ""), (at, at + 1, put)):
+                    new, nodes, _ = tc.edited(text, tc.build(text, count), [edit], count)
+                    check(nodes, new, count)
+
+
+def test_edits_of_runs(count):
+    rng = random.Random(6)
+    parts = [" ", "  ", "\n", "\n\n", "'", "r", "l", "e", "s", "'r", "b", "."]
+    for _ in range(400):
+        text = "w" + " w" * 55 + "".join(rng.choices(parts, k=30)) + " w" * 60
+        at = sorted(rng.sample(range(100, len(text) - 100), 6))
+        edits = [(at[i], at[i + 1] if rng.random() < 0.5 else at[i], "".join(rng.choices(parts, k=rng.randint(0, 2)))) for i in (0, 2, 4)]
+        new, nodes, _ = tc.edited(text, tc.build(text, count), edits, count)
+        check(nodes, new, count)
+
+
 def test_only_touched_regions_are_encoded(count):
     text = "some words here " * 5000
     nodes = tc.build(text, count)
