@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import chat, hmm, mixing, near_dup, neighbours, pieces, quality, secrets, substrings, token_counts
+from blobtrail.llm import chat, hmm, lines, mixing, near_dup, neighbours, pieces, quality, secrets, substrings, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (chat.query, chat.ORACLE_SQL),
@@ -19,4 +19,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_lm_score": (hmm.query, None),
     "op9_secret_scan": (secrets.query, None),
     "op10_sentencepiece": (pieces.query, None),
+    "op11_line_dedup": (lines.query, lines.ORACLE_SQL),
 }
