@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blobtrail.llm import chat, hmm, lines, mixing, near_dup, neighbours, pieces, prefix_trie, quality, secrets, substrings, token_counts
+from blobtrail.llm import alignment, chat, hmm, lines, mixing, near_dup, neighbours, pieces, prefix_trie, quality, secrets, substrings, token_counts
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_format": (chat.query, chat.ORACLE_SQL),
@@ -21,4 +21,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_sentencepiece": (pieces.query, None),
     "op11_line_dedup": (lines.query, lines.ORACLE_SQL),
     "op12_prefix_trie": (prefix_trie.query, prefix_trie.ORACLE_SQL),
+    "op13_alignment": (alignment.query, None),
 }
