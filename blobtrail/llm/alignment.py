@@ -52,7 +52,10 @@ SPACE = "▁"
 CACHE_UNITS = 120_000
 TEXT_AT_ONCE, JOINED = 1 << 22, 1 << 17  # characters looked up, and encoded, together
 RUN_POSTINGS, RUN_DOCS = 4_000_000, 1 << 16
-SPARSE_BITS = 16  # of a place in a list
+PLACE_BITS = 16  # of a place in a list
+LONG_UNIT = 1000  # characters from which a unit is encoded alone
+# The split of a byte-level pre-tokenizer.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BIG_GROUP = 1 << 16  # links of a group that are counted by distinct ids
 # ---------------------------------------------------------------------------
 _UNIT = re.compile(r"[ \n]\S+")
@@ -121,8 +124,20 @@ class Aligner(dict):
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_form, self.b_form = ([str(i).encode() for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
-        before = json.loads(a_model)["pre_tokenizer"] or {}
-        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        described = json.loads(a_model)
+        before, merges = described["pre_tokenizer"] or {}, [m if isinstance(m, str) else " ".join(m) for m in described["model"]["merges"]]
+        by_regex = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.cuts = by_regex and not any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        # Where ids rise in the order of the merges, merging by rank is the same
+        # and a faster library does it.
+        own = {m.replace(" ", "") for m in merges}
+        ids = [self.a.token_to_id(m.replace(" ", "")) for m in merges]
+        self.fast = None
+        if by_regex and described["normalizer"] is None and ids == sorted(set(ids)):
+            import tiktoken
+
+            ranks = {self.a_bytes[i]: i for i, e in enumerate(entries) if e in own or len(e) == 1 and e in alphabet}
+            self.fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.known, self.fresh = Units.none(), []
 
     def __missing__(self, unit: str) -> int:
@@ -145,7 +160,7 @@ class Aligner(dict):
         encoded together."""
         parts, held, size = [Units.none()], [], 0
         for unit in [*units, None]:
-            alone = unit is None or unit[-1].isspace()
+            alone = unit is None or len(unit) >= LONG_UNIT or unit[-1].isspace()
             if held and (alone or size > JOINED):
                 parts.append(self._joined(held))
                 held, size = [], 0
@@ -160,7 +175,8 @@ class Aligner(dict):
     def _joined(self, units: list[str]) -> Units:
         text = "".join(units)
         raw = text.encode()
-        a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        a = self.fast.encode_ordinary(text) if self.fast and (len(units) > 1 or len(text) < LONG_UNIT) else self.a.encode(text, add_special_tokens=False).ids
+        a = np.array(a, np.int64)
         # B adds the space itself; before a line feed it is a token apart.
         b = np.array(self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:], np.int64)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
@@ -244,47 +260,58 @@ class Aligner(dict):
 
 
 class Planes:
-    """Bit planes of a run: for plane k, which pairs' lists and bitmaps have a
-    place where bit k of the number of links is set."""
+    """Bit planes of a run. Plane k holds, per pair, the places where bit k of
+    the number of links is set: as a list (``lists[k]``: pairs, lengths, places)
+    or, where that takes more room, as a bitmap (``maps[k]``: pairs, bits)."""
 
-    def __init__(self, n_docs: int, pairs: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], maps: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, n_docs: int, pairs: np.ndarray, lists: list[tuple], maps: list[tuple]):
         self.n_docs, self.pairs, self.lists, self.maps = n_docs, pairs, lists, maps
 
     @staticmethod
     def of(n_docs: int, place: np.ndarray, pair: np.ndarray, links: np.ndarray) -> Planes:
-        order = np.lexsort((place, pair))
+        order = np.argsort(pair << 16 | place)  # places lie below 2^16
         place, pair, links = place[order], pair[order], links[order]
-        pairs, row, count = np.unique(pair, return_inverse=True, return_counts=True)
-        dense = (count * SPARSE_BITS > n_docs)[row]
+        new = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
+        pairs, row = pair[new], np.cumsum(new) - 1
         lists, maps = [], []
         for k in range(int(links.max(initial=0)).bit_length()):
-            on = (links >> k & 1).astype(bool)
-            thin, thick = on & ~dense, on & dense
-            lists.append((row[thin].astype(np.uint32), place[thin].astype(np.uint16)))
-            rows, line = np.unique(row[thick], return_inverse=True)
+            on = np.nonzero(links >> k & 1)[0]
+            count = np.bincount(row[on], minlength=len(pairs))
+            dense = count * PLACE_BITS > n_docs
+            thin, thick = on[~dense[row[on]]], on[dense[row[on]]]
+            rows = np.nonzero(count * ~dense)[0]
+            lists.append((rows.astype(np.uint32), count[rows].astype(np.uint16), place[thin].astype(np.uint16)))
+            rows = np.nonzero(dense)[0]
             bits = np.zeros((len(rows), -(-n_docs // 8)), np.uint8)
-            at = place[thick]
-            np.bitwise_or.at(bits, (line, at >> 3), (1 << (at & 7)).astype(np.uint8))
+            np.bitwise_or.at(bits, (np.searchsorted(rows, row[thick]), place[thick] >> 3), (1 << (place[thick] & 7)).astype(np.uint8))
             maps.append((rows.astype(np.uint32), bits))
         return Planes(n_docs, pairs, lists, maps)
 
     def doc_counts(self) -> np.ndarray:
         """Documents of each pair: its planes OR-ed and counted."""
-        out = np.zeros(len(self.pairs), np.int64)
-        thin = np.unique(np.concatenate([r.astype(np.int64) << 16 | p for r, p in self.lists])) if self.lists else np.zeros(0, np.int64)
-        np.add.at(out, thin >> 16, 1)
-        rows = np.unique(np.concatenate([r for r, _ in self.maps])) if self.maps else np.zeros(0, np.uint32)
-        merged = np.zeros((len(rows), -(-self.n_docs // 8)), np.uint8)
-        for r, bits in self.maps:
-            merged[np.searchsorted(rows, r)] |= bits
-        out[rows] = np.bitwise_count(merged).sum(axis=1, dtype=np.int64)
+        out, mapped = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.pairs), bool)
+        for rows, _ in self.maps:
+            mapped[rows] = True
+        at = np.cumsum(mapped) - 1
+        merged = np.zeros((int(mapped.sum()), -(-self.n_docs // 8)), np.uint8)
+        for rows, bits in self.maps:
+            merged[at[rows]] |= bits
+        rest = []
+        for rows, counts, place in self.lists:
+            row, place = np.repeat(rows, counts).astype(np.int64), place.astype(np.int64)
+            beside = mapped[row]
+            np.bitwise_or.at(merged, (at[row[beside]], place[beside] >> 3), (1 << (place[beside] & 7)).astype(np.uint8))
+            rest.append(row[~beside] << 16 | place[~beside])
+        if rest:
+            np.add.at(out, np.unique(np.concatenate(rest)) >> 16, 1)
+        out[mapped] = np.bitwise_count(merged).sum(axis=1, dtype=np.int64)
         return out
 
     def link_counts(self) -> np.ndarray:
         """Links of each pair: popcounts by the weight of the plane."""
         out = np.zeros(len(self.pairs), np.int64)
-        for k, ((row, _), (rows, bits)) in enumerate(zip(self.lists, self.maps, strict=True)):
-            np.add.at(out, row, 1 << k)
+        for k, ((thin, counts, _), (rows, bits)) in enumerate(zip(self.lists, self.maps, strict=True)):
+            out[thin] += counts.astype(np.int64) << k
             out[rows] += np.bitwise_count(bits).sum(axis=1, dtype=np.int64) << k
         return out
 
@@ -292,8 +319,8 @@ class Planes:
         """Per document, the sum over its links of their pair's scores
         (``scores``: a column per kind of score)."""
         out = np.zeros((self.n_docs, scores.shape[1]), np.int64)
-        for k, ((row, place), (rows, bits)) in enumerate(zip(self.lists, self.maps, strict=True)):
-            parts = [(row, place)]
+        for k, ((thin, counts, place), (rows, bits)) in enumerate(zip(self.lists, self.maps, strict=True)):
+            parts = [(np.repeat(thin, counts), place)]
             for s in range(0, len(rows), 1024):
                 line, at = np.nonzero(np.unpackbits(bits[s : s + 1024], axis=1, bitorder="little"))
                 parts.append((rows[s + line], at))
@@ -303,21 +330,22 @@ class Planes:
         return out
 
     def packed(self) -> list[dict]:
-        return [{"row": r.tobytes(), "place": p.tobytes(), "rows": rs.tobytes(), "bits": bits.tobytes()} for (r, p), (rs, bits) in zip(self.lists, self.maps, strict=True)]
+        return [dict(zip(PLANE_COLUMNS, (x.tobytes() for x in (*thin, *thick)), strict=True)) for thin, thick in zip(self.lists, self.maps, strict=True)]
 
     @staticmethod
     def unpacked(n_docs: int, pairs: np.ndarray, planes: list[dict]) -> Planes:
-        lists = [(np.frombuffer(x["row"], np.uint32), np.frombuffer(x["place"], np.uint16)) for x in planes]
+        lists = [tuple(np.frombuffer(x[c], t) for c, t in (("thin", np.uint32), ("counts", np.uint16), ("places", np.uint16))) for x in planes]
         maps = [(rows := np.frombuffer(x["rows"], np.uint32), np.frombuffer(x["bits"], np.uint8).reshape(len(rows), -(-n_docs // 8))) for x in planes]
         return Planes(n_docs, pairs, lists, maps)
 
 
+PLANE_COLUMNS = ["thin", "counts", "places", "rows", "bits"]
 DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
-PLANE = [(c, pa.binary()) for c in ("row", "place", "rows", "bits")]
+PLANE = [(c, pa.binary()) for c in PLANE_COLUMNS]
 RUN = pa.schema([("run", pa.int64()), ("docs", pa.list_(pa.struct(DOC))), ("pairs", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int64())), ("links", pa.list_(pa.int64())), ("planes", pa.list_(pa.struct(PLANE)))])
 RUN_DDL = (
     "run long, docs array<struct<doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string>>, pairs array<long>, n_docs array<long>, links array<long>, "
-    "planes array<struct<row binary, place binary, rows binary, bits binary>>"
+    "planes array<struct<thin binary, counts binary, places binary, rows binary, bits binary>>"
 )
 
 
