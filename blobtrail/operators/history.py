@@ -1,14 +1,15 @@
 """History operators over the commit graph and path tables:
 C1 path discovery, C2 candidate paths, C3 blob id validity, D2/D3 touched
-commits, H1 branches containing a commit (binary lifting), H2 timestamps,
-A2 content of a path at a commit."""
+commits, H1 branches containing a commit, H2 timestamps, A2 content of a path
+at a commit."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blobtrail.session import cut_lineage, written
+from blobtrail.operators import reachability as R
+from blobtrail.session import written
 
 
 def basename(path: Column) -> Column:
@@ -116,30 +117,18 @@ def commit_timestamp(commits: DataFrame) -> DataFrame:
     return commits.select("commit_id", F.coalesce(F.expr("try_cast(ts AS BIGINT)"), F.lit(0).cast("long")).alias("ts"))
 
 
-def branches_containing(refs: DataFrame, parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """H1: (branch, commit_id) for every commit reachable from a branch tip.
-
-    Binary lifting: ``reach`` starts as the tips, ``jump`` as the parent
-    edges (exactly 1 step). Each round adds reach x jump to reach and squares
-    the jump relation (exactly 2^k steps), so depth D needs log2(D) rounds
-    instead of D. Every round is checkpointed into the shared checkpoint
-    folder, so lineage stays short and a lost executor only replays one round.
-    ``jump`` holds pairs at exactly 2^k steps, at most commits x DAG width."""
-    reach = refs.select("branch", F.col("tip_commit").alias("commit_id")).distinct()
-    jump = parents.select(F.col("commit_id").alias("src"), F.col("parent_id").alias("dst")).distinct()
-    reach = cut_lineage(reach)
-    jump = cut_lineage(jump)
-    for _ in range(max_rounds):
-        step = reach.join(jump, reach.commit_id == jump.src).select("branch", F.col("dst").alias("commit_id"))
-        reach = cut_lineage(reach.unionByName(step).distinct())
-        a = jump.alias("a")
-        b = jump.alias("b")
-        jump = cut_lineage(
-            a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).distinct()
-        )
-        if jump.isEmpty():
-            break
-    return reach
+def branches_containing(refs: DataFrame, parents: DataFrame) -> DataFrame:
+    """H1: (branch, commit_id) for every commit reachable from a branch tip,
+    by the labels of a chain cover."""
+    cover, labels = reach_labels(refs, parents)
+    return R.contained(labels, cover)
+
+
+def reach_labels(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chain cover of the commits that edges or refs name, and the
+    branches' labels on it."""
+    cover = R.chain_cover(refs.select(F.col("tip_commit").alias("commit_id")), parents)
+    return cover, R.branch_labels(refs, cover, parents)
 
 
 # --- fixed values (branch classes of the reference's selection rules) -------
@@ -155,7 +144,8 @@ def branch_class(branch: Column) -> Column:
 
 def commit_branch_info(reach: DataFrame) -> DataFrame:
     """Per commit: is_priority (on any priority branch) and the F4
-    representative branch. Both are partial aggregations; no branch list."""
+    representative branch, from a relation (branch, commit_id). Both are
+    partial aggregations; no branch list."""
     r = reach.withColumn("cls", branch_class(F.col("branch")))
     return r.groupBy("commit_id").agg(
         F.max(F.col("cls") == 0).alias("is_priority"),
@@ -163,8 +153,19 @@ def commit_branch_info(reach: DataFrame) -> DataFrame:
     )
 
 
+def labelled_branch_info(cover: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same from a chain cover and its labels, without the relation."""
+    best = R.least_branch(labels, cover, branch_class(F.col("branch")))
+    return best.select("commit_id", (F.col("rank") == 0).alias("is_priority"), "branch")
+
+
 def branch_lists(reach: DataFrame, commits: DataFrame) -> DataFrame:
     """(commit_id, branches) sorted, for the commits asked for only (at most
     one entry per ref)."""
     wanted = commits.select("commit_id").distinct()
     return reach.join(wanted, "commit_id").groupBy("commit_id").agg(F.array_sort(F.collect_list("branch")).alias("branches"))
+
+
+def labelled_branch_lists(cover: DataFrame, labels: DataFrame, commits: DataFrame) -> DataFrame:
+    """The same from a chain cover and its labels."""
+    return branch_lists(R.contained(labels, cover.join(commits.select("commit_id"), "commit_id", "left_semi")), commits)

@@ -2,14 +2,24 @@
 pair at or above the threshold.
 
 * set modes (jaccard, charjaccard, winnow): prefix, length and positional
-  filters (Chaudhuri et al. 2006; Xiao et al. 2008), distributed as in Vernica et
-  al. 2010: items are ordered by their global frequency, each set keeps its
-  ``n - ceil(t*n) + 1`` rarest items, and only sets sharing a prefix item
-  become candidates; candidates are verified exactly.
+  filters (Chaudhuri et al. 2006; Xiao et al. 2008): items have a total order,
+  rare ones first, each set keeps its first ``n - ceil(t*n) + 1`` items, and
+  only sets sharing one of these become candidates; candidates are verified
+  exactly. Any total order loses no pair, so the order comes from a sketch of
+  fixed size, the counts of ``1 << SKETCH_BITS`` buckets of items: never below
+  an item's own count, so a frequent item never passes for a rare one. The
+  sketch is broadcast, prefixes are cut inside each row, and nothing but
+  prefix items is exploded or shuffled.
 * minhash: at most ``P - ceil(t*P)`` positions may differ, so that many
   bands plus one guarantee an equal band.
-* simhash: Hamming distance at most ``floor(64*(1-t))``, so one more bit
-  block than that guarantees an equal block (Manku et al. 2007).
+* simhash: multi-index search (Norouzi et al. 2012). The 64 bits are dealt to
+  few wide blocks, each with a share of the distance d = ``floor(64*(1-t))``; the
+  shares plus one add up to d + 1, so some block lies within its share. Both
+  sides list their block's neighbours, each up to its part of the share, and
+  meet at the one between; the whole distance is checked in the join itself,
+  and of all meetings of a pair only one counts (its first block within its
+  share, the left side turning the lowest bit that differs), so the join
+  gives each pair of the result once and nothing else.
 
 Inputs are "signature tables": one row per distinct set (copies of the same
 content are collapsed by the caller), so a group of identical files costs
@@ -19,14 +29,19 @@ restricts pairs to equal blocks (e.g. same base name)."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from blobtrail.functions.fingerprints import minhash_similarity, simhash_similarity
 
 EPS = 1e-9
+SKETCH_BITS = 20
 # An empty set is replaced by this single item: J({s},{s}) = 1 and
 # J({s}, X) = 0 for any non-empty X, exactly the reference's rules for empty
 # sets, while keeping empty sets inside the equi-join.
@@ -42,16 +57,54 @@ def checked_threshold(threshold: float) -> float:
     return t
 
 
-def prefix_len(n: Column, t: float) -> Column:
-    return n - F.ceil(n * F.lit(t) - F.lit(EPS)) + 1
-
-
 def _with_block(df: DataFrame, block: str | None) -> tuple[DataFrame, list[str]]:
     if block is None:
         return df.withColumn("_blk", F.lit(0)), ["_blk"]
     return df.withColumnRenamed(block, "_blk"), ["_blk"]
 
 
+def _bucket(item: Column) -> Column:
+    mixed = item.bitwiseXOR(F.shiftrightunsigned(item, SKETCH_BITS)).bitwiseXOR(F.shiftrightunsigned(item, 2 * SKETCH_BITS))
+    return mixed.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).cast("int")
+
+
+def _buckets(items: np.ndarray) -> np.ndarray:
+    x, bits = items.view(np.uint64), np.uint64(SKETCH_BITS)
+    return ((x ^ (x >> bits) ^ (x >> (bits + bits))) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
+def _item_sketch(sets: DataFrame):
+    """Counts of the items by bucket, broadcast: ``1 << SKETCH_BITS`` numbers,
+    whatever the input. Items are counted map-side; only counts are shuffled."""
+    counted = sets.select(F.explode("items").alias("item")).groupBy(_bucket(F.col("item")).alias("b")).agg(F.count(F.lit(1)).alias("f"))
+    found = counted.toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch[found.column("b").to_numpy()] = found.column("f").to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(sketch)
+
+
+def _prefixes(sets: DataFrame, sketch, t: float) -> DataFrame:
+    """(k, _blk, n, item, rn): the first items of each set (k, _blk, items, n)
+    in the order (sketch count, item), up to the prefix length."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for batch in batches:
+            lists = batch.column("items")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            items = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((items, counts[_buckets(items)], row))
+            rank = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n) + 1
+            keep = rank <= np.repeat(n - np.ceil(n * t - EPS).astype(np.int64) + 1, n)
+            at = pa.array(row[keep])
+            cols = [batch.column("k").take(at), batch.column("_blk").take(at), batch.column("n").take(at), pa.array(items[order][keep]), pa.array(rank[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "_blk", "n", "item", "rn"])
+
+    kind = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+    return sets.mapInArrow(over, f"k {kind['k']}, _blk {kind['_blk']}, n int, item long, rn int")
+
+
 def set_pairs(
     left: DataFrame,
     right: DataFrame | None,
@@ -77,44 +130,30 @@ def set_pairs(
 
     L = prep(left)
     R = L if self_join else prep(right)
-
-    # Exploded items; the array itself is not carried through the explode.
-    def explode_items(df: DataFrame) -> DataFrame:
-        return df.select("k", "_blk", "n", F.explode("items").alias("item"))
-
-    le = explode_items(L)
-    re_ = le if self_join else explode_items(R)
-    # Global frequency (partial aggregation before the shuffle).
-    freq_src = le if self_join else le.unionByName(re_)
-    freq = freq_src.groupBy("_blk", "item").agg(F.count(F.lit(1)).alias("f"))
-
-    def prefixes(ex: DataFrame) -> DataFrame:
-        w = Window.partitionBy("_blk", "k").orderBy("f", "item")
-        return (
-            ex.join(freq, ["_blk", "item"])
-            .withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") <= prefix_len(F.col("n"), t))
-            .select("k", "_blk", "n", "item", "rn")
-        )
-
-    lp = prefixes(le)
-    rp = lp if self_join else prefixes(re_)
+    sketch = _item_sketch(L.select("items") if self_join else L.select("items").unionByName(R.select("items")))
+    lp = _prefixes(L, sketch, t)
+    rp = lp if self_join else _prefixes(R, sketch, t)
     a, b = lp.alias("a"), rp.alias("b")
-    cond = (F.col("a._blk") == F.col("b._blk")) & (F.col("a.item") == F.col("b.item"))
+    # The key with many values comes first: it is what sorts go by.
+    cond = (F.col("a.item") == F.col("b.item")) & (F.col("a._blk") == F.col("b._blk"))
     # length filter: t*nA <= nB <= nA/t
     cond = cond & (F.col("b.n") >= F.ceil(F.col("a.n") * t - EPS)) & (F.col("b.n") * t <= F.col("a.n") + EPS)
-    # positional filter: at its first shared item (in the global order) a pair
-    # can share that one and what either set has left, which must reach the
-    # overlap that the threshold asks for.
-    still = 1 + F.least(F.col("a.n") - F.col("a.rn"), F.col("b.n") - F.col("b.rn"))
-    cond = cond & (still >= F.ceil((F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - EPS))
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
     elif skip_equal_keys:
         cond = cond & (F.col("a.k") != F.col("b.k"))
-    cand = a.join(b, cond).select(
-        F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk")
-    ).distinct()
+    keys = [F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk")]
+    still = 1 + F.least(F.col("a.n") - F.col("a.rn"), F.col("b.n") - F.col("b.rn"))
+    met = a.join(b, cond).groupBy(*keys, F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("a.rn").alias("ia"), F.max("b.rn").alias("ib"), F.max(still).alias("most")
+    )
+    # positional filter: a pair shares at its first common prefix item no more
+    # than ``most``; in all, the common prefix items and what either set has
+    # behind the last of them, or behind its whole prefix.
+    suffix = lambda n: F.ceil(n * F.lit(t) - F.lit(EPS)) - 1
+    behind = F.least(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")), F.greatest(suffix(F.col("na")), suffix(F.col("nb"))))
+    need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - EPS)
+    cand = met.where((F.col("most") >= need) & (F.col("c") + behind >= need)).select("l_key", "r_key", "_blk")
 
     lv = L.select(F.col("k").alias("l_key"), "_blk", F.col("items").alias("l_items"), F.col("n").alias("l_n"))
     rv = R.select(F.col("k").alias("r_key"), "_blk", F.col("items").alias("r_items"), F.col("n").alias("r_n"))
@@ -182,7 +221,7 @@ def minhash_pairs(
     lb = band_keys(L)
     rb = lb if self_join else band_keys(R)
     a, b = lb.alias("a"), rb.alias("b")
-    cond = (F.col("a._blk") == F.col("b._blk")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bh") == F.col("b.bh"))
+    cond = (F.col("a.bh") == F.col("b.bh")) & (F.col("a.band") == F.col("b.band")) & (F.col("a._blk") == F.col("b._blk"))
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
     elif skip_equal_keys:
@@ -199,6 +238,31 @@ def minhash_pairs(
     return _restore_block(scored, block)
 
 
+MOST_SHARE = 3
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+def simhash_blocks(max_dist: int) -> list[tuple[int, int]]:
+    """(mask, share of the distance) of each block: as few blocks as keep every
+    share at ``MOST_SHARE`` or less and leave two at least, the bits dealt out
+    in turn."""
+    m = min(64, max(1 if max_dist == 0 else 2, -(-(max_dist + 1) // (MOST_SHARE + 1))))
+    base, extra = divmod(max_dist + 1, m)
+    return [(sum(1 << bit for bit in range(i, 64, m)), base + (i < extra) - 1) for i in range(m)]
+
+
+def _neighbours(mask: int, reach: int) -> list[tuple[int, int]]:
+    """(bits to turn, all bits below the lowest of them; all bits for none)."""
+    bits = [1 << i for i in range(64) if mask >> i & 1]
+    out = [(0, (1 << 64) - 1)]
+    for n in range(1, reach + 1):
+        out += [(sum(some), some[0] - 1) for some in combinations(bits, n)]
+    return out
+
+
 def simhash_pairs(
     left: DataFrame,
     right: DataFrame | None,
@@ -209,45 +273,41 @@ def simhash_pairs(
     skip_equal_keys: bool = False,
 ) -> DataFrame:
     """Exact SimHash join: (l_key, r_key, [block], score) with
-    1 - hamming/64 >= threshold, via lossless bit blocks."""
+    1 - hamming/64 >= threshold, by multi-index search."""
     t = checked_threshold(threshold)
-    self_join = right is None
+    self_join, key_col = right is None, key
     max_dist = max(0, math.floor(64 * (1 - t) + EPS))
-    blocks = _bands(64, max_dist + 1)
+    blocks = simhash_blocks(max_dist)
 
-    def prep(df: DataFrame) -> DataFrame:
+    def prep(df: DataFrame, reach: Callable[[int], int]) -> DataFrame:
         df, _ = _with_block(df, block)
-        return df.select(F.col(key).alias("k"), "_blk", F.col(fp).alias("fp"))
-
-    L = prep(left)
-    R = L if self_join else prep(right)
-
-    def block_keys(df: DataFrame) -> DataFrame:
-        keys = F.array(*[
-            F.struct(
-                F.lit(i).alias("band"),
-                F.shiftright(F.col("fp"), s).bitwiseAND(F.lit((1 << ln) - 1 if ln < 64 else -1).cast("long")).alias("bh"),
-            )
-            for i, (s, ln) in enumerate(blocks)
+        turns = F.array(*[
+            F.struct(*[F.lit(_signed(v)).cast("long").alias(c) for c, v in (("i", i), ("mask", mask), ("turn", f), ("low", low))])
+            for i, (mask, share) in enumerate(blocks) for f, low in _neighbours(mask, reach(share))
         ])
-        return df.select("k", "_blk", F.explode(keys).alias("b")).select("k", "_blk", "b.band", "b.bh")
-
-    lb = block_keys(L)
-    rb = lb if self_join else block_keys(R)
-    a, b = lb.alias("a"), rb.alias("b")
-    cond = (F.col("a._blk") == F.col("b._blk")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bh") == F.col("b.bh"))
+        near = F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.turn"))
+        each = df.select(F.col(key_col).alias("k"), "_blk", F.col(fp).alias("fp"), F.explode(turns).alias("x"))
+        return each.select("k", "_blk", "fp", F.col("x.i").alias("i"), near.alias("near"), "x.mask", "x.turn", "x.low")
+
+    a = prep(left, lambda share: min(1, share)).alias("a")
+    b = prep(left if self_join else right, lambda share: max(0, share - 1)).select("k", "_blk", "fp", "i", "near").alias("b")
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    inside = differ.bitwiseAND(F.col("a.mask"))
+    beyond = [F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) > share for mask, share in blocks]
+    first = F.lit(True)
+    for i in range(1, len(blocks)):
+        first = first & ((F.col("a.i") < i) | beyond[i - 1])
+    lowest = (inside.bitwiseAND(F.col("a.low")) == 0) & ((F.col("a.turn") == 0) | (inside.bitwiseAND(F.col("a.turn")) != 0))
+    # The key with many values comes first: it is what sorts go by.
+    cond = (F.col("a.near") == F.col("b.near")) & (F.col("a.i") == F.col("b.i")) & (F.col("a._blk") == F.col("b._blk"))
+    cond = cond & (F.bit_count(differ) <= max_dist) & lowest & first
     if self_join:
         cond = cond & (F.col("a.k") < F.col("b.k"))
     elif skip_equal_keys:
         cond = cond & (F.col("a.k") != F.col("b.k"))
-    cand = a.join(b, cond).select(F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk")).distinct()
-    lv = L.select(F.col("k").alias("l_key"), "_blk", F.col("fp").alias("l_fp"))
-    rv = R.select(F.col("k").alias("r_key"), "_blk", F.col("fp").alias("r_fp"))
-    scored = (
-        cand.join(lv, ["l_key", "_blk"]).join(rv, ["r_key", "_blk"])
-        .withColumn("score", simhash_similarity(F.col("l_fp"), F.col("r_fp")))
-        .where(F.col("score") >= F.lit(t))
-        .drop("l_fp", "r_fp")
-    )
+    met = a.join(b, cond)
+    scored = met.select(
+        F.col("a.k").alias("l_key"), F.col("b.k").alias("r_key"), F.col("a._blk").alias("_blk"), simhash_similarity(F.col("a.fp"), F.col("b.fp")).alias("score")
+    ).where(F.col("score") >= F.lit(t))
     return _restore_block(scored, block)
 

@@ -32,7 +32,7 @@ def _digest_list(arr: Column, sep: str = "\n") -> Column:
 
 
 def _docs_tokens(repo: Repo) -> DataFrame:
-    d = repo.table("documents").select("doc_id", "text")
+    d = repo.spread("documents", "doc_id").select("doc_id", "text")
     return T.with_array(d, "tok", T.tokenize(F.col("text")))
 
 

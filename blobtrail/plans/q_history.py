@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from blobtrail.operators import cascade as CS
 from blobtrail.operators import history as H
+from blobtrail.operators import reachability as RC
 from blobtrail.plans.oracle_views import blob_sql, with_views
 from blobtrail.plans.registry import register
 from blobtrail.session import written
@@ -20,12 +21,13 @@ PR_SQL = H.PR_BRANCH
 # --- shared Spark pieces --------------------------------------------------------
 
 
-def reach(repo: Repo) -> DataFrame:
-    return repo.memo("reach", lambda: H.branches_containing(repo.refs(), repo.commit_parents()))
+def reach(repo: Repo) -> tuple[DataFrame, DataFrame]:
+    """Chain cover and branch labels."""
+    return repo.memo("reach", lambda: H.reach_labels(repo.refs(), repo.commit_parents()))
 
 
 def branch_info(repo: Repo) -> DataFrame:
-    return repo.memo("branch_info", lambda: written(H.commit_branch_info(reach(repo))))
+    return repo.memo("branch_info", lambda: written(H.labelled_branch_info(*reach(repo))))
 
 
 def commit_attrs(repo: Repo) -> DataFrame:
@@ -233,7 +235,14 @@ def q_dedupe(repo: Repo) -> DataFrame:
 
 @register("branches_containing", "H1", reach_sql() + "\nSELECT branch, commit_id FROM reach")
 def q_branches(repo: Repo) -> DataFrame:
-    return reach(repo).select("branch", "commit_id")
+    cover, labels = reach(repo)
+    return RC.contained(labels, cover)
+
+
+@register("branch_reach_sizes", "H1", reach_sql() + "\nSELECT branch, count(*) AS n_commits FROM reach GROUP BY branch")
+def q_reach_sizes(repo: Repo) -> DataFrame:
+    """Commits that each branch holds, from its label alone."""
+    return RC.reach_sizes(reach(repo)[1])
 
 
 @register(

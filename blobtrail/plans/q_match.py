@@ -376,7 +376,7 @@ FROM ranked r LEFT JOIN attrs a ON a.commit_id = r.commit_id LEFT JOIN brs b ON
 def q_candidates(repo: Repo) -> DataFrame:
     """Candidate lines of the report, per content group and rank."""
     c = cascade(repo)["candidates"]
-    return R.candidate_lines(c, commit_attrs(repo).select("commit_id", "ts"), H.branch_lists(reach(repo), c))
+    return R.candidate_lines(c, commit_attrs(repo).select("commit_id", "ts"), H.labelled_branch_lists(*reach(repo), c))
 
 
 @register(
@@ -408,7 +408,7 @@ UNION ALL SELECT query_id, 'PREFERRED_BRANCHES', '"' || branches || '"' FROM s W
 def q_env(repo: Repo) -> DataFrame:
     summary = cascade(repo)["summary"]
     preferred = summary.select(F.col("preferred").alias("commit_id"))
-    return R.match_env(summary, branch_info(repo), H.branch_lists(reach(repo), preferred), query_forks(repo))
+    return R.match_env(summary, branch_info(repo), H.labelled_branch_lists(*reach(repo), preferred), query_forks(repo))
 
 
 @register(

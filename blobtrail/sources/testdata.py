@@ -66,10 +66,15 @@ class Repo:
         return self.memo(f"table {name}", lambda: self._read(name))
 
     def _read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        # The driver's documents are one row group, which one task would
-        # read; dealing them out by id is a matter of this source alone.
-        return df.repartition("doc_id") if name == "documents" else df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for jobs that spend much time per row: dealt out by ``key``
+        where its files give fewer scan tasks than there are cores (the
+        driver's small tables are one row group), as it is otherwise."""
+        df = self.table(name)
+        few = df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism
+        return df.repartition(key) if few else df
 
     def memo(self, name: str, build: Callable[[], Any]) -> Any:
         """Derived tables that several queries share."""
