@@ -23,10 +23,13 @@ The shingle length is a parameter: four words in the registered query, five
 in the pipeline's stage (the general rule for stages on word shingles).
 
 Cases: null or wordless texts have empty sets and are linked with nothing.
-Repeated rows are copies of each other. Rows of one doc_id with different
-texts are judged one by one, their links name the id. A null doc_id takes no
-part: component_id null, kept. An empty table gives no rows. Other columns
-are ignored, whatever their names.
+Repeated rows are copies of each other. Nodes are word sequences, not ids, so
+rows of one doc_id with different texts are judged one by one; a component is
+named by the smallest doc_id of its rows. The stage removes by (doc_id, text):
+of a component the smallest doc_id's row stays, of several texts under that id
+the one of the smallest digest. A null doc_id takes no part: component_id null,
+kept. An empty table gives no rows. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blobtrail.llm.common import arrow_map, table, text_bytes, written
@@ -113,27 +116,38 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         for text in text_bytes(batch):
             words = text.lower().split()
             shingles = shingle_set(words, shingle)
-            digest.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+            digest.append(sequence_digest(words))
             n.append(len(shingles))
             sig = signature(shingles) if len(shingles) else None
             bands.append(None if sig is None else band_keys(sig))
             sigs.append(None if sig is None else nibbles(sig))
         cols = [pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "digest", "n_shingles", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *cols], ["doc_id", "version", "digest", "n_shingles", "bands", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, over, "doc_id long, digest binary, n_shingles long, bands array<long>, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_version(F.col("text")).alias("version"))
+    return arrow_map(rows, over, "doc_id long, version long, digest binary, n_shingles long, bands array<long>, sig binary")
+
+
+def text_version(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def sequence_digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
-    """node, and the document's words, compressed for the shuffle."""
+    """doc_id, digest of the document's words, and these, compressed for the
+    shuffle."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        packed = [pack.compress(b" ".join(t.lower().split())) for t in text_bytes(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
+        texts = [t.lower().split() for t in text_bytes(batch)]
+        cols = [pa.array([sequence_digest(w) for w in texts], pa.binary()), pa.array([pack.compress(b" ".join(w)) for w in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "digest", "packed"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), over, "node long, packed binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), over, "doc_id long, digest binary, packed binary")
 
 
 def sized(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -238,21 +252,23 @@ def cross_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, labels: D
     return d.groupBy("key", "x", "y").applyInPandas(lambda cell: _cell_links(cell, shingle), "a long, b long")
 
 
-def classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, digest, n_shingles, node; labels: v, m). node is the
-    smallest doc_id of the word sequence, labels lead from a node to the
-    smallest of its component."""
+def classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, version, digest, n_shingles; reps: digest, node,
+    first_id; labels: v, m). A node is one word sequence, first_id its smallest
+    doc_id; labels lead from a node to the smallest of its component."""
     rows = written(signatures(docs, shingle))
     named = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = written(
-        named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        named.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .withColumn("node", F.monotonically_increasing_id())  # fixed by being written
     )
     placed = reps.select("node", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     members = written(placed.join(shared, "key").distinct())
-    met = written(members.select("node").distinct())
-    sigs = written(reps.join(met, "node").select("node", "n_shingles", "bands", "sig"))
-    texts = written(packed_words(docs.where(F.col("doc_id").isNotNull())).join(met, "node").dropDuplicates(["node", "packed"]))
+    met = members.select("node").distinct()
+    sigs = written(reps.join(met, "node").select("node", "n_shingles", "bands", "sig", F.col("first_id").alias("doc_id"), "digest"))
+    texts = packed_words(docs.where(F.col("doc_id").isNotNull())).join(sigs.select("node", "doc_id", "digest"), ["doc_id", "digest"])
+    texts = written(texts.select("node", "packed").dropDuplicates(["node", "packed"]))
     centre = members.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("centre"))
     star = members.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = written(confirmed(sized(star, sigs), texts, shingle))
@@ -260,15 +276,29 @@ def classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     more = written(cross_links(members, sigs, texts, labels, shingle))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    return rows.join(reps.select("digest", "node"), "digest", "left").select("doc_id", "digest", "n_shingles", "node"), labels
+    return rows.select("doc_id", "version", "digest", "n_shingles"), reps.select("digest", "node", "first_id"), labels
+
+
+def judged(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, version, n_shingles, component_id and ``stays`` of every row;
+    one (doc_id, text) of a component stays."""
+    rows, reps, labels = classes(docs, shingle)
+    ends = labels.unionByName(labels.select(F.col("m").alias("v"), "m").distinct())
+    named = reps.join(ends, reps["node"] == ends["v"]).select("digest", "m", F.struct("first_id", "digest").alias("name"))
+    least = named.groupBy("m").agg(F.min("name").alias("least"))
+    linked_ = named.join(least, "m").select("digest", "least")
+    alone = reps.select("digest", F.struct("first_id", "digest").alias("_own"))
+    j = rows.join(alone, "digest", "left").join(linked_, "digest", "left").withColumn("least", F.coalesce("least", "_own"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("least.first_id"), F.col("doc_id")))
+    first = (F.col("least.digest") == F.col("digest")) & (F.col("least.first_id") == F.col("doc_id"))
+    stays = F.when(F.col("doc_id").isNotNull() & F.col("least").isNotNull(), first).otherwise(True)
+    return j.select("doc_id", "version", "n_shingles", component.alias("component_id"), stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, labels = classes(docs, shingle)
-    j = rows.join(labels, rows["node"] == labels["v"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("m", "node", "doc_id"))
-    return j.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return judged(docs, shingle).select("doc_id", "n_shingles", "component_id").withColumn("kept", kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,9 +307,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays; rows without an id stay."""
-    gone = near_duplicates(docs, STAGE_SHINGLE).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = judged(docs, STAGE_SHINGLE).where(~F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_text")).distinct()
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    left = row.join(gone, row["_id"] == gone["_gone"], "left_anti")
+    left = row.withColumn("_version", text_version(F.col("_text")))
+    left = left.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_version") == F.col("_gone_text")), "left_anti").drop("_version")
     named = left.where("_id IS NOT NULL").dropDuplicates(["_id", "_text"])
     return named.unionByName(left.where("_id IS NULL")).select("_row.*")
 

@@ -89,3 +89,18 @@ def test_stage_takes_five_words(spark):
     assert sorted(r["doc_id"] for r in near_dup.stage(spark, df, "").collect()) == want
     four = sum(r["kept"] for r in near_dup.near_duplicates(df).collect())
     assert four < len(want)
+
+
+def test_one_id_with_different_texts(spark):
+    """Texts under one id are judged by themselves: no unique text goes, and
+    groups that only an id has in common stay apart."""
+    rng = random.Random(5)
+    p, q, unique, other = (" ".join(f"{c}{rng.randrange(9999)}" for _ in range(60)) for c in "pquo")
+    near_p = p.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, p), (2, p), (2, unique), (3, q), (2, q), (4, near_p), (4, other), (4, other), (1, near_p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (2, 2, True), (4, 1, False), (4, 4, True), (4, 4, True), (1, 1, True)])
+    left = sorted(tuple(r) for r in near_dup.stage(spark, df, "").collect())
+    (first,) = [t for d, t in left if t in (p, near_p)]
+    assert left == sorted([(1, first), (2, unique), (2, q), (4, other)])
