@@ -9,12 +9,11 @@ with the corpus; only one row per language is kept of them. Documents below
 ``min_reference_words`` reference words judge nobody (the minimum-length
 guards). Everything is built-in DataFrame expressions.
 
-The registered query takes one word limit for all, as its SQL states. The
-pipeline's stage limits the word distance by length and language: a document
-of n words drawn from its language's reference lies at an expected distance,
-with a spread, that the reference's shares give; what lies ``SPREADS`` spreads
-beyond goes, so documents without common words or in another language go from
-about 100 words on, and shorter ones, which chance could make so, stay.
+The word distance is limited by length and language: a document of n words
+drawn from its language's reference lies at an expected distance, with a
+spread, that the reference's shares give; what lies ``SPREADS`` spreads beyond
+goes, so documents without common words or in another language go from about
+100 words on, and shorter ones, which chance could make so, stay.
 
 Cases: null text counts as empty (0 words, base_failed). A null language is a
 language of its own. Repeated rows each come back. Null ids come back null.
@@ -48,7 +47,7 @@ MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
 MIN_WORDS = 50
 MIN_REFERENCE_WORDS = 2000
-# The stage's word limit: spreads beyond the distance expected of n words (a
+# The word limit: spreads beyond the distance expected of n words (a
 # chance of about 1e-4 for a clean document), and the least limit, which
 # leaves room for style in long documents.
 SPREADS = 7
@@ -169,14 +168,13 @@ def word_limit(ref: Column, n_words: Column) -> Column:
     return F.least(F.lit(MAX_WORD_DISTANCE), F.greatest(F.lit(LEAST_WORD_DISTANCE), limit))
 
 
-def verdict(feats: DataFrame, refs: DataFrame, by_length: bool = False) -> DataFrame:
-    """Adds both distances and ``kept`` to feature rows; ``by_length`` takes
-    the word limit of each row's length and language."""
+def verdict(feats: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds both distances and ``kept`` to feature rows."""
     j = feats.join(small(refs, MAX_BROADCAST_LANGS), feats["lang"] == refs["ref_lang"], "left")
     j = j.withColumn("char_distance", js_distance(F.col("char_hist"), F.col("ref_char")))
     j = j.withColumn("word_distance", js_distance(F.col("word_hist"), F.col("ref_word")))
     judged = (F.col("n_words") >= MIN_WORDS) & (F.coalesce(F.col("ref_words"), F.lit(0)) >= MIN_REFERENCE_WORDS)
-    most = F.when(judged, word_limit(F.col("ref_word"), F.col("n_words"))) if by_length else F.lit(MAX_WORD_DISTANCE)
+    most = F.when(judged, word_limit(F.col("ref_word"), F.col("n_words")))
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > F.coalesce(most, F.lit(MAX_WORD_DISTANCE)))
     return j.withColumn("kept", ~F.col("base_failed") & ~(judged & far))
 
@@ -192,7 +190,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that the rules reject go. Texts are read twice
     (references, then verdicts) and never shuffled."""
     refs = written(references(features(docs)))
-    return verdict(features(docs, whole_rows=True), refs, by_length=True).where("kept").select("row.*")
+    return verdict(features(docs, whole_rows=True), refs).where("kept").select("row.*")
 
 
 def _oracle() -> str:
@@ -208,6 +206,12 @@ def _oracle() -> str:
         total = f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: (({part(p, q)}) + ({part(q, p)})) / 2))"
         return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, {total})) ELSE 0 END"
 
+    # Expected parts of a class of share q at n words, as in ``word_limit``.
+    part = f"least((1 - x / list_sum(rw)::DOUBLE) / (n_words * {8 * math.log(2)!r}), x / list_sum(rw)::DOUBLE)"
+    parts = f"list_transform(rw, lambda x: {part})"
+    limit = f"sqrt(list_sum({parts}) + {SPREADS} * sqrt(2 * list_sum(list_transform({parts}, lambda y: y * y))))"
+    limit = f"CASE WHEN n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE_WORDS} THEN least({MAX_WORD_DISTANCE}, greatest({LEAST_WORD_DISTANCE}, {limit})) ELSE {MAX_WORD_DISTANCE} END"
+
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -229,11 +233,11 @@ WITH d AS (
 ), r AS (
   SELECT lang, sum(n_words) AS ref_words, {sums("ch", len(CHAR_CLASSES))} AS rc, {sums("wh", len(COMMON_WORDS))} AS rw FROM f WHERE NOT base_failed GROUP BY lang
 ), j AS (
-  SELECT f.*, coalesce(r.ref_words, 0) AS ref_words, {distance("ch", "rc")} AS cd, {distance("wh", "rw")} AS wd FROM f LEFT JOIN r ON r.lang = f.lang
+  SELECT f.*, rw, coalesce(r.ref_words, 0) AS ref_words, {distance("ch", "rc")} AS cd, {distance("wh", "rw")} AS wd FROM f LEFT JOIN r ON r.lang = f.lang
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE_WORDS} AND (cd > {MAX_CHAR_DISTANCE} OR wd > {MAX_WORD_DISTANCE})) AS kept
+  NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE_WORDS} AND (cd > {MAX_CHAR_DISTANCE} OR wd > {limit})) AS kept
 FROM j
 """
 

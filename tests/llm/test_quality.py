@@ -47,8 +47,15 @@ def brute(rows):
             x[0].update(h)
             x[1].update(w)
             sizes[lang] += c[0]
+    def word_limit(lang, n):
+        shares = [refs[lang][1][x] / sizes[lang] for x in [*quality.COMMON_WORDS, "other"]]
+        parts = [min((1 - q) / (8 * n * math.log(2)), q) for q in shares]
+        limit = math.sqrt(sum(parts) + quality.SPREADS * math.sqrt(2 * sum(x * x for x in parts)))
+        return min(quality.MAX_WORD_DISTANCE, max(quality.LEAST_WORD_DISTANCE, limit))
+
     for doc, lang, c, h, w in made:
-        far = sizes[lang] >= quality.MIN_REFERENCE_WORDS and (distance(h, refs[lang][0]) > quality.MAX_CHAR_DISTANCE or distance(w, refs[lang][1]) > quality.MAX_WORD_DISTANCE)
+        far = sizes[lang] >= quality.MIN_REFERENCE_WORDS and c[0] >= quality.MIN_WORDS and (
+            distance(h, refs[lang][0]) > quality.MAX_CHAR_DISTANCE or distance(w, refs[lang][1]) > word_limit(lang, c[0]))
         yield (str(doc), *c, failed(c), not failed(c) and not far)
 
 
@@ -108,5 +115,7 @@ def test_stage_rejects_word_salad_and_other_languages(spark):
     salad = [(lang, prose(rng, "salad", n)) for lang in ("en", "de", "es") for n in (130, 300, 1000)]
     other = [(lang, prose(rng, spoken, n)) for lang, spoken in (("en", "de"), ("de", "es"), ("es", "en")) for n in (130, 300, 1000)]
     rows = [(i, *r) for i, r in enumerate(clean + salad + other)]
-    left = {r["doc_id"] for r in quality.stage(spark, spark.createDataFrame(rows, "doc_id long, lang string, text string"), "").collect()}
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    left = {r["doc_id"] for r in quality.stage(spark, df, "").collect()}
     assert left == set(range(len(clean)))
+    assert {int(r[0]) for r in verdicts(df) if r[7]} == left
