@@ -17,6 +17,11 @@ from blobtrail.sources.testdata import (
     TS_BASE,
     TS_MOD,
     TS_STEP,
+    TREE_AGE,
+    TREE_COPY,
+    TREE_DIRS,
+    TREE_EDIT_AGE,
+    TREE_MOVE,
 )
 
 LF = "chr(10)"
@@ -62,6 +67,18 @@ changes AS (
   SELECT c.commit_id, p.path, CAST(NULL AS VARCHAR), p.blob_id, 'remove', c.log_ord
   FROM file_versions c JOIN file_versions p ON c.commit_id - {CHAIN_STEP} = p.commit_id
   WHERE c.commit_id >= {CHAIN_STEP} AND p.blob_id <> c.blob_id)""",
+    "trees": f"""
+tree_files AS (
+  SELECT d.doc_id, d.doc_id + {CHAIN_STEP} * a.age AS commit_id, (d.doc_id // {CHAIN_STEP}) % {TREE_AGE} AS slot,
+         ((d.doc_id + {CHAIN_STEP} * a.age) // {CHAIN_STEP} // {TREE_MOVE}) % {TREE_DIRS} AS folder,
+         CASE WHEN a.age >= {TREE_EDIT_AGE} THEN d.text || chr(10) || 'reviewed once more' || chr(10) ELSE d.text END AS content
+  FROM documents d, range({TREE_AGE}) AS a(age) WHERE d.doc_id + {CHAIN_STEP} * a.age IN (SELECT doc_id FROM documents)),
+trees AS (
+  SELECT commit_id, path, content, {blob_sql('content')} AS blob_id FROM (
+    SELECT commit_id, content, 'r' || (doc_id % {CHAIN_STEP}) || '/d' || folder || '/slot' || slot || '.txt' AS path FROM tree_files
+    UNION ALL
+    SELECT commit_id, content, 'r' || (doc_id % {CHAIN_STEP}) || '/d' || folder || '/copy' || ((slot + folder) % {TREE_AGE}) || '.txt'
+    FROM tree_files WHERE doc_id % {TREE_COPY} = 0))""",
     "path_objects": """
 path_objects AS (SELECT blob_id, path, log_ord AS ord FROM file_versions)""",
     "refs": f"""

@@ -59,6 +59,6 @@ def oracle(name: str) -> str | None:
 
 def load_all() -> dict[str, Entry]:
     # Importing the query modules fills the registry.
-    from blobtrail.plans import q_catalog, q_content, q_history, q_match  # noqa: F401
+    from blobtrail.plans import q_catalog, q_content, q_history, q_match, q_snapshots  # noqa: F401
 
     return REGISTRY

@@ -17,6 +17,10 @@ Derivation (each document is one commit of a synthetic repository):
   when doc_id % 97 = 4 and the paths differ; a remove row of the chain
   parent's blob when it differs.
 * ``refs``: tip = newest commit per source; branch name by source.
+* ``trees``: whole snapshots. A commit's text is a new file of its chain that
+  stays for TREE_AGE commits and is edited at the age TREE_EDIT_AGE; all files
+  move to another directory every TREE_MOVE commits; every fifth file has a
+  copy whose name depends on the directory.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ MERGE_EVERY = 100
 RENAME_MOD, RENAME_REM = 97, 4
 CRLF_MOD, CRLF_REM = 7, 3
 BAD_TS_MOD, BAD_TS_REM = 97, 5
+TREE_AGE, TREE_EDIT_AGE, TREE_MOVE, TREE_DIRS, TREE_COPY = 4, 2, 6, 3, 5
+TREE_EDIT = "\nreviewed once more\n"
 BRANCH_BY_SOURCE = {
     "src0": "origin/main",
     "src1": "origin/release/1.2",
@@ -142,6 +148,23 @@ class Repo:
         )
         return adds.unionByName(removes)
 
+    def trees(self) -> DataFrame:
+        """(commit_id, path, blob_id, content): every file of every commit."""
+        d = self.table("documents").select("doc_id", "text")
+        files = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(TREE_AGE - 1))).alias("age"))
+        files = files.withColumn("commit_id", F.col("doc_id") + CHAIN_STEP * F.col("age"))
+        alive = files.join(d.select(F.col("doc_id").alias("commit_id")), "commit_id", "left_semi")
+        slot = F.floor(F.col("doc_id") / CHAIN_STEP) % TREE_AGE
+        folder = F.floor(F.floor(F.col("commit_id") / CHAIN_STEP) / TREE_MOVE) % TREE_DIRS
+        at = F.concat(F.lit("r"), (F.col("doc_id") % CHAIN_STEP).cast("string"), F.lit("/d"), folder.cast("string"), F.lit("/"))
+        names = F.array(
+            F.concat(at, F.lit("slot"), slot.cast("string"), F.lit(".txt")),
+            F.when(F.col("doc_id") % TREE_COPY == 0, F.concat(at, F.lit("copy"), ((slot + folder) % TREE_AGE).cast("string"), F.lit(".txt"))),
+        )
+        content = F.when(F.col("age") >= TREE_EDIT_AGE, F.concat("text", F.lit(TREE_EDIT))).otherwise(F.col("text"))
+        named = alive.select("commit_id", F.explode(F.array_compact(names)).alias("path"), content.alias("content"))
+        return named.withColumn("blob_id", blob_id(F.col("content")))
+
     def path_objects(self) -> DataFrame:
         """Every (blob, path) object with its first-seen order."""
         fv = self.file_versions()
