@@ -14,12 +14,15 @@ state of its last ``WINDOW`` words knows the first document that holds them.
 Maximal spans of such words are removed. Decisions are by the words
 themselves, hashes only choose the shard.
 
-The corpus has no bound, so automata are not broadcast whole: a shard and the
-segments that are streamed through it meet by a shuffle. A minimiser of more
-than ``SHARD_DOCS`` documents is split: its windows are shards of their own,
-whose references are reduced to one row per distinct window (a partial
-aggregation) and copied to as many salted sub-shards as its documents need. So
-no shard grows with the corpus and no partner is left out.
+The corpus has no bound, so automata of all of it are not broadcast: a shard
+and the segments that are streamed through it meet by a shuffle. A minimiser of
+more than ``SHARD_DOCS`` documents is split, its windows are shards of their
+own, whose references are one row per distinct window (a partial aggregation).
+Windows that make up a ``HEAVY``-th of all such rows or more, at most ``HEAVY``
+by that rule, are the one reference shard whose automaton is broadcast; what
+holds them is streamed through it where it stands. So no shard grows with the
+corpus, nothing is copied, and no partner is left out. A document sends each of
+its distinct segments once, with all places, however often it repeats a line.
 
 Cases: null text has no words. Documents with fewer words than a window keep
 all. Repeated rows share an id, so they don't remove each other. A null doc_id
@@ -45,6 +48,7 @@ from blobtrail.llm.words import grams, hashes
 WINDOW = 13
 KEY_WORDS = 4
 SHARD_DOCS = 1000
+HEAVY = 2000
 BATCH = 20_000
 # ---------------------------------------------------------------------------
 
@@ -129,56 +133,48 @@ def version_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def keys_of(docs: DataFrame) -> DataFrame:
-    """doc_id, version (digest of the words) and the distinct minimisers of
-    each text."""
+def read_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, version (digest of the words), the words, compressed for
+    shuffles, and the distinct minimisers of each text: the one pass over
+    the texts."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, versions = [], []
+        pack = zstandard.ZstdCompressor(level=1)
+        keys, versions, packed = [], [], []
         for text in text_bytes(batch):
             words = text.split()
-            versions.append(version_of(words))
+            joined = b" ".join(words)
+            versions.append(hashlib.blake2b(joined, digest_size=16).digest())
+            packed.append(pack.compress(joined))
             keys.append(np.unique(minimisers(hashes(words))).view(np.int64) if len(words) >= WINDOW else [])
-        cols = [pa.array(versions, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "version", "keys"])
-
-    return arrow_map(docs.select("doc_id", "text"), over, "doc_id long, version binary, keys array<long>")
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, version and the words, compressed for the shuffle."""
-
-    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        words = [text.split() for text in text_bytes(batch)]
-        cols = [pa.array([version_of(w) for w in words], pa.binary()), pa.array([pack.compress(b" ".join(w)) for w in words], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "version", "packed"])
+        cols = [pa.array(versions, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "version", "packed", "keys"])
 
-    return arrow_map(docs.select("doc_id", "text"), over, "doc_id long, version binary, packed binary")
+    return arrow_map(docs.select("doc_id", "text"), over, "doc_id long, version binary, packed binary, keys array<long>")
 
 
-SEGMENT = "route long, salt int, kind int, doc_id long, version binary, start int, words binary, salts int"
+SEGMENT = "route long, kind int, doc_id long, version binary, starts array<int>, words binary"
 REFERENCE, BOTH, STREAMED = 0, 1, 2
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """Segments of texts (doc_id, version, packed) with the minimisers that other
-    documents hold too: ``cold`` ones, and ``hot`` ones with their numbers of
-    sub-shards ``salts``."""
+    """The distinct segments of texts (doc_id, version, packed) with the
+    minimisers that other texts hold too, and where they start: whole ones
+    for ``cold`` minimisers, single windows for ``hot`` ones."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cols = [[] for _ in range(8)]
+        cols = [[] for _ in range(6)]
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SEGMENT.split(", ")])
             for c in cols:
                 c.clear()
             return out
 
         unpack = zstandard.ZstdDecompressor()
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "cold", "hot", "salts")), strict=True)
-        for doc, version, packed, cold, hot, salts in rows:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "cold", "hot")), strict=True)
+        for doc, version, packed, cold, hot in rows:
             words = unpack.decompress(packed).split()
             if len(words) < WINDOW:
                 continue
@@ -187,25 +183,55 @@ def segments(docs: DataFrame) -> DataFrame:
             begin = np.nonzero(np.r_[True, m[1:] != m[:-1]])[0]
             size = np.diff(np.r_[begin, len(m)])
             key = m[begin]
-            many = dict(zip(hot, salts, strict=True))
-            cold_runs = np.isin(key, np.asarray(cold, np.int64))
-            for k, a, n in zip(key[cold_runs].tolist(), begin[cold_runs].tolist(), size[cold_runs].tolist(), strict=True):
-                for c, v in zip(cols, (k, 0, BOTH, doc, version, a, b" ".join(words[a : a + n + WINDOW - 1]), 1), strict=True):
-                    c.append(v)
-            if many:
-                hot_runs = np.isin(key, np.asarray(hot, np.int64))
+            places: dict[tuple[int, int, bytes], list[int]] = {}
+            run = np.isin(key, np.asarray(cold, np.int64))
+            for k, a, n in zip(key[run].tolist(), begin[run].tolist(), size[run].tolist(), strict=True):
+                places.setdefault((k, BOTH, b" ".join(words[a : a + n + WINDOW - 1])), []).append(a)
+            if hot:
+                run = np.isin(key, np.asarray(hot, np.int64))
                 route = grams(h, WINDOW).view(np.int64)
-                for k, a, n in zip(key[hot_runs].tolist(), begin[hot_runs].tolist(), size[hot_runs].tolist(), strict=True):
-                    for i in range(a, a + n):
-                        row = (int(route[i]), doc % many[k], STREAMED, doc, version, i, b" ".join(words[i : i + WINDOW]), many[k])
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
+                for a, n in zip(begin[run].tolist(), size[run].tolist(), strict=True):
+                    for i, r in enumerate(route[a : a + n].tolist(), a):
+                        places.setdefault((r, STREAMED, b" ".join(words[i : i + WINDOW])), []).append(i)
+            for (r, kind, raw), starts in places.items():
+                for c, v in zip(cols, (r, kind, doc, version, starts, raw), strict=True):
+                    c.append(v)
             if len(cols[0]) >= BATCH:
                 yield flush()
         if cols[0]:
             yield flush()
 
-    return arrow_map(docs.select("doc_id", "version", "packed", "cold", "hot", "salts"), over, SEGMENT)
+    return arrow_map(docs.select("doc_id", "version", "packed", "cold", "hot"), over, SEGMENT)
+
+
+SPAN = "doc_id long, version binary, starts array<int>, windows int"
+
+
+def _spans(out: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "version", "starts", "windows"])
+
+
+def heavy_spans(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Spans of the windows among ``rows`` that smaller documents hold, by the
+    broadcast automaton of ``heavy`` (words, first: at most ``HEAVY`` rows)."""
+    shard = rows.sparkSession.sparkContext.broadcast(sorted((r["first"], bytes(r["words"])) for r in heavy.collect()))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton()
+        for first, raw in shard.value:
+            automaton.add(raw.split(), first)
+        for batch in batches:
+            out = [[], [], [], []]
+            for doc, version, starts, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "starts", "words")), strict=True):
+                (first,) = automaton.first_docs(raw.split())
+                if first is not None and first < doc:
+                    for c, v in zip(out, (doc, version, starts, 1), strict=True):
+                        c.append(v)
+            if out[0]:
+                yield _spans(out)
+
+    return rows.select("doc_id", "version", "starts", "words").mapInArrow(stream, SPAN)
 
 
 class Shard:
@@ -261,67 +287,74 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         at, shard = None, None
         for batch in batches:
             out = [[], [], [], []]
-            cols = (batch.column(c).to_pylist() for c in ("route", "salt", "kind", "doc_id", "version", "start", "words"))
-            for route, salt, kind, doc, version, start, raw in zip(*cols, strict=True):
-                if (route, salt) != at:
-                    at, shard = (route, salt), Shard()
+            cols = (batch.column(c).to_pylist() for c in ("route", "kind", "doc_id", "version", "starts", "words"))
+            for route, kind, doc, version, starts, raw in zip(*cols, strict=True):
+                if route != at:
+                    at, shard = route, Shard()
                 for a, n in shard.see(kind, doc, raw):
-                    for c, v in zip(out, (doc, version, start + a, n), strict=True):
+                    for c, v in zip(out, (doc, version, [x + a for x in starts], n), strict=True):
                         c.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "version", "start", "windows"])
+                yield _spans(out)
 
-    ordered = rows.repartition("route", "salt").sortWithinPartitions("route", "salt", "kind", "doc_id")
-    return ordered.mapInArrow(stream, "doc_id long, version binary, start int, windows int")
+    ordered = rows.repartition("route").sortWithinPartitions("route", "kind", "doc_id")
+    return ordered.mapInArrow(stream, SPAN)
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with ``with_text``
     also the kept words as ``kept_text``."""
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    held = written(keys_of(ids.where(F.col("doc_id").isNotNull())))
+    held = written(read_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))))
+    named = held.where(F.col("doc_id").isNotNull())
     # ``own``: the versions of a document that no smaller one has.
-    firsts = held.groupBy("version").agg(F.min("doc_id").alias("_first"))
+    firsts = named.groupBy("version").agg(F.min("doc_id").alias("_first"))
     own = written(
-        held.select("doc_id", "version").join(firsts, "version").where("doc_id = _first").groupBy("doc_id").agg(F.collect_set("version").alias("own"))
+        named.select("doc_id", "version").join(firsts, "version").where("doc_id = _first").groupBy("doc_id").agg(F.collect_set("version").alias("own"))
     )
-    pairs = held.select("doc_id", F.conv(F.hex(F.substring("version", 1, 7)), 16, 10).cast("long").alias("of"), F.explode("keys").alias("key"))
+    pairs = named.select("doc_id", F.conv(F.hex(F.substring("version", 1, 7)), 16, 10).cast("long").alias("of"), F.explode("keys").alias("key"))
     shared = pairs.groupBy("key").agg(F.min("of").alias("_a"), F.max("of").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("key", "n")
-    n_salts = F.ceil(F.col("n") / SHARD_DOCS).cast("int")
     is_hot = F.col("n") > SHARD_DOCS
-    per_doc = written(
-        pairs.select("doc_id", "key").join(shared, "key").groupBy("doc_id").agg(
-            F.collect_list(F.when(~is_hot, F.col("key"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("key"))).alias("hot"), F.collect_list(F.when(is_hot, n_salts)).alias("salts")
-        ).join(own, "doc_id")
-    )
-    texts = packed_texts(ids)  # one exchange of these by doc_id serves all readers below
-    row = texts.join(per_doc, "doc_id").where(F.array_contains("own", F.col("version")))
-    streamed = segments(row)
-    hot = segments(row.where(F.size("hot") > 0).withColumn("cold", F.array().cast("array<long>")))
-    copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    # A window of one document alone is no reference; its copies would only
-    # multiply with the sub-shards.
-    held_twice = hot.groupBy("route", "words", "salts").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last")).where("doc_id < _last")
-    refs = held_twice.select(
-        "route", copies, F.lit(REFERENCE).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("version"), F.lit(0).alias("start"), "words"
+    per_doc = pairs.select("doc_id", "key").join(shared, "key").groupBy("doc_id").agg(
+        F.collect_list(F.when(~is_hot, F.col("key"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("key"))).alias("hot")
+    ).join(own, "doc_id")
+    row = named.select("doc_id", "version", "packed").join(per_doc, "doc_id").where(F.array_contains("own", F.col("version")))
+    streamed = written(segments(row))
+    # Windows of hot minimisers that two documents hold; a window of one
+    # document alone is no reference.
+    hot = streamed.where(F.col("kind") == STREAMED)
+    twice = hot.groupBy("route", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).where("first < _last")
+    twice = written(twice.drop("_last"))
+    is_heavy = F.col("n") * HEAVY >= hot.count()
+    heavy = twice.where(is_heavy)  # at most HEAVY rows: their counts add up to hot.count()
+    routes = F.broadcast(heavy.select("route").distinct())
+    light = streamed.join(routes, "route", "left_anti")
+    refs = twice.where(~is_heavy).join(routes, "route", "left_anti").select(
+        "route", F.lit(REFERENCE).alias("kind"), F.col("first").alias("doc_id"), F.lit(None).cast("binary").alias("version"), F.array().cast("array<int>").alias("starts"), "words"
     )
-    spans = repeated_spans(streamed.select(*refs.columns).unionByName(refs))
-    per_row = spans.groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "windows")).alias("spans")).join(own, "doc_id", "right")
+    by_route = hot.join(routes, "route", "left_semi")
+    # A route shared with a heavy window by chance goes through the same
+    # automaton, which then has to know its other windows too.
+    beside = twice.where(~is_heavy).join(routes, "route", "left_semi")
+    spans = repeated_spans(light.select(*refs.columns).unionByName(refs)).unionByName(heavy_spans(by_route, heavy.unionByName(beside)))
+    per_row = spans.groupBy("doc_id").agg(F.collect_list(F.struct("version", "starts", "windows")).alias("spans")).join(own, "doc_id", "right")
 
     def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         n_words, n_removed, digest, kept_text = [], [], [], []
         rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "spans", "own")), strict=True)
         for doc, version, packed, spans_, own_ in rows:
-            words = unpack.decompress(packed).split()
+            joined = unpack.decompress(packed)
+            words = joined.split()
             keep = np.ones(len(words), bool)
             if doc is not None and version not in (own_ or []) and len(words) >= WINDOW:
                 keep[:] = False  # a smaller document has the same words
-            for s in spans_ or []:
-                if s["version"] == version:
-                    keep[s["start"] : s["start"] + s["windows"] + WINDOW - 1] = False
-            left = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            kept = b" ".join(left)
+            for x in spans_ or []:
+                if x["version"] == version:
+                    for start in x["starts"]:
+                        keep[start : start + x["windows"] + WINDOW - 1] = False
+            whole = bool(keep.all())
+            left = words if whole else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+            kept = joined if whole else b" ".join(left)
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
             digest.append(hashlib.sha256(kept).hexdigest())
@@ -329,8 +362,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         cols = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = texts.join(per_row, "doc_id", "left").select("doc_id", "version", "packed", "spans", "own")
-    out = arrow_map(joined, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    texts = held.select("doc_id", "version", "packed")
+    joined = texts.where(F.col("doc_id").isNotNull()).join(per_row, "doc_id", "left").select("doc_id", "version", "packed", "spans", "own")
+    every = joined.unionByName(texts.where(F.col("doc_id").isNull()), allowMissingColumns=True)
+    out = arrow_map(every, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
 
 

@@ -78,3 +78,27 @@ def test_automaton_knows_first_documents():
         automaton.add(words, doc)
         for r in runs:
             seen.setdefault(r, doc)
+
+
+def test_heavy_windows_and_evenly_spaced_ids(spark, monkeypatch):
+    """Windows of nearly all documents, by the broadcast automaton and by the
+    shards alike; ids all multiples of 20; one document repeats a line."""
+    rng = random.Random(10)
+    line = " ".join(f"shared{i}" for i in range(16))
+    rows = [(20 * d, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 30))) + " " + line + f" own{d} " + line) for d in range(60)]
+    rows += [(7, (line + " again ") * 300), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for heavy in (1, 50, 2000):
+        monkeypatch.setattr(substrings, "HEAVY", heavy)
+        monkeypatch.setattr(substrings, "SHARD_DOCS", 4)
+        assert found(df) == brute(rows)
+
+
+def test_a_repeated_line_is_sent_once(spark):
+    line = " ".join(f"r{i}" for i in range(20)) + " "
+    rows = spark.createDataFrame([(1, line * 400), (2, line * 400)], "doc_id long, text string")
+    read = substrings.read_texts(rows)
+    for cold, hot in (("keys", "array()"), ("array()", "keys")):
+        sent = substrings.segments(read.selectExpr("doc_id", "version", "packed", f"cast({cold} AS array<bigint>) AS cold", f"cast({hot} AS array<bigint>) AS hot"))
+        per = {r["doc_id"]: r["count"] for r in sent.groupBy("doc_id").count().collect()}
+        assert set(per) == {1, 2} and max(per.values()) <= 30
