@@ -24,6 +24,7 @@ their names.
 
 from __future__ import annotations
 
+import bisect
 import base64
 import re
 import zlib
@@ -211,12 +212,17 @@ def apply_edits(trees: DataFrame, edits_of, ranks_file: str = RANKS_FILE) -> Dat
 
 def masking_edits(doc_id: int | None, text: str) -> list[tuple[int, int, str]]:
     """The registered query's edits of a document, in order and apart."""
-    found = [(m.start(), m.end(), "<mail>") for m in MAIL.finditer(text)] if "@" in text else []
-    for m in NUMBER.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in found):
+    mails = [m.span() for m in MAIL.finditer(text)] if "@" in text else []
+    found, k = [(a, b, "<mail>") for a, b in mails], 0
+    for m in NUMBER.finditer(text):  # both come in order
+        while k < len(mails) and mails[k][1] <= m.start():
+            k += 1
+        if k == len(mails) or m.end() <= mails[k][0]:
             found.append((m.start(), m.end(), "<number>"))
+    found.sort()
     at = zlib.crc32(str(doc_id).encode()) % (len(text) + 1)
-    if not any(a < at < b for a, b, _ in found):
+    before = bisect.bisect_left(found, (at,)) - 1  # the last edit that starts before
+    if before < 0 or found[before][1] <= at:
         found.append((at, at, NOTE))
     return sorted(found)
 

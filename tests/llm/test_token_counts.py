@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,16 @@ def test_awkward_rows(spark, docs, no_docs, count):
 def test_query_counts(spark, sample, count):
     before = {r["doc_id"]: r["tokens_before"] for r in tc.query(spark, "/root/testdata/sf0.001").collect()}
     assert before == {r["doc_id"]: len(count.encoding.encode_ordinary(r["text"])) for r in sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()}
+
+
+def test_masking_edits_against_loops():
+    rng = random.Random(21)
+    for _ in range(300):
+        text = " ".join(rng.choice(["12345", "a@b.org", "7@x.de9", "word", "99-88", "1@2.com3 44"]) for _ in range(rng.randrange(30)))
+        doc = rng.randrange(1000)
+        mails = [(m.start(), m.end(), "<mail>") for m in tc.MAIL.finditer(text)]
+        found = mails + [(m.start(), m.end(), "<number>") for m in tc.NUMBER.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in mails)]
+        at = zlib.crc32(str(doc).encode()) % (len(text) + 1)
+        if not any(a < at < b for a, b, _ in found):
+            found.append((at, at, tc.NOTE))
+        assert tc.masking_edits(doc, text) == sorted(found)
