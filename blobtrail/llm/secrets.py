@@ -4,8 +4,9 @@ Fixed patterns find assignments, access keys and long hex strings. Beyond
 them every run of key-like characters is scored by two first-order character
 Markov models, one of random strings and one of ordinary identifiers; a run
 whose log-likelihood ratio speaks for the random model is a further span of
-kind ``markov``. Base spans always stay; a markov span that overlaps one is
-left out.
+kind ``markov``. Base spans always stay; where one lies inside a run, what the
+run has beside it is judged by itself. A run or rest that isn't random as a
+whole is cut at its joints ``/ = _ -`` and its parts are judged.
 
 The models are trained from labelled samples: seeded random strings over the
 usual key alphabets and the hex and access keys that the fixed patterns find
@@ -44,7 +45,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 or more
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 KINDS = ["assign", "access", "hex", "markov"]
 # Runs that the models judge, and the characters that they know.
+MIN_RUN = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+JOINTS = "/=_-"
+PART = re.compile(r"[A-Za-z0-9+]{16,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RANDOM_ALPHABETS = ["0123456789abcdef", ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[26:62], ALPHABET[:62] + "_-"]
@@ -81,8 +85,29 @@ def _count(counts: np.ndarray, runs: list[str]) -> None:
         np.add.at(counts, (np.concatenate([[0], c[:-1]]), c), 1)
 
 
-def overlaps(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for a, _, b in spans)
+def beside(spans: list[tuple[int, int, int]], runs: Iterator[re.Match]) -> Iterator[tuple[int, int, bool]]:
+    """Of each run, in order, the parts (start, end) that no span covers, and
+    whether they are the whole run; spans and runs are passed over once."""
+    covered: list[list[int]] = []
+    for start, _, end in spans:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    first = 0
+    for m in runs:
+        at, end = m.span()
+        while first < len(covered) and covered[first][1] <= at:
+            first += 1
+        k, whole = first, True
+        while k < len(covered) and covered[k][0] < end:
+            whole = False
+            if covered[k][0] > at:
+                yield at, covered[k][0], False
+            at = covered[k][1]
+            k += 1
+        if at < end:
+            yield at, end, whole
 
 
 def seeded_strings(n: int = SEEDED_STRINGS) -> list[str]:
@@ -98,7 +123,7 @@ def train(docs: DataFrame) -> np.ndarray:
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             _count(counts[0], [text[a:b] for a, kind, b in spans if kind in (1, 2)])
-            _count(counts[1], [m[0] for m in ORDINARY.finditer(text or "") if not overlaps(spans, *m.span())])
+            _count(counts[1], [text[a:b] for a, b, whole in beside(spans, ORDINARY.finditer(text or "")) if whole])
         where = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*where, counts[where])], ["label", "prev", "next", "n"])
 
@@ -120,14 +145,26 @@ def ratio(model: np.ndarray, run: str) -> float:
     return float(model[0, c[0]] + model[c[:-1], c[1:]].sum())
 
 
+def is_random(model: np.ndarray, run: str) -> bool:
+    lead = ratio(model, run)
+    return lead >= MIN_RATIO and lead >= MIN_RATE * len(run)
+
+
 def all_spans(text: str, model: np.ndarray) -> list[tuple[int, int, int]]:
     spans = base_spans(text)
     more = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        lead = ratio(model, run)
-        if lead >= MIN_RATIO and lead >= MIN_RATE * len(run) and not overlaps(spans, *m.span()):
-            more.append((m.start(), 3, m.end()))
+    for start, end, whole in beside(spans, RUN.finditer(text)):
+        if not whole:  # joints to the span beside it belong to neither
+            part = text[start:end]
+            start, end = end - len(part.lstrip(JOINTS)), start + len(part.rstrip(JOINTS))
+        if end - start < MIN_RUN:
+            continue
+        if is_random(model, text[start:end]):
+            more.append((start, 3, end))
+            continue
+        for m in PART.finditer(text, start, end):
+            if m.end() - m.start() < end - start and is_random(model, m[0]):
+                more.append((m.start(), 3, m.end()))
     return sorted(spans + more)
 
 
