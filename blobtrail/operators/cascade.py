@@ -8,7 +8,14 @@ list is computed once per group. A group of identical files that holds a
 third of all rows therefore costs one group row and one candidate list, not
 a quadratic number of (query, commit) rows. Per query, only counts and the
 preferred commit are derived (with the query's own commit removed when
-``self_commit`` is given, using the group's top two)."""
+``self_commit`` is given, using the group's top two).
+
+A query may come with a hint path (column ``hint``), which stands first among
+its candidate paths. What the hint changes is kept as an overlay: the commits
+that touch it, or hold it among the name's touched commits, with the versions
+and order they have for that (name, hint). The group's list is ranked once and
+never copied; the overlay names the ranks that it hides, so the best candidates
+left of the list are the smallest ranks it doesn't name."""
 
 from __future__ import annotations
 
@@ -24,9 +31,11 @@ from blobtrail.functions.fingerprints import DEFAULT_PERM
 from blobtrail.operators import history as H
 from blobtrail.operators.fingerprint_tables import with_fingerprint
 from blobtrail.operators.pairs import minhash_pairs, set_pairs, simhash_pairs
+from blobtrail.operators.ranking import ordered_rank
 from blobtrail.session import written
 
 EXACT, HASH, FUZZY = 1, 2, 3
+QUERY_COLUMNS = ["query_id", "name", "hint", "over", "blob_norm", "blob_raw", "self_commit"]
 MODE_NAME = {EXACT: "exact_blob", HASH: "normalized_path", FUZZY: "normalized_path"}
 
 
@@ -51,11 +60,18 @@ def prepare_queries(query_files: DataFrame, crlf: bool = True) -> DataFrame:
     return (
         q.withColumn("blob_norm", norm)
         .withColumn("blob_raw", raw)
-        .withColumn("name", H.basename(F.col("path")))
+        .withColumn("name", file_name(F.col("path"), F.col("hint") if "hint" in query_files.columns else None))
         .withColumn("text", decode_ignore(F.col("content_lf"), dtype))
     )
 
 
+def file_name(path: Column, hint: Column | None = None) -> Column:
+    """The base name to look for: the file's own or, where it has none (as
+    from standard input), its hint path's; null where neither has one."""
+    own = H.basename(path)
+    return own if hint is None else F.coalesce(F.nullif(own, F.lit("")), F.nullif(H.basename(hint), F.lit("")))
+
+
 def exact_hits(groups: DataFrame, changes: DataFrame, contains_only: bool = False) -> DataFrame:
     """D1 + G1 per distinct (blob_norm, blob_raw): commits whose change adds
     or removes either id, LF hits before CRLF hits, each in log order.
@@ -108,12 +124,19 @@ def fallback_parts(
     fv = file_versions.select("commit_id", "path", "blob_id")
     at = written(fv.join(paths, "path").join(touched, ["name", "commit_id"]))
 
+    return {"paths": paths, "touched": touched, **hash_parts(at, groups, file_versions)}
+
+
+def hash_parts(at: DataFrame, groups: DataFrame, file_versions: DataFrame) -> dict[str, DataFrame]:
+    """D4 to D6 of content groups from ``at``, the versions of candidate paths
+    at touched commits."""
     ids = groups.select("name", "blob_norm", F.col("blob_norm").alias("id")).unionByName(
         groups.select("name", "blob_norm", F.col("blob_raw").alias("id"))
     ).distinct()
 
-    # Any candidate path at the commit already has one of the ids.
-    d4 = at.select("name", "commit_id", F.col("blob_id").alias("id"), "touch_ord").join(ids, ["name", "id"])
+    # Any candidate path at the commit already has one of the ids (C3: a
+    # stored id that isn't whole is none).
+    d4 = at.select("name", "commit_id", H.valid_blob_id(F.col("blob_id")).alias("id"), "touch_ord").join(ids, ["name", "id"])
     # First existing candidate path per (name, commit); D6: its content,
     # LF-normalised, hashed. Contents aren't carried further.
     first = H.first_versions_at(at)
@@ -128,7 +151,33 @@ def fallback_parts(
         .groupBy("name", "blob_norm", "commit_id")
         .agg(F.min(_touch_order(F.col("touch_ord"))).alias("o"))
     )
-    return {"paths": paths, "touched": touched, "ids": ids, "d4": d4, "first": first, "d6": d6, "hash": hash_hits}
+    return {"ids": ids, "d4": d4, "first": first, "d6": d6, "hash": hash_hits}
+
+
+def overlay_name(name: Column, hint: Column) -> Column:
+    """One key for a (name, hint), which stands for the name in an overlay."""
+    return F.to_json(F.struct(name.alias("name"), hint.alias("hint")))
+
+
+def overlay_parts(groups: DataFrame, parts: dict, file_versions: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``hash_parts`` for groups (name, hint, blob_norm,
+    blob_raw) where their hint makes a difference, their name being the
+    ``overlay_name``, and ``hidden``: the commits (name, commit_id) whose row
+    in the name's own list doesn't count for them."""
+    each = written(groups.select("name", "hint", overlay_name(F.col("name"), F.col("hint")).alias("over")).distinct())
+    rank = F.struct(F.lit(0).alias("tier"), F.lit(0).cast("long").alias("ord"))
+    hints = each.select("hint").distinct().select("hint", F.col("hint").alias("path"), rank.alias("path_rank"))
+    by_hint = H.commits_touching(hints, changes, key="hint")
+    fv = file_versions.select("commit_id", "path", "blob_id")
+    at_hint = written(fv.join(hints.select("path", "hint"), "path"))
+    inside = at_hint.select("hint", "commit_id").join(each, "hint").join(parts["touched"], ["name", "commit_id"])
+    rows = each.join(by_hint, "hint").select("over", "name", "hint", "commit_id", "touch_ord").unionByName(inside.select("over", "name", "hint", "commit_id", "touch_ord"))
+    hidden = written(rows.groupBy("over", "name", "hint", "commit_id").agg(F.min("touch_ord").alias("touch_ord")))
+    own = at_hint.join(hidden, ["hint", "commit_id"]).select("over", "commit_id", "path", "blob_id", rank.alias("path_rank"), "touch_ord")
+    others = fv.join(parts["paths"], "path").join(hidden, ["name", "commit_id"]).where("path <> hint").select("over", "commit_id", "path", "blob_id", "path_rank", "touch_ord")
+    at = written(own.unionByName(others).withColumnRenamed("over", "name"))
+    named = groups.select(overlay_name(F.col("name"), F.col("hint")).alias("name"), "blob_norm", "blob_raw").distinct()
+    return {"hidden": hidden.select(F.col("over").alias("name"), "commit_id"), **hash_parts(at, named, file_versions)}
 
 
 def fuzzy_tier(groups: DataFrame, parts: dict, file_versions: DataFrame, p: MatchParams) -> DataFrame:
@@ -216,7 +265,50 @@ def _settle(queries: DataFrame, hits: DataFrame, gkeys: list[str], attrs: DataFr
     preferred = F.when(F.col("c1") == F.col("self_commit"), F.col("c2")).otherwise(F.col("c1"))
     return written(
         s.select(
-            "query_id", "name", "blob_norm", "blob_raw", "self_commit",
+            *QUERY_COLUMNS,
+            F.when(count > 0, tier).alias("tier"), F.when(count > 0, preferred).alias("preferred"), count.cast("long").alias("candidates_count"),
+        )
+    )
+
+
+def _settle_overlaid(queries: DataFrame, hits: DataFrame, over: DataFrame, hidden: DataFrame, attrs: DataFrame, tier: int) -> DataFrame:
+    """``_settle`` for queries with a hint (column ``over``): of the group's
+    list ``hits`` the commits in ``hidden`` don't count, the overlay's own hits
+    ``over`` (name = overlay name) do."""
+    gkeys, okeys = ["name", "blob_norm"], ["over", "blob_norm"]
+    groups = written(queries.select("name", *okeys).distinct())
+    pk = F.struct(preference_key(F.col("o"), F.col("is_priority"), F.coalesce(F.col("ts"), F.lit(0))).alias("k"), "commit_id")
+    wanted = hits.join(groups.select(*gkeys).distinct(), gkeys, "left_semi").join(attrs, "commit_id", "left")
+    ranked = written(ordered_rank(wanted.select(*gkeys, "commit_id", pk.alias("pk")), gkeys, [F.col("pk")]))
+    gone = groups.join(hidden.withColumnRenamed("name", "over"), "over").join(ranked.select(*gkeys, "commit_id", "rank"), [*gkeys, "commit_id"])
+    gone = written(ordered_rank(gone.select(*okeys, "commit_id", "rank"), okeys, [F.col("rank")], "_i"))
+    # The k-th rank that isn't gone: k and the gone ones with fewer than k
+    # free ranks before them.
+    before = F.col("rank") - F.col("_i")
+    free = gone.groupBy(*okeys).agg(F.count(F.lit(1)).alias("n_gone"), *[F.count_if(before < k).alias(f"g{k}") for k in (1, 2)])
+    left = groups.join(free, okeys, "left").na.fill(0, ["n_gone", "g1", "g2"])
+    best = left.select(*gkeys, "over", F.explode(F.array(F.col("g1") + 1, F.col("g2") + 2)).alias("rank")).join(ranked, [*gkeys, "rank"])
+    ours = over.withColumnRenamed("name", "over").join(groups, okeys).join(attrs, "commit_id", "left").select(*okeys, "commit_id", pk.alias("pk"))
+    both = best.select(*okeys, "commit_id", "pk").unionByName(ours)
+    two = both.withColumn("_rn", F.row_number().over(Window.partitionBy(*okeys).orderBy("pk"))).where("_rn <= 2")
+    picks = two.groupBy(*okeys).agg(F.max(F.when(F.col("_rn") == 1, F.col("commit_id"))).alias("c1"), F.max(F.when(F.col("_rn") == 2, F.col("commit_id"))).alias("c2"))
+    in_list = ranked.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n_list"))
+    in_over = ours.groupBy(*okeys).agg(F.count(F.lit(1)).alias("n_over"))
+    counts = left.join(in_list, gkeys, "left").join(in_over, okeys, "left").na.fill(0, ["n_list", "n_over"])
+    counts = counts.select(*okeys, (F.col("n_list") - F.col("n_gone") + F.col("n_over")).alias("n")).join(picks, okeys, "left")
+    own = lambda df, keys, name: df.select(*keys, F.col("commit_id").alias("self_commit"), F.lit(1).alias(name))
+    s = (
+        queries.join(counts, okeys, "left")
+        .join(own(ranked, gkeys, "_listed"), [*gkeys, "self_commit"], "left")
+        .join(own(gone, okeys, "_gone"), [*okeys, "self_commit"], "left")
+        .join(own(ours, okeys, "_ours"), [*okeys, "self_commit"], "left")
+    )
+    mine = F.coalesce("_listed", F.lit(0)) - F.coalesce("_gone", F.lit(0)) + F.coalesce("_ours", F.lit(0))
+    count = F.coalesce("n", F.lit(0)) - mine
+    preferred = F.when(F.col("c1") == F.col("self_commit"), F.col("c2")).otherwise(F.col("c1"))
+    return written(
+        s.select(
+            *QUERY_COLUMNS,
             F.when(count > 0, tier).alias("tier"), F.when(count > 0, preferred).alias("preferred"), count.cast("long").alias("candidates_count"),
         )
     )
@@ -232,19 +324,24 @@ def match_cascade(
 ) -> dict[str, DataFrame]:
     """D8 for a table of query files.
 
-    ``query_files``: (query_id, path, content[, self_commit]).
+    ``query_files``: (query_id, path, content[, self_commit][, hint]).
     ``commit_attrs``: (commit_id, ts long, is_priority boolean).
 
     Each tier is computed once, written, and only for the groups that some
     query left open: a query is open while it has no hit but its own commit.
     Returns ``summary`` (one row per query; ``reason`` tells the two kinds of
     no match apart) and ``candidates`` (one row per (group, commit) of the
-    tier that settled some query of it), plus the tier tables."""
+    tier that settled some query of it), plus the tier tables. Where hints are
+    given, ``overlay`` holds their own candidates (name = overlay name) and
+    ``hidden`` the commits of a name's list that don't count for them."""
     p = params or MatchParams()
+    hints = "hint" in query_files.columns
     q = prepare_queries(query_files, p.crlf_variant)
     if "self_commit" not in q.columns:
         q = q.withColumn("self_commit", F.lit(None).cast(file_versions.schema["commit_id"].dataType))
-    base = written(q.select("query_id", "name", "blob_norm", "blob_raw", "self_commit"))
+    hint = F.nullif(F.col("hint"), F.lit("")) if hints else F.lit(None).cast("string")
+    q = q.withColumn("hint", hint).withColumn("over", F.when(F.col("hint").isNotNull(), overlay_name(F.col("name"), F.col("hint"))))
+    base = written(q.select(*QUERY_COLUMNS))
     gkeys = ["name", "blob_norm"]
 
     exact = written(exact_hits(base, changes, p.contains_only))
@@ -252,12 +349,26 @@ def match_cascade(
     left = by_exact.where("tier IS NULL")
     parts = fallback_parts(left.select(*gkeys, "blob_raw").distinct(), file_versions, changes, path_objects)
     hashed = written(parts["hash"])
-    by_hash = _settle(left, hashed, gkeys, commit_attrs, HASH)
+    over = overlay_parts(left.where("over IS NOT NULL").select("name", "hint", "blob_norm", "blob_raw").distinct(), parts, file_versions, changes) if hints else None
+    over_hashed = written(over["hash"]) if hints else None
+
+    def settle(queries: DataFrame, hits: DataFrame, over_hits: DataFrame | None, tier: int) -> DataFrame:
+        if not hints:
+            return _settle(queries, hits, gkeys, commit_attrs, tier)
+        plain = _settle(queries.where("over IS NULL"), hits, gkeys, commit_attrs, tier)
+        return plain.unionByName(_settle_overlaid(queries.where("over IS NOT NULL"), hits, over_hits, over["hidden"], commit_attrs, tier))
+
+    by_hash = settle(left, hashed, over_hashed, HASH)
     left = by_hash.where("tier IS NULL")
     still = left.select(*gkeys).distinct()
     groups = q.select(*gkeys, "text").join(still, gkeys, "left_semi").dropDuplicates(gkeys)
     fuzzy = written(fuzzy_tier(groups, parts, file_versions, p))
-    by_fuzzy = _settle(left, fuzzy.drop("score"), gkeys, commit_attrs, FUZZY)
+    over_fuzzy = None
+    if hints:
+        open_ = left.where("over IS NOT NULL").select("over", "blob_norm").distinct()
+        over_groups = q.select("over", "blob_norm", "text").join(open_, ["over", "blob_norm"], "left_semi").dropDuplicates(["over", "blob_norm"])
+        over_fuzzy = written(fuzzy_tier(over_groups.withColumnRenamed("over", "name"), over, file_versions, p))
+    by_fuzzy = settle(left, fuzzy.drop("score"), over_fuzzy.drop("score") if hints else None, FUZZY)
 
     settled = by_exact.where("tier IS NOT NULL").unionByName(by_hash.where("tier IS NOT NULL")).unionByName(by_fuzzy)
     with_paths = parts["paths"].select("name").distinct().withColumn("_paths", F.lit(True))
@@ -270,8 +381,9 @@ def match_cascade(
         F.col("blob_raw").alias("local_blob_raw"),
         "preferred",
         F.when(F.col("tier").isNotNull(), F.col("candidates_count")).otherwise(0).alias("candidates_count"),
-        F.when(F.col("tier").isNull(), F.when(F.col("_paths"), "no candidates").otherwise("no candidate paths")).alias("reason"),
+        F.when(F.col("tier").isNull(), F.when(F.col("_paths") | F.col("hint").isNotNull(), "no candidates").otherwise("no candidate paths")).alias("reason"),
         "name",
+        "hint",
         "self_commit",
     )
     # Candidate lists per group, only for the tier that settled some query.
@@ -284,4 +396,9 @@ def match_cascade(
         .unionByName(hashed.join(need_hash, gkeys).select(*gkeys, F.lit(HASH).alias("tier"), "commit_id", "o", no_score))
         .unionByName(fuzzy.join(need_fuzzy, gkeys).select(*gkeys, F.lit(FUZZY).alias("tier"), "commit_id", "o", "score"))
     )
-    return {"summary": summary, "candidates": candidates, "exact": exact, "hash": hashed, "fuzzy": fuzzy, "queries": q, "parts": parts}
+    out = {"summary": summary, "candidates": candidates, "exact": exact, "hash": hashed, "fuzzy": fuzzy, "queries": q, "parts": parts}
+    if hints:
+        mine = over_hashed.select(*gkeys, F.lit(HASH).alias("tier"), "commit_id", "o", no_score)
+        out["overlay"] = mine.unionByName(over_fuzzy.select(*gkeys, F.lit(FUZZY).alias("tier"), "commit_id", "o", "score"))
+        out["hidden"] = over["hidden"]
+    return out

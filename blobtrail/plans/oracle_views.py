@@ -49,6 +49,13 @@ file_versions AS (
     "query_files": """
 query_files AS (
   SELECT doc_id AS query_id, lang || '.txt' AS path, text AS content, doc_id AS self_commit FROM documents)""",
+    "hint_files": """
+hint_files AS (
+  SELECT *, coalesce(base, '') || '|' || coalesce(hint, '') AS name FROM (
+    SELECT *, coalesce(nullif(regexp_extract(path, '[^/]*$'), ''), nullif(regexp_extract(hint, '[^/]*$'), '')) AS base FROM (
+      SELECT doc_id AS query_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || '.txt' END AS path, text AS content, doc_id AS self_commit,
+             CASE doc_id % 3 WHEN 0 THEN source || '/' || lang || '.txt' WHEN 1 THEN source || '/' || CASE WHEN lang = 'en' THEN 'de' ELSE 'en' END || '.txt' END AS hint
+      FROM documents)))""",
     "commits": f"""
 commits AS (
   SELECT doc_id AS commit_id, CASE WHEN doc_id % {BAD_TS_MOD} = {BAD_TS_REM} THEN 'notint'

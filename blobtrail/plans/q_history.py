@@ -57,12 +57,21 @@ reach(branch, commit_id) AS (
     )
 
 
-PATHS_SQL = """
+NAMES_SQL = """
 paths AS (SELECT path, min(ord) AS path_ord, regexp_extract(path, '[^/]*$') AS name FROM path_objects GROUP BY path),
-names AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM query_files),
+names AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM query_files),"""
+# A (name, hint) stands for the name; the hint path comes before all others.
+HINT_NAMES_SQL = """
+opaths AS (SELECT path, min(ord) AS path_ord, regexp_extract(path, '[^/]*$') AS base FROM path_objects GROUP BY path),
+keys AS (SELECT DISTINCT name, base, hint FROM hint_files),
+paths AS (SELECT name, path, min(path_ord) AS path_ord FROM (
+            SELECT name, hint AS path, -1000000000000 AS path_ord FROM keys WHERE hint IS NOT NULL
+            UNION ALL SELECT k.name, o.path, o.path_ord FROM keys k JOIN opaths o ON o.base = k.base) GROUP BY 1, 2),
+names AS (SELECT DISTINCT name FROM keys),"""
+_TOUCHED_SQL = """
 ren AS (SELECT path, old_path, log_ord FROM changes WHERE old_path IS NOT NULL AND old_path <> path),
 walk(root, path, from_ord) AS (
-  SELECT path, path, -4611686018427387904 FROM paths
+  SELECT DISTINCT path, path, -4611686018427387904 FROM paths
   UNION
   SELECT w.root, r.old_path, r.log_ord FROM walk w JOIN ren r ON r.path = w.path AND r.log_ord > w.from_ord),
 tch AS (SELECT path, commit_id, log_ord FROM changes UNION ALL SELECT old_path, commit_id, log_ord FROM changes WHERE old_path IS NOT NULL),
@@ -78,6 +87,9 @@ first_all AS (
 first AS (SELECT name, commit_id, path, blob_id, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS content_lf,
                  t_path_ord, t_log_ord FROM first_all WHERE rn = 1)"""
 
+PATHS_SQL = NAMES_SQL + _TOUCHED_SQL
+HINT_PATHS_SQL = HINT_NAMES_SQL + _TOUCHED_SQL
+
 QGROUPS_SQL = f"""
 qg AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name, {blob_sql("regexp_replace(content, '\\r\\n?', chr(10), 'g')")} AS blob_norm
        FROM query_files)"""

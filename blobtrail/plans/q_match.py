@@ -18,7 +18,7 @@ from blobtrail.plans import q_catalog
 from blobtrail.plans import report as R
 from blobtrail.plans import sqlfrag as S
 from blobtrail.plans.oracle_views import blob_sql, with_views
-from blobtrail.plans.q_history import PATHS_SQL, PR_SQL, PRIO_SQL, attrs_sql, branch_info, commit_attrs, groups, parts, reach
+from blobtrail.plans.q_history import HINT_PATHS_SQL, PATHS_SQL, PR_SQL, PRIO_SQL, attrs_sql, branch_info, commit_attrs, groups, parts, reach
 from blobtrail.plans.registry import register
 from blobtrail.sources.testdata import QUERY_TARGETS, Repo
 
@@ -155,33 +155,39 @@ def _scores_sql(mode: str) -> str:
     return {"minhash": _minhash_scores_sql, "simhash": _simhash_scores_sql}.get(mode, lambda: _set_scores_sql(mode))()
 
 
-def cascade_sql(mode: str = "jaccard", contains_only: bool = True) -> str:
+def cascade_sql(mode: str = "jaccard", contains_only: bool = True, crlf: bool = False, hints: bool = False) -> str:
     """The whole cascade per query in DuckDB: exact tier, hash tiers, fuzzy
-    tier, own commit excluded, preferred commit by the selection rules."""
+    tier, own commit excluded, preferred commit by the selection rules; with
+    ``crlf`` the CRLF form's id counts too, with ``hints`` the queries are
+    those of ``hint_files``."""
     t = CASCADE_T
     kinds = "('add')" if contains_only else "('add', 'remove')"
+    raw = blob_sql("replace(lf, chr(10), chr(13) || chr(10))") if crlf else blob_sql("lf")
+    files = "hint_files" if hints else "query_files"
+    name = "name" if hints else "regexp_extract(path, '[^/]*$')"
     return (
         attrs_sql()
         + ","
-        + with_views("file_versions", "changes", "path_objects", "query_files")[len("WITH "):]
+        + with_views("file_versions", "changes", "path_objects", files)[len("WITH "):]
         + ","
-        + PATHS_SQL
+        + (HINT_PATHS_SQL if hints else PATHS_SQL)
         + f""",
-q AS (SELECT query_id, self_commit, regexp_extract(path, '[^/]*$') AS name, lf, {blob_sql('lf')} AS bn
-      FROM (SELECT query_id, self_commit, path, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS lf FROM query_files)),
-ex AS (SELECT q.query_id, c.commit_id, min(c.log_ord) AS o FROM q JOIN changes c ON c.blob_id = q.bn
+q AS (SELECT query_id, self_commit, {name} AS name, lf, {blob_sql('lf')} AS bn, {raw} AS br
+      FROM (SELECT *, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS lf FROM {files})),
+ex AS (SELECT q.query_id, c.commit_id, min(CASE WHEN c.blob_id = q.bn THEN 0 ELSE 1000000000000 END + c.log_ord) AS o
+       FROM q JOIN changes c ON c.blob_id = q.bn OR c.blob_id = q.br
        WHERE c.kind IN {kinds} AND c.commit_id <> q.self_commit GROUP BY 1, 2),
 firsth AS (SELECT name, commit_id, content_lf, t_path_ord, t_log_ord, {blob_sql('content_lf')} AS nblob FROM first),
 d4q AS (SELECT q.query_id, t.commit_id, t.path_ord, t.log_ord FROM q JOIN paths p ON p.name = q.name
-        JOIN file_versions fv ON fv.path = p.path AND fv.blob_id = q.bn
+        JOIN file_versions fv ON fv.path = p.path AND fv.blob_id IN (q.bn, q.br) AND length(fv.blob_id) = 40
         JOIN touched t ON t.name = q.name AND t.commit_id = fv.commit_id WHERE t.commit_id <> q.self_commit),
 d6q AS (SELECT q.query_id, f.commit_id, f.t_path_ord AS path_ord, f.t_log_ord AS log_ord
-        FROM q JOIN firsth f ON f.name = q.name AND f.nblob = q.bn WHERE f.commit_id <> q.self_commit),
+        FROM q JOIN firsth f ON f.name = q.name AND f.nblob IN (q.bn, q.br) WHERE f.commit_id <> q.self_commit),
 hq AS (SELECT DISTINCT * FROM (SELECT * FROM d4q UNION ALL SELECT * FROM d6q)),
-qs AS (SELECT name, bn, any_value(lf) AS lf FROM q GROUP BY 1, 2),
+qs AS (SELECT name, bn, any_value(lf) AS lf, any_value(br) AS br FROM q GROUP BY 1, 2),
 vs AS (SELECT name, nblob, any_value(content_lf) AS content_lf FROM firsth GROUP BY 1, 2),
 {_scores_sql(mode).lstrip()},
-fz AS (SELECT name, bn, nblob, score FROM sc WHERE score >= {t} AND nblob <> bn),
+fz AS (SELECT sc.name, sc.bn, nblob, score FROM sc JOIN qs ON qs.name = sc.name AND qs.bn = sc.bn WHERE score >= {t} AND nblob <> sc.bn AND nblob <> qs.br),
 fq AS (SELECT q.query_id, f.commit_id, fz.score, f.t_path_ord AS path_ord, f.t_log_ord AS log_ord
        FROM q JOIN fz ON fz.name = q.name AND fz.bn = q.bn JOIN firsth f ON f.name = fz.name AND f.nblob = fz.nblob
        WHERE f.commit_id <> q.self_commit),
@@ -224,6 +230,37 @@ def q_cascade_all_changes(repo: Repo) -> DataFrame:
     return cascade(repo, contains_only=False)["summary"].select("query_id", "mode", "preferred", "candidates_count")
 
 
+@register(
+    "match_cascade_crlf",
+    "D8",
+    lambda: cascade_sql("jaccard", crlf=True) + "\nSELECT query_id, mode, preferred, candidates_count FROM summary",
+)
+def q_cascade_crlf(repo: Repo) -> DataFrame:
+    """The cascade with the id of the CRLF form as a second id of each file:
+    versions stored with CRLF line ends are exact hits."""
+    return _run_cascade(repo, repo.query_files(), CS.MatchParams(threshold=CASCADE_T, contains_only=True, crlf_variant=True))
+
+
+@register(
+    "match_cascade_hint",
+    "D8",
+    lambda: cascade_sql("jaccard", hints=True)
+    + """
+SELECT s.query_id, mode, preferred, candidates_count, CASE WHEN mode = 'no_match' THEN
+  CASE WHEN EXISTS (SELECT 1 FROM paths p WHERE p.name = s.name) THEN 'no candidates' ELSE 'no candidate paths' END END AS reason FROM summary s""",
+)
+def q_cascade_hint(repo: Repo) -> DataFrame:
+    """The cascade for files that come with a hint path, some of them without
+    a name of their own."""
+    return _run_cascade(repo, repo.hint_files(), CS.MatchParams(threshold=CASCADE_T, contains_only=True), "reason")
+
+
+def _run_cascade(repo: Repo, files: DataFrame, params: CS.MatchParams, *more: str) -> DataFrame:
+    attrs = commit_attrs(repo).select("commit_id", "ts", "is_priority")
+    out = CS.match_cascade(files, repo.file_versions(), repo.changes(), repo.path_objects(), attrs, params)
+    return out["summary"].select("query_id", "mode", "preferred", "candidates_count", *more)
+
+
 @register(
     "threshold_filter",
     "C4",

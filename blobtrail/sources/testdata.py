@@ -110,6 +110,20 @@ class Repo:
             F.col("doc_id").alias("self_commit"),
         )
 
+    def hint_files(self) -> DataFrame:
+        """``query_files`` with hint paths: by doc_id % 3 the document's own
+        path, one of another name, or none; every fifth file has no name."""
+        d = self.table("documents")
+        other = F.concat("source", F.lit("/"), F.when(F.col("lang") == "en", "de").otherwise("en"), F.lit(".txt"))
+        own = F.concat("source", F.lit("/"), "lang", F.lit(".txt"))
+        return d.select(
+            F.col("doc_id").alias("query_id"),
+            F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat("lang", F.lit(".txt"))).alias("path"),
+            F.when(F.col("doc_id") % 3 == 0, own).when(F.col("doc_id") % 3 == 1, other).alias("hint"),
+            F.col("text").alias("content"),
+            F.col("doc_id").alias("self_commit"),
+        )
+
     def commits(self) -> DataFrame:
         d = self.table("documents")
         ts = (F.lit(TS_BASE) + (F.col("doc_id") * TS_STEP) % TS_MOD).cast("string")
