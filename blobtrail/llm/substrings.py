@@ -3,8 +3,8 @@
 A word goes when a run of ``WINDOW`` words around it also starts in a document
 with a smaller id. Which texts can share such a run is found first: equal runs
 have the same smallest 4-word hash (their minimiser), so only minimisers that
-occur in two different texts matter; of equal texts only the smallest id's is
-looked at, the others lose every window. Texts are cut into segments, the maximal runs of
+occur twice matter; of equal texts only the smallest id's is looked at, the
+others lose every window. Texts are cut into segments, the maximal runs of
 consecutive windows with one minimiser; a minimiser's segments form a shard.
 
 In its shard every document, in id order, is streamed through a suffix
@@ -221,15 +221,14 @@ def heavy_spans(rows: DataFrame, heavy: DataFrame) -> DataFrame:
         automaton = Automaton()
         for first, raw in shard.value:
             automaton.add(raw.split(), first)
-        for batch in batches:
-            out = [[], [], [], []]
+        for batch in batches:  # a document's windows lie together and give one row
+            held: dict[tuple[int, bytes], list[int]] = {}
             for doc, version, starts, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "starts", "words")), strict=True):
                 (first,) = automaton.first_docs(raw.split())
                 if first is not None and first < doc:
-                    for c, v in zip(out, (doc, version, starts, 1), strict=True):
-                        c.append(v)
-            if out[0]:
-                yield _spans(out)
+                    held.setdefault((doc, version), []).extend(starts)
+            if held:
+                yield _spans([[d for d, _ in held], [v for _, v in held], list(held.values()), [1] * len(held)])
 
     return rows.select("doc_id", "version", "starts", "words").mapInArrow(stream, SPAN)
 
@@ -311,8 +310,9 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     own = written(
         named.select("doc_id", "version").join(firsts, "version").where("doc_id = _first").groupBy("doc_id").agg(F.collect_set("version").alias("own"))
     )
-    pairs = named.select("doc_id", F.conv(F.hex(F.substring("version", 1, 7)), 16, 10).cast("long").alias("of"), F.explode("keys").alias("key"))
-    shared = pairs.groupBy("key").agg(F.min("of").alias("_a"), F.max("of").alias("_b"), F.count("*").alias("n")).where("_a < _b").select("key", "n")
+    # Copies of one text count too; only the first one's segments are sent.
+    pairs = named.select("doc_id", F.explode("keys").alias("key"))
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     is_hot = F.col("n") > SHARD_DOCS
     per_doc = pairs.select("doc_id", "key").join(shared, "key").groupBy("doc_id").agg(
         F.collect_list(F.when(~is_hot, F.col("key"))).alias("cold"), F.collect_list(F.when(is_hot, F.col("key"))).alias("hot")
