@@ -37,11 +37,14 @@ def _usable(repo: Repo, combined: DataFrame) -> DataFrame:
 
 # --- oracle pieces -----------------------------------------------------------------
 
+B, OWN = TD.FORK_BLOCK, 320  # of a block's 480 pages beside the hot target's
 _HOST = "regexp_extract(url, '^[a-z]+://([^./:]+)', 1)"
 FORKS_SQL = f"""
 WITH f AS (
-  SELECT 'org' || (page_id // 240) || '/proj' AS target, CASE WHEN page_id % 240 < 120 THEN 'repo' ELSE 'parent' END AS src,
-         CAST(page_id % 120 AS INTEGER) AS ord0, {_HOST} AS host, page_id FROM pages),
+  SELECT 'org' || CASE WHEN hot THEN 0 ELSE page_id // {B} + 1 END || '/proj' AS target,
+         CASE WHEN hot THEN CASE WHEN page_id // 3 % 2 = 0 THEN 'repo' ELSE 'parent' END WHEN place < {OWN} THEN 'repo' ELSE 'parent' END AS src,
+         CAST(CASE WHEN hot THEN page_id // 6 WHEN place < {OWN} THEN place ELSE place - {OWN} END AS INTEGER) AS ord0, {_HOST} AS host, page_id
+  FROM (SELECT *, page_id % 3 = 0 AS hot, page_id % {B} // 3 * 2 + page_id % 3 - 1 AS place FROM pages)),
 r AS (SELECT target, src, ord0 // 100 + 1 AS page, ord0 % 100 AS pos,
         CASE WHEN page_id % 17 = 0 THEN '' ELSE host || '/r' || (page_id % 40) END AS full_name,
         CASE WHEN page_id % 13 = 0 THEN NULL ELSE 'r' || (page_id % 40) END AS name,
@@ -51,8 +54,8 @@ r AS (SELECT target, src, ord0 // 100 + 1 AS page, ord0 % 100 AS pos,
         CASE WHEN page_id % 15 = 0 THEN NULL ELSE 'git://github.com/' || host || '/r' || (page_id % 40) || '.git' END AS git_url
       FROM f),
 pg AS (SELECT target, src, page, count(*) AS n,
-         ((CAST(regexp_extract(target, '^org([0-9]+)', 1) AS INTEGER) + page) % 4 = 2)
-         OR ((CAST(regexp_extract(target, '^org([0-9]+)', 1) AS INTEGER) + CASE WHEN src = 'repo' THEN 0 ELSE 1 END + page) % 5 = 4) AS bad
+         target <> 'org0/proj' AND (((CAST(regexp_extract(target, '^org([0-9]+)', 1) AS INTEGER) + page) % 4 = 3)
+         OR ((CAST(regexp_extract(target, '^org([0-9]+)', 1) AS INTEGER) + CASE WHEN src = 'repo' THEN 0 ELSE 1 END + page) % 5 = 4)) AS bad
        FROM r GROUP BY 1, 2, 3),
 stop AS (SELECT target, src, least(coalesce(min(page) FILTER (WHERE bad) - 1, 1 << 30),
                                    coalesce(min(page) FILTER (WHERE NOT bad AND n < 100), 1 << 30)) AS last_page

@@ -20,7 +20,7 @@ from blobtrail.plans import sqlfrag as S
 from blobtrail.plans.oracle_views import blob_sql, with_views
 from blobtrail.plans.q_history import HINT_PATHS_SQL, PATHS_SQL, PR_SQL, PRIO_SQL, attrs_sql, branch_info, commit_attrs, groups, parts, reach
 from blobtrail.plans.registry import register
-from blobtrail.sources.testdata import QUERY_TARGETS, Repo
+from blobtrail.sources.testdata import FORK_BLOCK, Repo, fork_targets
 
 K, N, W, P = 5, 5, 4, 128
 THRESHOLDS = {"jaccard": 0.8, "charjaccard": 0.8, "winnow": 0.8, "minhash": 0.8, "simhash": 0.9}
@@ -335,12 +335,12 @@ def q_read_versions(repo: Repo) -> DataFrame:
 
 
 def query_forks(repo: Repo) -> DataFrame:
-    """Fork counters per query: query q looked at the forks of target number
-    q mod QUERY_TARGETS; all that were selected were fetched."""
+    """Fork counters per query: the queries look at all targets in turn; all
+    forks that were selected were fetched."""
     combined = q_catalog.combined_forks(repo)
     counts = fork_counters(combined, FK.fork_window(combined, q_catalog.OFFSET, q_catalog.LIMIT))
     q = repo.table("documents").select(
-        F.col("doc_id").alias("query_id"), F.concat(F.lit("org"), (F.col("doc_id") % QUERY_TARGETS).cast("string"), F.lit("/proj")).alias("target")
+        F.col("doc_id").alias("query_id"), F.concat(F.lit("org"), (F.col("doc_id") % fork_targets(repo)).cast("string"), F.lit("/proj")).alias("target")
     )
     return q.join(counts, "target").select("query_id", F.col("forks_selected").alias("forks_fetched"), "forks_discovered", "forks_selected")
 
@@ -361,7 +361,7 @@ cls AS (SELECT commit_id, branch, row_number() OVER (PARTITION BY commit_id ORDE
 s AS (SELECT s.*, c.branch, b.branches, coalesce(fc.forks_selected, 0) AS forks_fetched, coalesce(fc.forks_discovered, 0) AS forks_discovered,
              coalesce(fc.forks_selected, 0) AS forks_selected
       FROM summary s LEFT JOIN cls c ON c.commit_id = s.preferred AND c.rn = 1 LEFT JOIN brs b ON b.commit_id = s.preferred
-      LEFT JOIN fc ON fc.target = 'org' || (s.query_id % {QUERY_TARGETS}) || '/proj')
+      LEFT JOIN fc ON fc.target = 'org' || (s.query_id % (SELECT coalesce(max(page_id) // {FORK_BLOCK} + 2, 1) FROM pages)) || '/proj')
 """
         + select
     )

@@ -198,14 +198,14 @@ def branch_name(source: Column) -> Column:
 
 
 # --- fork catalog and run metrics views ------------------------------------
-# Each `pages` row stands for one fork. Blocks of FORK_BLOCK pages list the
-# forks of one target "org<block>/proj" (so targets grow with the data), the
-# first half as the repo's own forks (src "repo"), the second as its
-# parent's; the place in the block is the ordinal, so pages of 100 forks need
-# no window. Some records lack fields, some pages are malformed or not a list,
-# by fixed rules.
-FORK_BLOCK = 240  # consecutive pages that list the forks of one target
-QUERY_TARGETS = 3  # targets that the query files look at
+# Each `pages` row stands for one fork. Every third page is a fork of "org0/proj",
+# the hot target, by turns in the repo's own list (src "repo") and its
+# parent's. The others, in blocks of FORK_BLOCK pages, list the forks of one
+# target "org<block + 1>/proj", two thirds of them in the repo's list; so
+# targets and lists grow with the data. The place in a list follows from the
+# page_id, so pages of 100 forks need no window. Some records lack fields,
+# some pages but the hot target's are malformed or not a list, by fixed rules.
+FORK_BLOCK, FORK_HOT = 720, 3
 FORK_PER_PAGE = 100
 MALFORMED_BODY = '[{"full_name": "broken'
 NOT_LIST_BODY = '{"message": "Not Found"}'
@@ -220,10 +220,13 @@ def _fork_fields(d: DataFrame) -> DataFrame:
     pid = F.col("page_id")
     host = host_label(F.col("url"))
     full = F.concat(host, F.lit("/r"), (pid % 40).cast("string"))
+    hot, turn = pid % FORK_HOT == 0, F.floor(pid / FORK_HOT)
+    place = F.floor((pid % FORK_BLOCK) / FORK_HOT) * (FORK_HOT - 1) + pid % FORK_HOT - 1  # among the block's other pages
+    own = FORK_BLOCK * (FORK_HOT - 1) // FORK_HOT * 2 // 3  # of them in the repo's list
     return d.select(
-        F.concat(F.lit("org"), F.floor(pid / FORK_BLOCK).cast("string"), F.lit("/proj")).alias("target"),
-        F.when(pid % FORK_BLOCK < FORK_BLOCK // 2, F.lit("repo")).otherwise(F.lit("parent")).alias("src"),
-        (pid % (FORK_BLOCK // 2)).cast("int").alias("ord0"),
+        F.concat(F.lit("org"), F.when(hot, 0).otherwise(F.floor(pid / FORK_BLOCK) + 1).cast("string"), F.lit("/proj")).alias("target"),
+        F.when(F.when(hot, turn % 2 == 0).otherwise(place < own), F.lit("repo")).otherwise(F.lit("parent")).alias("src"),
+        F.when(hot, F.floor(turn / 2)).when(place < own, place).otherwise(place - own).cast("int").alias("ord0"),
         F.struct(
             F.when(pid % 17 == 0, F.lit("")).otherwise(full).alias("full_name"),
             F.when(pid % 13 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("r"), (pid % 40).cast("string"))).alias("name"),
@@ -244,13 +247,19 @@ def fork_pages(repo: Repo) -> DataFrame:
     t = F.regexp_extract("target", "^org([0-9]+)", 1).cast("int")
     s = F.when(F.col("src") == "repo", 0).otherwise(1)
     body = (
-        F.when((t + F.col("page")) % 4 == 2, F.lit(MALFORMED_BODY))
-        .when((t + s + F.col("page")) % 5 == 4, F.lit(NOT_LIST_BODY))
+        F.when((t > 0) & ((t + F.col("page")) % 4 == 3), F.lit(MALFORMED_BODY))
+        .when((t > 0) & ((t + s + F.col("page")) % 5 == 4), F.lit(NOT_LIST_BODY))
         .otherwise(F.to_json(F.transform("items", lambda x: x["rec"])))
     )
     return pages.select("target", "src", "page", body.alias("body"))
 
 
+def fork_targets(repo: Repo) -> int:
+    """Number of targets that the pages list forks of."""
+    last = repo.table("pages").agg(F.max("page_id")).first()[0]
+    return 1 if last is None else last // FORK_BLOCK + 2
+
+
 def repo_urls(repo: Repo) -> DataFrame:
     """Catalog of repository URLs: each page's own URL, plus a GitHub URL in
     https, scp or ssh form by page_id % 3."""
