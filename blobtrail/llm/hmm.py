@@ -46,7 +46,7 @@ ROUNDS = 4
 TOP, CLASSES, KNOWN = 32_768, 255, 131_072
 ADD = 0.1  # smoothing of word counts, in the base score and inside classes
 EMISSION_ADD, TRANSITION_ADD = 0.01, 1.0
-PIECE = 4096
+PIECE = 4096  # steps between the forward messages that are kept
 CELLS = 1_000_000  # of one expectation step's arrays
 FLUSH_WORDS = 400_000
 BLOCK = 2048  # symbols of a row of expected counts
@@ -247,42 +247,55 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 def expected_counts(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of the sequences."""
+    """Expected starts, moves and emissions of the sequences. Of the forward
+    messages only those at the start of every ``PIECE`` steps are kept; a
+    piece's others are made again when the backward messages reach it. So
+    messages cross all pieces of a text, in memory of a piece and its marks."""
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
     p, a_move, a_emit = model.start.astype(np.float32), model.move.astype(np.float32), model.emit.astype(np.float32)
     for group in batches_by_length(seqs):
         x, running = padded([seqs[i] for i in group])
         steps = len(x)
-        alpha = []
+
+        def forward_from(a, begin: int, end: int) -> list[np.ndarray]:
+            """Messages of steps begin to end, given that of begin."""
+            out = [a]
+            for t in range(begin + 1, end):
+                k = running[t]  # noqa: B023
+                a = (a[:k] @ a_move) * a_emit[x[t, :k]]  # noqa: B023
+                a = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
+                out.append(a)
+            return out
+
         a = p * a_emit[x[0]]
-        for t in range(steps):
-            if t:
-                k = running[t]
-                a = (a[:k] @ a_move) * a_emit[x[t, :k]]
-            a = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
-            alpha.append(a)
+        marks = [a / np.maximum(a.sum(axis=1, keepdims=True), 1e-30)]
+        for begin in range(0, steps - PIECE, PIECE):
+            marks.append(forward_from(marks[-1], begin, begin + PIECE + 1)[-1])
         after = None
-        for t in range(steps - 1, -1, -1):
-            a = alpha[t]
-            if after is not None:
-                k = len(after)
-                ahead = a_emit[x[t + 1, :k]] * after
-                back = ahead @ a_move.T
-                norm = np.maximum((a[:k] * back).sum(axis=1, keepdims=True), 1e-30)
-                ahead /= norm
-                back /= norm
-                move += a[:k].T @ ahead
-                beta = np.ones_like(a)
-                beta[:k] = back
-                alpha[t] = a * beta
-                after = beta
-            else:
-                after = np.ones_like(a)
+        for piece in range(len(marks) - 1, -1, -1):
+            begin = piece * PIECE
+            alpha = forward_from(marks.pop(), begin, min(steps, begin + PIECE))
+            for t in range(begin + len(alpha) - 1, begin - 1, -1):
+                a = alpha[t - begin]
+                if after is not None:
+                    k = len(after)
+                    ahead = a_emit[x[t + 1, :k]] * after
+                    back = ahead @ a_move.T
+                    norm = np.maximum((a[:k] * back).sum(axis=1, keepdims=True), 1e-30)
+                    ahead /= norm
+                    back /= norm
+                    move += a[:k].T @ ahead
+                    beta = np.ones_like(a)
+                    beta[:k] = back
+                    alpha[t - begin] = a * beta
+                    after = beta
+                else:
+                    after = np.ones_like(a)
+            gamma = np.concatenate(alpha)
+            flat = np.concatenate([x[t, : running[t]] for t in range(begin, begin + len(alpha))])
+            for s in range(STATES):
+                emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=SYMBOLS)
         start += alpha[0].sum(axis=0)
-        gamma = np.concatenate(alpha)
-        flat = np.concatenate([x[t, : running[t]] for t in range(steps)])
-        for s in range(STATES):
-            emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=SYMBOLS)
     return start, move * model.move, emit
 
 
@@ -294,10 +307,7 @@ def train_round(rows: DataFrame, model: Model) -> Model:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
         any_rows = False
         for batch in batches:
-            seqs = []
-            for raw in batch.column("syms").to_pylist():
-                s = np.frombuffer(raw, "<u2")
-                seqs += [s[i : i + PIECE] for i in range(0, len(s), PIECE)]
+            seqs = [np.frombuffer(raw, "<u2") for raw in batch.column("syms").to_pylist()]
             if seqs:
                 any_rows = True
                 for total, part in zip((start, move, emit), expected_counts(seqs, shared.value), strict=True):

@@ -82,3 +82,73 @@ def test_awkward_rows(docs, no_docs):
     for r in rows:
         assert tuple(r)[1:6] == by_id[r["doc_id"]] and math.isfinite(r["score"])
     assert hmm.score(no_docs, rounds=1).count() == 0
+
+
+def test_pieces_change_nothing(small, monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 3, n) for n in (1, 7, 40, 41, 95)]
+    whole = hmm.expected_counts(seqs, small)
+    for piece in (1, 2, 10, 40, 95):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        for got, want in zip(hmm.expected_counts(seqs, small), whole):
+            assert np.allclose(got, want, atol=1e-4), piece
+
+
+def test_score_against_plain_recursions(spark):
+    """The whole score: Baum-Welch and the forward recursion in plain float64
+    loops; words of held-out texts alone have a class for a symbol."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(d, " ".join(rng.choice(words, rng.integers(0, 40))) + (f" only{d}" if d % 3 == 0 else "")) for d in range(60)] + [(7, "w1 w2"), (None, "W3 no id")]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+    counts, ends = Counter(), 0
+    for d, t in rows:
+        if not held(d):
+            counts.update(t.lower().split())
+            ends += 1
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    # Every counted word is a symbol of its own, so classes count nothing.
+    symbol = lambda w: order.index(w) if w in counts else hmm.END + 1 + hmm.class_of(w.encode())
+    seqs = [[*(symbol(w) for w in t.lower().split()), hmm.END] for _, t in rows]
+
+    class Given:
+        words = [w.encode() for w in order]
+        symbol_n = np.zeros(hmm.SYMBOLS)
+
+    Given.symbol_n[: len(order)] = [counts[w] for w in order]
+    Given.symbol_n[hmm.END] = ends
+    m = hmm.first_model(Given)
+    start, move, emit = m.start, m.move, m.emit
+    for _ in range(2):
+        s0, mv, em = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.SYMBOLS, hmm.STATES))
+        for (d, _), x in zip(rows, seqs):
+            if held(d):
+                continue
+            alpha, scales = [start * emit[x[0]]], []
+            for t in range(len(x)):
+                if t:
+                    alpha.append((alpha[-1] @ move) * emit[x[t]])
+                scales.append(alpha[-1].sum())
+                alpha[-1] = alpha[-1] / scales[-1]
+            beta = np.ones(hmm.STATES)
+            em[x[-1]] += alpha[-1]
+            for t in range(len(x) - 2, -1, -1):
+                mv += np.outer(alpha[t], emit[x[t + 1]] * beta) * move / scales[t + 1]
+                beta = move @ (emit[x[t + 1]] * beta) / scales[t + 1]
+                em[x[t]] += alpha[t] * beta
+            s0 += alpha[0] * beta
+        start, move, emit = s0 + hmm.TRANSITION_ADD, mv + hmm.TRANSITION_ADD, em + hmm.EMISSION_ADD
+        start, move, emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    want = []
+    for (d, t), x in zip(rows, seqs):
+        a, total = start * emit[x[0]], 0.0
+        for k, s in enumerate(x):
+            a = a if k == 0 else (a @ move) * emit[s]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        unseen = sum(w not in counts for w in t.lower().split())  # the only member of an empty class: ADD / (ADD * 1)
+        want.append((str(d), total + unseen * math.log10(hmm.ADD / (hmm.ADD * 1))))
+    got = [(str(r["doc_id"]), r["score"]) for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2).collect()]
+    assert [d for d, _ in sorted(got)] == [d for d, _ in sorted(want)]
+    for (_, x), (_, y) in zip(sorted(got), sorted(want)):
+        assert x == pytest.approx(y, abs=2e-3)
