@@ -56,6 +56,7 @@ PERCENT = 80  # links: 100 * intersection >= PERCENT * union
 PLACES_BITS, COORDS, BANDS, ROWS = 20, 512, 32, 5
 MIN_ESTIMATE = 0.72
 BLOCK = 1024
+PART = 1000  # texts looked at together
 SEED = 2
 # ---------------------------------------------------------------------------
 # Of 4-bit coordinates one in 16 agrees by chance.
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         for text in text_bytes(batch):
             words = text.lower().split()
             shingles = shingle_set(words, shingle)
-            digest.append(sequence_digest(words))
+            digest.append(sequence_digest(b" ".join(words)))
             n.append(len(shingles))
             sig = signature(shingles) if len(shingles) else None
             bands.append(None if sig is None else band_keys(sig))
@@ -124,8 +125,12 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         cols = [pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *cols], ["doc_id", "version", "digest", "n_shingles", "bands", "sig"])
 
+    def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, PART):  # so that few texts and sets are held at a time
+            yield from over(batch.slice(at, PART))
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_version(F.col("text")).alias("version"))
-    return arrow_map(rows, over, "doc_id long, version long, digest binary, n_shingles long, bands array<long>, sig binary")
+    return arrow_map(rows, in_parts, "doc_id long, version long, digest binary, n_shingles long, bands array<long>, sig binary")
 
 
 def text_version(text: Column) -> Column:
@@ -133,8 +138,8 @@ def text_version(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def sequence_digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def sequence_digest(joined: bytes) -> bytes:
+    return hashlib.blake2b(joined, digest_size=16).digest()
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
@@ -143,11 +148,19 @@ def packed_words(docs: DataFrame) -> DataFrame:
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        texts = [t.lower().split() for t in text_bytes(batch)]
-        cols = [pa.array([sequence_digest(w) for w in texts], pa.binary()), pa.array([pack.compress(b" ".join(w)) for w in texts], pa.binary())]
+        digests, packed = [], []
+        for text in text_bytes(batch):
+            joined = b" ".join(text.lower().split())
+            digests.append(sequence_digest(joined))
+            packed.append(pack.compress(joined))
+        cols = [pa.array(digests, pa.binary()), pa.array(packed, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "digest", "packed"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), over, "doc_id long, digest binary, packed binary")
+    def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, PART):
+            yield from over(batch.slice(at, PART))
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), in_parts, "doc_id long, digest binary, packed binary")
 
 
 def sized(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
