@@ -3,6 +3,8 @@ ranking (F1) and its outputs (A1, A2, A4, A5, A6, E8)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from blobtrail.operators.pairs import minhash_pairs, set_pairs, simhash_pairs
 from blobtrail.operators.ranking import ordered_rank
 from blobtrail.operators import forks as FK
 from blobtrail.operators import history as H
+from blobtrail.operators import query_files as QF
 from blobtrail.operators.metrics import fork_counters
 from blobtrail.plans import q_catalog
 from blobtrail.plans import report as R
@@ -20,6 +23,7 @@ from blobtrail.plans import sqlfrag as S
 from blobtrail.plans.oracle_views import blob_sql, with_views
 from blobtrail.plans.q_history import HINT_PATHS_SQL, PATHS_SQL, PR_SQL, PRIO_SQL, attrs_sql, branch_info, commit_attrs, groups, parts, reach
 from blobtrail.plans.registry import register
+from blobtrail.session import ensure_checkpoint_dir, written
 from blobtrail.sources.testdata import FORK_BLOCK, Repo, fork_targets
 
 K, N, W, P = 5, 5, 4, 128
@@ -99,6 +103,43 @@ FROM sh a JOIN sh b ON a.rep < b.rep WHERE 1 - bit_count(xor(a.u, b.u)) / 64.0 >
 )(lambda repo: _sim_join(repo, "simhash"))
 
 
+_SIMHASH_PAIRS_SQL = (
+    f"WITH {_CONTENTS_SQL}, src AS (SELECT rep, {_TOK} AS tok FROM c),"
+    + S.simhash_cte("src", "rep", "tok").lstrip()
+    + f""",
+p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, round(1 - bit_count(xor(a.u, b.u)) / 64.0, 6) AS score
+      FROM sh a JOIN sh b ON a.rep < b.rep WHERE 1 - bit_count(xor(a.u, b.u)) / 64.0 >= {THRESHOLDS['simhash']})"""
+)
+NARROWER = 61 / 64  # a score that pairs reach exactly
+
+
+def _simhash_pairs(repo: Repo) -> DataFrame:
+    return repo.memo("simhash pairs", lambda: written(_sim_join(repo, "simhash")))
+
+
+@register("threshold_filter_pairs", "C4", _SIMHASH_PAIRS_SQL + f"\nSELECT doc_a, doc_b, score FROM p WHERE score >= {NARROWER}")
+def q_threshold_pairs(repo: Repo) -> DataFrame:
+    """Similar pairs filtered at a score that many of them have exactly; the
+    limit is inclusive."""
+    return _simhash_pairs(repo).where(F.col("score") >= NARROWER)
+
+
+@register(
+    "rank_similar",
+    "F1",
+    _SIMHASH_PAIRS_SQL
+    + """,
+b AS (SELECT doc_a AS doc, doc_b AS other, score FROM p UNION ALL SELECT doc_b, doc_a, score FROM p)
+SELECT doc, other, score, row_number() OVER (PARTITION BY doc ORDER BY score DESC, other) AS rank FROM b""",
+)
+def q_rank_similar(repo: Repo) -> DataFrame:
+    """The similar contents of every content, best first, ties in the order of
+    the other's id; few scores, so most ranks are ties."""
+    p = _simhash_pairs(repo)
+    both = p.select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other"), "score").unionByName(p.select(F.col("doc_b").alias("doc"), F.col("doc_a").alias("other"), "score"))
+    return ordered_rank(both, ["doc"], [-F.col("score"), F.col("other")])
+
+
 # --- D8 cascade -----------------------------------------------------------------
 
 
@@ -314,6 +355,22 @@ def q_read_query_files(repo: Repo) -> DataFrame:
     return q.select("query_id", F.octet_length("content_lf").alias("n_bytes"), "blob_norm")
 
 
+@register(
+    "read_landed_files",
+    "A1",
+    f"""SELECT query_id, octet_length(encode(lf)) AS length, {blob_sql('lf')} AS blob_norm FROM (
+  SELECT doc_id AS query_id, text || chr(10) AS lf FROM documents)""",
+)
+def q_read_landed(repo: Repo) -> DataFrame:
+    """Every document landed as a file of its own (Spark's text files end in a
+    line feed) and read back against the manifest of these files."""
+    folder = f"{ensure_checkpoint_dir(repo.spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    repo.table("documents").select("text", "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    listed = QF.landed_files(repo.spark, folder).select("path").where(F.col("path").endswith(".txt"))
+    manifest = listed.select(F.regexp_extract("path", "^doc_id=([0-9]+)/", 1).cast("long").alias("query_id"), "path")
+    return QF.read_query_files(repo.spark, manifest, folder).select("query_id", "length", "blob_norm")
+
+
 @register(
     "read_file_versions",
     "A2",
