@@ -214,14 +214,16 @@ def _spans(out: list[list]) -> pa.RecordBatch:
 
 def heavy_spans(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     """Spans of the windows among ``rows`` that smaller documents hold, by the
-    broadcast automaton of ``heavy`` (words, first: at most ``HEAVY`` rows)."""
-    shard = rows.sparkSession.sparkContext.broadcast(sorted((r["first"], bytes(r["words"])) for r in heavy.collect()))
+    broadcast automaton of ``heavy`` (route, words, first: at most ``HEAVY``
+    rows); rows of other routes pass by."""
+    shard = rows.sparkSession.sparkContext.broadcast(sorted((r["first"], r["route"], bytes(r["words"])) for r in heavy.collect()))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton()
-        for first, raw in shard.value:
+        automaton, routes = Automaton(), np.array([route for _, route, _ in shard.value], np.int64)
+        for first, _, raw in shard.value:
             automaton.add(raw.split(), first)
         for batch in batches:  # a document's windows lie together and give one row
+            batch = batch.filter(pa.array(np.isin(batch.column("route").to_numpy(), routes)))
             held: dict[tuple[int, bytes], list[int]] = {}
             for doc, version, starts, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "starts", "words")), strict=True):
                 (first,) = automaton.first_docs(raw.split())
@@ -230,7 +232,7 @@ def heavy_spans(rows: DataFrame, heavy: DataFrame) -> DataFrame:
             if held:
                 yield _spans([[d for d, _ in held], [v for _, v in held], list(held.values()), [1] * len(held)])
 
-    return rows.select("doc_id", "version", "starts", "words").mapInArrow(stream, SPAN)
+    return rows.select("route", "doc_id", "version", "starts", "words").mapInArrow(stream, SPAN)
 
 
 class Shard:
@@ -331,11 +333,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     refs = twice.where(~is_heavy).join(routes, "route", "left_anti").select(
         "route", F.lit(REFERENCE).alias("kind"), F.col("first").alias("doc_id"), F.lit(None).cast("binary").alias("version"), F.array().cast("array<int>").alias("starts"), "words"
     )
-    by_route = hot.join(routes, "route", "left_semi")
     # A route shared with a heavy window by chance goes through the same
     # automaton, which then has to know its other windows too.
     beside = twice.where(~is_heavy).join(routes, "route", "left_semi")
-    spans = repeated_spans(light.select(*refs.columns).unionByName(refs)).unionByName(heavy_spans(by_route, heavy.unionByName(beside)))
+    spans = repeated_spans(light.select(*refs.columns).unionByName(refs)).unionByName(heavy_spans(hot, heavy.unionByName(beside)))
     per_row = spans.groupBy("doc_id").agg(F.collect_list(F.struct("version", "starts", "windows")).alias("spans")).join(own, "doc_id", "right")
 
     def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
