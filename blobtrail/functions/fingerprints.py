@@ -2,10 +2,13 @@
 scores E1, E3, E5 as column expressions.
 
 64-bit unsigned values are carried as signed ``long`` holding the same bits.
-MinHash needs wrapping unsigned 64-bit multiply, which ANSI-mode ``long``
-arithmetic refuses, so it runs as an Arrow-batched numpy UDF over each row's
-shingle-hash array (vectorised per row, no per-shingle Python). SimHash and
-winnowing are higher-order array expressions, row-local, no shuffle."""
+MinHash needs a wrapping unsigned 64-bit multiply, which ANSI-mode ``long``
+arithmetic refuses. ``minhash_terms`` states it by limbs that never overflow,
+as minima over exploded hashes (generated JVM code; ``with_minhash`` in
+``fingerprint_tables`` is its table form); ``minhash_signature`` is the same as
+an Arrow-batched numpy UDF over each row's hash array, where a column expression
+is wanted. SimHash and winnowing are higher-order array expressions, row-local,
+no shuffle."""
 
 from __future__ import annotations
 
@@ -68,6 +71,37 @@ def minhash_signature(hashes: Column, num_perm: int = DEFAULT_PERM) -> Column:
     return _sig(hashes)
 
 
+# Limbs of a hash ``x``, 16 bits each, lowest first.
+LIMBS = ["x0", "x1", "x2", "x3"]
+_LOW, _SIGN = (1 << 32) - 1, 1 << 31
+
+
+def minhash_limbs(x: Column) -> list[Column]:
+    return [F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")).alias(c) for i, c in enumerate(LIMBS)]
+
+
+def minhash_terms(first: int, last: int, num_perm: int) -> list[Column]:
+    """(a*x + b) mod 2^64 of permutations first to last, from the columns LIMBS,
+    with the sign bit turned, so that signed order is unsigned order. With a in
+    halves of 32 bits and x in limbs of 16, no product reaches 2^48."""
+    x0, x1, x2, x3 = (F.col(c) for c in LIMBS)
+    word = lambda v: F.lit(v).cast("long")
+    out = []
+    for a, b in list(zip(*minhash_params(num_perm), strict=True))[first:last]:
+        al, ah = word(a & _LOW), word(a >> 32)
+        p0, p1 = al * x0, al * x1
+        low = p0.bitwiseAND(word(_LOW)) + F.shiftleft(p1.bitwiseAND(word(0xFFFF)), 16) + word(b & _LOW)
+        top = F.shiftleft((al * x3 + ah * x1).bitwiseAND(word(0xFFFF)), 16)
+        high = F.shiftright(p0, 32) + F.shiftright(p1, 16) + al * x2 + ah * x0 + top + word(b >> 32) + F.shiftright(low, 32)
+        out.append(F.shiftleft(high.bitwiseAND(word(_LOW)) - word(_SIGN), 32).bitwiseOR(low.bitwiseAND(word(_LOW))))
+    return out
+
+
+def minhash_value(least: Column) -> Column:
+    """The signature value of a least term (null, of an empty set: 0)."""
+    return F.coalesce(least.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), F.lit(0).cast("long"))
+
+
 def minhash_similarity(a: Column, b: Column) -> Column:
     """Share of equal positions over the shorter signature."""
     n = F.least(F.size(a), F.size(b))

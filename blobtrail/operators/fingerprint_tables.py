@@ -12,9 +12,25 @@ from blobtrail.functions import fingerprints as fp
 from blobtrail.functions import tokens as tk
 from blobtrail.session import written
 
+MINIMA = 32  # minima of one aggregation, so that its code stays compiled
 MODES = ("jaccard", "charjaccard", "minhash", "simhash", "winnow")
 
 
+def with_minhash(df: DataFrame, hashes_col: str, out: str, num_perm: int = fp.DEFAULT_PERM) -> DataFrame:
+    """Adds ``out``: the E2 signature of the hashes in ``hashes_col``, as
+    minima over exploded hashes. A row's hashes lie in one task, so the partial
+    aggregation leaves one row each before anything is shuffled."""
+    num_perm = max(1, int(num_perm))
+    rows = written(df.withColumn("_rid", F.monotonically_increasing_id()))  # ids are fixed from here on
+    limbs = rows.select("_rid", F.explode(hashes_col).alias("x")).select("_rid", *fp.minhash_limbs(F.col("x")))
+    names = [f"_m{i}" for i in range(num_perm)]
+    for first in range(0, num_perm, MINIMA):
+        last = min(num_perm, first + MINIMA)
+        least = [F.min(term).alias(name) for term, name in zip(fp.minhash_terms(first, last, num_perm), names[first:last], strict=True)]
+        rows = rows.join(limbs.groupBy("_rid").agg(*least), "_rid", "left")
+    return rows.withColumn(out, F.array(*[fp.minhash_value(F.col(n)) for n in names])).drop("_rid", *names)
+
+
 def with_fingerprint(
     df: DataFrame,
     text_col: str,
@@ -46,7 +62,7 @@ def with_fingerprint(
         res = res.withColumn(out, F.transform(fp.winnow_from_hex("_hx", window), lambda h: tk.hex_to_long(h))).drop("_hx")
     elif mode == "minhash":
         hashes = F.transform(tk.shingle_set(F.col("_tok"), k), lambda s: tk.hash64(s))
-        res = tmp.withColumn("_h", hashes).withColumn(out, fp.minhash_signature(F.col("_h"), max(1, int(num_perm)))).drop("_h")
+        res = with_minhash(tmp.drop(text_col).withColumn("_h", hashes).drop("_tok"), "_h", out, num_perm).drop("_h")
     else:  # simhash
         res = tk.with_array(tmp, "_h", F.transform(F.col("_tok"), lambda s: tk.hash64(s)))
         res = res.withColumn(out, fp.simhash64("_h")).drop("_h")

@@ -4,9 +4,8 @@ F5 offset/limit window, F6 unique remote names, G3 upstream of a fork.
 
 Lists are read whole unless ``max_forks`` is given (a run that will select
 ``limit`` forks from ``offset`` on needs no more than offset + limit; the
-limit is at most 99). Positions are numbered without gathering a target's list
-in one task. F6 folds the selected forks of a target in order; its list is
-bounded by the limit."""
+limit is at most 99). Positions and names are numbered without gathering a
+target's list in one task."""
 
 from __future__ import annotations
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from blobtrail.functions.text_format import sanitize_remote_name
 from blobtrail.operators.ranking import ordered_rank
+from blobtrail.session import written
 
 # --- fixed values (the hosting API's paging and the reference's limits) -----
 PER_PAGE = 100
@@ -109,37 +109,52 @@ def usable_forks(selected: DataFrame, target_repo: Column) -> DataFrame:
     )
 
 
+NUMBERED = r"^(.*)_([1-9][0-9]{0,8})$"  # a name as the n-th choice of another base
+
+
 def unique_remote_names(usable: DataFrame, existing: DataFrame) -> DataFrame:
     """remote name ``fork_<owner>_<repo>`` made safe; on a clash with an
     existing remote or an earlier fork of the same target, the first free
-    ``<base>_1``, ``<base>_2``, ... (safe again). The per-target list is
-    bounded (limit <= 99), so it is folded in order with ``aggregate``.
-
-    ``usable``: (target, pos, owner_login, repo_name, ...);
-    ``existing``: (target, remote) names already present."""
+    ``<base>_1``, ``<base>_2``, ... (at most 200 characters).
+
+    Forks of one base take its free numbers in order, so the k-th fork has the
+    k-th number that nobody else holds: a rank, however many forks there are.
+    Numbers are held by existing remotes, and by a fork whose own base reads
+    like a numbered one (``x_3`` beside ``x``). Such a name goes to the earlier
+    of that base's first fork and the one that ``x`` would give it to; these
+    contests are settled in rounds, the lowest open number of each base whose
+    own name is settled. Only contests take rounds, all bases at once.
+
+    ``usable``: (target, pos, owner_login, repo_name, ...), pos unique in a
+    target; ``existing``: (target, remote) names already present."""
     base = sanitize_remote_name(F.concat(F.lit("fork_"), F.col("owner_login"), F.lit("_"), F.col("repo_name")))
-    items = usable.select("target", F.struct("pos", base.alias("base")).alias("it"))
-    lists = items.groupBy("target").agg(F.array_sort(F.collect_list("it")).alias("its"))
-    ex = existing.groupBy("target").agg(F.collect_set("remote").alias("used0"))
-    j = lists.join(ex, "target", "left").withColumn("used0", F.coalesce("used0", F.array().cast("array<string>")))
-
-    def step(acc: Column, it: Column) -> Column:
-        used = acc["used"]
-        cands = F.transform(
-            F.sequence(F.lit(0), F.size(used) + 1),
-            lambda i: F.when(i == 0, it["base"]).otherwise(
-                F.substring(F.concat(it["base"], F.lit("_"), i.cast("string")), 1, 200)
-            ),
-        )
-        name = F.filter(cands, lambda c: ~F.array_contains(used, c))[0]
-        return F.struct(
-            F.concat(used, F.array(name)).alias("used"),
-            F.concat(acc["out"], F.array(F.struct(it["pos"].alias("pos"), name.alias("remote")))).alias("out"),
-        )
-
-    zero = F.struct(F.col("used0").alias("used"), F.array().cast("array<struct<pos:bigint,remote:string>>").alias("out"))
-    folded = j.select("target", F.aggregate("its", zero, step)["out"].alias("out"))
-    names = folded.select("target", F.explode("out").alias("o")).select("target", "o.pos", "o.remote")
+    key = ["target", "base"]
+    items = ordered_rank(usable.select("target", "pos", base.alias("base")), key, [F.col("pos")], "_k")
+    items = written(items.select(*key, "pos", (F.col("_k") - 1).alias("k")))
+    bases = written(items.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")))
+    present = existing.select("target", F.col("remote").alias("name")).where("name IS NOT NULL").distinct()
+    stem, number = F.regexp_extract("name", NUMBERED, 1).alias("base"), F.regexp_extract("name", NUMBERED, 2)
+    numbered = number != ""
+    as_number = number.cast("long").alias("j")
+    held = present.select("target", F.col("name").alias("base"), F.lit(0).cast("long").alias("j")).unionByName(present.where(numbered).select("target", stem, as_number))
+    held = written(held.join(bases.select(*key), key, "left_semi").distinct())
+    named = bases.select("target", F.col("base").alias("name"), "first").where(numbered).join(present, ["target", "name"], "left_anti")
+    open_ = written(named.select("target", stem, as_number, F.col("name").alias("child"), "first").join(bases.select(*key), key, "left_semi"))
+    while not open_.isEmpty():
+        unsettled = open_.select("target", F.col("child").alias("base"))
+        lowest = open_.join(unsettled, key, "left_anti").groupBy(*key).agg(F.min(F.struct("j", "child", "first")).alias("c")).select(*key, "c.*")
+        below = held.withColumnRenamed("j", "_j")
+        free = lowest.join(below, key, "left").groupBy(*key, "j", "child", "first").agg(F.count_if(F.col("_j") < F.col("j")).alias("_held"))
+        taker = free.withColumn("k", F.col("j") - F.col("_held")).join(items, [*key, "k"], "left")
+        wins = F.col("pos").isNull() | (F.col("first") < F.col("pos"))
+        settled = written(taker.select("target", F.when(wins, F.col("base")).otherwise(F.col("child")).alias("base"), F.when(wins, F.col("j")).otherwise(0).alias("j"), "child"))
+        held = written(held.unionByName(settled.select(*key, "j")))
+        open_ = written(open_.join(settled.select("target", "child"), ["target", "child"], "left_anti"))
+    sizes = bases.join(held.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key, "left")
+    numbers = sizes.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.coalesce("m", F.lit(0)) - 1)).alias("j")).join(held, [*key, "j"], "left_anti")
+    given = ordered_rank(numbers, key, [F.col("j")], "_k").select(*key, "j", (F.col("_k") - 1).alias("k"))
+    name = F.when(F.col("j") == 0, F.col("base")).otherwise(F.substring(F.concat("base", F.lit("_"), F.col("j").cast("string")), 1, 200))
+    names = items.join(given, [*key, "k"]).select("target", "pos", name.alias("remote"))
     return usable.join(names, ["target", "pos"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import BinaryType
 from blobtrail.functions import content as C
 from blobtrail.functions import fingerprints as FP
 from blobtrail.functions import tokens as T
+from blobtrail.operators.fingerprint_tables import with_minhash
 from blobtrail.plans import sqlfrag as S
 from blobtrail.plans.oracle_views import blob_sql, with_views
 from blobtrail.plans.registry import register
@@ -183,7 +184,7 @@ def doc_fingerprint(repo: Repo, kind: str) -> DataFrame:
         d = T.with_array(d, "th", F.transform("tok", lambda s: T.hash64(s)))
         d = d.withColumn("fp", FP.simhash64("th"))
     else:
-        d = d.withColumn("fp", FP.minhash_signature(F.transform(T.shingle_set(F.col("tok"), K), lambda s: T.hash64(s)), P))
+        d = with_minhash(d.select("doc_id", F.transform(T.shingle_set(F.col("tok"), K), lambda s: T.hash64(s)).alias("h")), "h", "fp", P)
     return d.select("doc_id", "fp")
 
 
