@@ -62,7 +62,8 @@ def with_fingerprint(
         res = res.withColumn(out, F.transform(fp.winnow_from_hex("_hx", window), lambda h: tk.hex_to_long(h))).drop("_hx")
     elif mode == "minhash":
         hashes = F.transform(tk.shingle_set(F.col("_tok"), k), lambda s: tk.hash64(s))
-        res = with_minhash(tmp.drop(text_col).withColumn("_h", hashes).drop("_tok"), "_h", out, num_perm).drop("_h")
+        # The numpy form: a tenth of the time of with_minhash (README).
+        res = tmp.withColumn("_h", hashes).withColumn(out, fp.minhash_signature(F.col("_h"), max(1, int(num_perm)))).drop("_h")
     else:  # simhash
         res = tk.with_array(tmp, "_h", F.transform(F.col("_tok"), lambda s: tk.hash64(s)))
         res = res.withColumn(out, fp.simhash64("_h")).drop("_h")
