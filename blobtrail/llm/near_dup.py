@@ -321,10 +321,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays; rows without an id stay."""
     gone = judged(docs, STAGE_SHINGLE).where(~F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_text")).distinct()
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-    left = row.withColumn("_version", text_version(F.col("_text")))
-    left = left.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_version") == F.col("_gone_text")), "left_anti").drop("_version")
-    named = left.where("_id IS NOT NULL").dropDuplicates(["_id", "_text"])
+    # Rows meet by (id, text) in one exchange, the text in it once; two hashes
+    # stand for the text among the rows of one id.
+    version = [text_version(F.col("text")).alias("_version"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("_check")]
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), *version)
+    left = row.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_version") == F.col("_gone_text")), "left_anti")
+    named = left.where("_id IS NOT NULL").dropDuplicates(["_id", "_version", "_check"])
     return named.unionByName(left.where("_id IS NULL")).select("_row.*")
 
 
