@@ -46,7 +46,7 @@ ROUNDS = 4
 TOP, CLASSES, KNOWN = 32_768, 255, 131_072
 ADD = 0.1  # smoothing of word counts, in the base score and inside classes
 EMISSION_ADD, TRANSITION_ADD = 0.01, 1.0
-PIECE = 4096  # steps between the forward messages that are kept
+PIECE = 1 << 14  # steps between the forward messages that are kept
 CELLS = 1_000_000  # of one expectation step's arrays
 FLUSH_WORDS = 400_000
 BLOCK = 2048  # symbols of a row of expected counts
