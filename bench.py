@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from blobtrail.plans import registry  # noqa: E402
-from blobtrail.session import local_session  # noqa: E402
+from blobtrail.session import drop_written, local_session  # noqa: E402
 
 HEADLINE = [
     "blob_id",
@@ -43,6 +43,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in HEADLINE:
         registry.forget()
+        drop_written(spark)
         t0 = time.time()
         df = registry.run(name, spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()

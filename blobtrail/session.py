@@ -51,10 +51,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Paths of the tables written, by application, until they are dropped.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage by a compressed Parquet table in the shared folder, which
     survives a lost executor; later plans' scans prune columns."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` made in this application, and tells
+    how many. For when no DataFrame that reads them is needed any more, as
+    after a job has saved its results."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

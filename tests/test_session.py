@@ -1,7 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from blobtrail import session
 from blobtrail.operators.pairs import minhash_pairs, set_pairs, simhash_pairs
+from blobtrail.plans import registry
 from blobtrail.session import ensure_checkpoint_dir, written
 
 
@@ -21,3 +25,13 @@ def test_thresholds_outside_the_range_are_refused(spark, threshold):
     for join in (lambda: set_pairs(df, None, threshold), lambda: minhash_pairs(df, None, threshold, 1, sig="items"), lambda: simhash_pairs(df, None, threshold)):
         with pytest.raises(ValueError):
             join()
+
+
+def test_written_tables_can_be_dropped(spark):
+    registry.forget()  # what it holds may read such tables
+    session.drop_written(spark)
+    table = session.written(spark.range(5))
+    path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert table.count() == 5 and os.path.isdir(path)
+    assert session.drop_written(spark) == 1 and not os.path.exists(path)
+    assert session.drop_written(spark) == 0
