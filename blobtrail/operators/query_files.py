@@ -4,16 +4,26 @@ The folder is read with the ``binaryFile`` source, whose columns are pruned:
 which files are there, and how long, is known from the listing alone, so a
 listed file that is missing is found by an anti-join before any content is
 read, and lengths never read one. Contents come from the join of the manifest
-with the files, one shuffle by path."""
+with the files, one shuffle by path.
+
+``land_texts`` writes such a folder: its tasks write the files themselves, as
+Spark's writer takes a directory, a committed task file and a move by the driver
+for each of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blobtrail.operators.cascade import prepare_queries
 
 SHOWN = 20  # missing paths named in an error
+FOLDERS = 256  # that landed files are dealt to, so that they are listed in parallel
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -23,6 +33,46 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return str(path.getFileSystem(conf).makeQualified(path)).rstrip("/")
 
 
+def landed_path(key: Column) -> Column:
+    """Where ``land_texts`` puts the texts of an id."""
+    at = F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(key), F.lit(FOLDERS))), 2, "0"))
+    return F.concat(at, F.lit("/id="), F.coalesce(key.cast("string"), F.lit("")), F.lit(".txt"))
+
+
+def land_texts(texts: DataFrame, folder: str) -> int:
+    """Lands (id, text) as a file ``landed_path(id)`` per id below ``folder``, a
+    plain path or file URL that all executors share; every text ends in a line
+    feed, the texts of one id share its file. A file is moved into place whole,
+    so a task that is tried again writes the same. Gives the number of files."""
+    root = folder.removeprefix("file://").removeprefix("file:")
+    if ":/" in root:
+        raise ValueError(f"give the path of a folder that all executors share, not {folder!r}")
+
+    def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, temp, n = None, None, "", 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                os.replace(temp, os.path.join(root, now))
+
+        for batch in batches:
+            for path, text in zip(*(batch.column(c).to_pylist() for c in ("path", "text")), strict=True):
+                if path != now:
+                    close()
+                    now, n = path, n + 1
+                    at = os.path.join(root, os.path.dirname(path))
+                    os.makedirs(at, exist_ok=True)
+                    temp = os.path.join(at, f".{uuid.uuid4().hex}")
+                    out = open(temp, "wb")  # noqa: SIM115
+                out.write((text or "").encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    dealt = texts.select(landed_path(F.col("id")).alias("path"), "text").repartition("path").sortWithinPartitions("path")
+    return dealt.mapInArrow(land, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def landed_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified, content) of every file below ``folder``, path
     relative to it. Columns that aren't asked for aren't read."""

@@ -51,3 +51,18 @@ def test_lengths_and_the_check_read_no_content(spark, tmp_path):
 @pytest.fixture(scope="module")
 def sample_texts(spark):
     return {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def test_texts_land_from_tasks_without_a_directory_each(spark, tmp_path):
+    rows = [(k, None if k == 3 else f"text {k}\r\nä") for k in range(40)] + [(7, "again")]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    for _ in range(2):  # landed again, the files are the same
+        assert QF.land_texts(texts, f"file:{tmp_path}/in") == 40
+    files = [os.path.relpath(os.path.join(d, f), f"{tmp_path}/in") for d, _, fs in os.walk(f"{tmp_path}/in") for f in fs]
+    assert len(files) == 40 and all(len(f.split("/")[0]) == 2 for f in files)
+    manifest = texts.select(F.col("id").alias("query_id"), QF.landed_path(F.col("id")).alias("path")).distinct()
+    got = {r.query_id: bytes(r.content) for r in QF.read_query_files(spark, manifest, f"{tmp_path}/in").collect()}
+    assert got.keys() == set(range(40)) and got[3] == b"\n"
+    assert sorted(got[7].split(b"\n")) == sorted([b"text 7\r", "ä".encode(), b"again", b""])
+    with pytest.raises(ValueError):
+        QF.land_texts(texts, "hdfs://host/in")
