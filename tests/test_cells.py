@@ -1,9 +1,12 @@
 """Pairs checked in cells against a join of whole rows; texts of both sides
-have their fingerprint made once."""
+have their fingerprint made once; shingle keys straight from texts."""
 
 import random
 
+import bruteforce as BF
 import pytest
+from blobtrail.functions import fingerprints as FP
+from blobtrail.functions import tokens as TK
 from blobtrail.operators import cascade as CS
 from blobtrail.operators import pairs as P
 from blobtrail.operators import tiles as TI
@@ -64,3 +67,34 @@ def test_equal_texts_of_both_sides_have_one_fingerprint(spark, monkeypatch):
         k = int(r.key[1:])
         if k < 20 and k != 3:
             assert tuple(r.fp) == fp[f"q{k}"]
+
+
+TEXTS = [
+    "", None, "one", "HTTPServer42 aB Bc ABc ABCd a1B2 snake_case X", "XY", "XYz", "xY", "9lives", "é", "naïve ＦＵＬＬ width ﬁne ① x²",
+    "a b c d e f a b c d e f", "a" * 8, "a" * 9, "a" * 17 + " " + "a" * 16, "B" * 40 + "c", "\0a\0 b", "end A", "A", "x" * 5000 + "Y",
+]
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_shingle_keys_of_texts(spark, monkeypatch, k):
+    rng = random.Random(8)
+    texts = TEXTS + ["".join(rng.choice("aaBC1 _é") for _ in range(rng.randrange(60))) for _ in range(300)]
+    monkeypatch.setattr(FP, "SLICE", 200)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    got = {r.k: r.s for r in df.select("k", FP.shingle_keys_of_text(TK.nfkc(F.col("text")), k).alias("s")).collect()}
+    key_of = {}
+    for i, t in enumerate(texts):
+        want = set(BF.shingles(BF.tokens(t or ""), k)) if t else set()
+        assert len(got[i]) == len({*got[i]}) == len(want), t
+        for s in want:  # a shingle has the same key wherever it stands
+            key_of.setdefault(s, set(got[i]))
+            key_of[s] &= set(got[i])
+    assert all(key_of.values()) and len({x for v in got.values() for x in v}) == len(key_of)
+
+
+def test_jaccard_sets_need_no_token_arrays(spark, monkeypatch):
+    from blobtrail.operators import fingerprint_tables as FT
+
+    monkeypatch.setattr(FT, "written", lambda df: df)
+    df = FT.with_fingerprint(spark.createDataFrame([(1, "a b")], "k int, text string"), "text", "jaccard")
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
