@@ -95,8 +95,11 @@ def find_renames(diff: DataFrame, contents: DataFrame, threshold: float = RENAME
     texts = contents.select("blob_id", "content").dropDuplicates(["blob_id"]).join(wanted, "blob_id", "left_semi")
     texts = texts.select("blob_id", decode_ignore(normalize_lf(F.col("content"), kind), kind).alias("text"))
     sets = with_fingerprint(texts, "text", "jaccard", k=shingle_size).select("blob_id", "fp")
-    side = lambda df, path: df.join(sets, "blob_id").select("edge", F.col(path).alias("key"), "fp")
-    scored = set_pairs(side(removed, "old_path"), side(added, "path"), threshold, items="fp", block="edge")
+    # One table of both sides, as the join reads them several times and each time
+    # would move all sets.
+    rows = lambda df, path, old: df.select("blob_id", "edge", F.col(path).alias("key"), F.lit(old).alias("old"))
+    held = written(rows(removed, "old_path", True).unionByName(rows(added, "path", False)).join(sets, "blob_id").select("edge", "key", "old", "fp"))
+    scored = set_pairs(held.where("old").drop("old"), held.where("NOT old").drop("old"), threshold, items="fp", block="edge")
     similar = best_pairs(scored.select("edge", F.col("l_key").alias("old_path"), F.col("r_key").alias("path"), "score"))
     similar = similar.join(removed.select("edge", "old_path", F.col("blob_id").alias("old_blob")), ["edge", "old_path"]).join(added.select("edge", "path", "blob_id"), ["edge", "path"])
     every = similar.withColumn("how", F.lit("similar"))

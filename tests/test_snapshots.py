@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -109,3 +110,25 @@ def test_touching_follows_renames_that_were_found(spark):
     changes = SN.as_changes(diff, SN.find_renames(diff, v), log)
     paths = spark.createDataFrame([("k", "new.txt", 0)], "k string, path string, path_rank int")
     assert sorted(r.commit_id for r in H.commits_touching(paths, changes, key="k").collect()) == [1, 2, 3]
+
+
+def test_trees_and_sets_move_each_text_once(spark, tmp_path, monkeypatch):
+    from blobtrail.sources.testdata import Repo
+
+    texts = spark.createDataFrame([(k, f"text number {(k or 0) // 2} of the files") for k in [*range(90), 7, 130, None]], "doc_id long, text string")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    trees = Repo(spark, str(tmp_path)).trees()
+    plan = trees._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftSemi" in line)
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    inside = [x for x in itertools.takewhile(lambda x: deep(x) > deep(plan[at]), plan[at + 1 :]) if "Relation" not in x]
+    assert inside and not any("text#" in x for x in inside)
+    ids = [*range(90), 7, 130]
+    want = [k + 20 * age for k in ids for age in range(4) if k + 20 * age in set(ids) for _ in range(2 if k % 5 == 0 else 1)]
+    assert sorted(r.commit_id for r in trees.collect()) == sorted(want)
+    seen, plain = [], SN.set_pairs
+    monkeypatch.setattr(SN, "set_pairs", lambda l, r, *a, **kw: (seen.extend([l, r]), plain(l, r, *a, **kw))[1])
+    v = versions(spark, [(1, "a", "one two three four five six"), (2, "b", "one two three four five seven"), (1, "c", "z")])
+    diff = SN.tree_changes(v, spark.createDataFrame([(2, 1)], "commit_id long, parent_id long"))
+    assert [(r.old_path, r.path, r.how) for r in SN.find_renames(diff, v, 0.3, 3).collect()] == [("a", "b", "similar")]
+    assert seen and not any("Join" in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
