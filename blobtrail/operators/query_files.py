@@ -1,10 +1,14 @@
 """A1: query files landed in a folder, read against a manifest.
 
-The folder is read with the ``binaryFile`` source, whose columns are pruned:
-which files are there, and how long, is known from the listing alone, so a
-listed file that is missing is found by an anti-join before any content is
-read, and lengths never read one. Contents come from the join of the manifest
-with the files, one shuffle by path.
+Where all executors share the folder as files, tasks open the files that the
+manifest names, after a look for missing ones: nothing is listed, so no process
+holds the names of all files, and no content is shuffled.
+
+Any other store is read with the ``binaryFile`` source, whose columns are pruned:
+which files are there, and how long, is known from the listing alone (which the
+driver holds), so a listed file that is missing is found by an anti-join before
+any content is read, and lengths never read one. Contents come from the join of
+the manifest with the files, one shuffle by path.
 
 ``land_texts`` writes such a folder: its tasks write the files themselves, as
 Spark's writer takes a directory, a committed task file and a move by the driver
@@ -19,11 +23,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from blobtrail.operators.cascade import prepare_queries
 
 SHOWN = 20  # missing paths named in an error
 FOLDERS = 256  # that landed files are dealt to, so that they are listed in parallel
+READ_BYTES = 1 << 24  # of contents given at a time, or a single file
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -101,16 +107,60 @@ def missing(spark: SparkSession, paths: DataFrame, folder: str, most: int) -> li
     return out
 
 
+def _place(root: str, path: str | None) -> str | None:
+    """Where a path of the manifest lies; null where it isn't below the root."""
+    at = None if path is None else os.path.normpath(os.path.join(root, path))
+    return at if at and at.startswith(f"{os.path.normpath(root)}/") else None
+
+
+def missing_of(manifest: DataFrame, root: str, most: int) -> list[str]:
+    """The first ``most`` paths of the manifest that are no file below the folder
+    ``root``, which all executors share; looked for by the tasks."""
+
+    def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(at := _place(root, path)) is not None and os.path.isfile(at) for path in batch.column("path").to_pylist()]
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+    paths = manifest.select("path").mapInArrow(gone, "path string").distinct().orderBy("path").limit(most)
+    return [str(r["path"]) for r in paths.collect()]
+
+
+def with_contents(manifest: DataFrame, root: str) -> DataFrame:
+    """The manifest with ``length`` and ``content`` of its files below the folder
+    ``root``, which all executors share; the tasks that hold its rows read them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, first, held, size = batch.column("path").to_pylist(), 0, [], 0
+            for i, path in enumerate(paths, 1):
+                with open(_place(root, path) or "", "rb") as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= READ_BYTES or i == len(paths):
+                    rows = batch.slice(first, i - first)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(map(len, held), pa.int64()), pa.array(held, pa.binary())], [*rows.schema.names, "length", "content"])
+                    first, held, size = i, [], 0
+
+    given = manifest.select("path", *[c for c in manifest.columns if c != "path"])
+    return given.mapInArrow(read, StructType([*given.schema.fields, StructField("length", LongType()), StructField("content", BinaryType())]))
+
+
 def read_query_files(spark: SparkSession, manifest: DataFrame, folder: str, crlf: bool = False) -> DataFrame:
     """The files that ``manifest`` (query_id, path, …) lists, with their
     LF-normalised content and ids as ``prepare_queries`` gives them, and
     ``length`` as landed. Raises FileNotFoundError, naming paths, where a
     listed file is missing or a row has no path. Files that aren't listed are
     left alone; a file listed twice is two queries; an empty file is one."""
-    files = landed_files(spark, folder)
-    gone = missing(spark, unscanned(manifest, files), folder, SHOWN + 1)
+    root = qualified(spark, folder)
+    if root.startswith("file:"):
+        root = root.removeprefix("file://").removeprefix("file:")
+        gone, found = missing_of(manifest, root, SHOWN + 1), with_contents(manifest, root)
+    else:
+        files = landed_files(spark, folder)
+        gone = missing(spark, unscanned(manifest, files), folder, SHOWN + 1)
+        found = manifest.join(files.select("path", "length", "content"), "path", "left")
     if gone:
         raise FileNotFoundError(f"listed but not in {folder}: {', '.join(gone[:SHOWN])}{' and more' if len(gone) > SHOWN else ''}")
-    found = manifest.join(files.select("path", "length", "content"), "path", "left")
     found = found.withColumn("length", F.coalesce("length", F.lit(0).cast("long"))).withColumn("content", F.coalesce("content", F.lit(b"")))
     return prepare_queries(found, crlf)

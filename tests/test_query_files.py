@@ -66,3 +66,19 @@ def test_texts_land_from_tasks_without_a_directory_each(spark, tmp_path):
     assert sorted(got[7].split(b"\n")) == sorted([b"text 7\r", "ä".encode(), b"again", b""])
     with pytest.raises(ValueError):
         QF.land_texts(texts, "hdfs://host/in")
+
+
+def test_shared_files_are_not_listed(spark, tmp_path, monkeypatch):
+    """Tasks open what the manifest names; no file list is held or joined."""
+    monkeypatch.setattr(QF, "READ_BYTES", 10)
+    land(f"{tmp_path}/in", {f"{k % 3}/{k}.txt": b"x" * k for k in range(40)} | {"_kept/.too": b"y\r\n"})
+    rows = [(k, f"{k % 3}/{k}.txt") for k in range(40)] + [(40, "_kept/.too"), (41, "0/9.txt")]
+    df = spark.createDataFrame(rows, "query_id long, path string").repartition(2)
+    out = QF.read_query_files(spark, df, f"{tmp_path}/in")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "Join" not in plan
+    got = {r.query_id: (r.path, r.length, bytes(r.content_lf)) for r in out.collect()}
+    assert got == {k: (p, *((3, b"y\n") if k == 40 else (int(p[2:-4]), b"x" * int(p[2:-4])))) for k, p in rows}
+    for bad in ("../in/1/1.txt/..", "1", "/etc/hostname"):
+        with pytest.raises(FileNotFoundError):
+            QF.read_query_files(spark, spark.createDataFrame([(1, bad)], "query_id long, path string"), f"{tmp_path}/in")
